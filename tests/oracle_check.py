@@ -32,7 +32,7 @@ def cell(v):
     if isinstance(v, bool) or isinstance(v, (str, int)):
         return v
     if isinstance(v, (float, decimal.Decimal)):
-        return 0.0 if v == 0 else float(f"{float(v):.9g}")
+        return 0.0 if v == 0 else float(f"{float(v):.12g}")
     if isinstance(v, dt.datetime):
         return v.replace(tzinfo=None).isoformat()
     if isinstance(v, dt.date):

@@ -2,6 +2,7 @@
 
 Each relation is a lazy projection. Callers name the columns they need, so the parquet scan reads only the source
 columns behind them, and the customer/nation/region join is added only when a geography column is asked for.
+Money and distance are kept on a quarter-unit grid: such doubles add up exactly, in any order and partitioning.
 """
 
 from __future__ import annotations
@@ -54,7 +55,7 @@ _TRIP_DERIVED = {
     "on_time": "case when delay_minutes <= 5 then 1 else 0 end",
     "delay_reason": "if(delay_minutes = 0, 'NODELAY', reason_code)",
     "emp_actual": "cast(emp_planned - noshow + if(_k % 113 = 0, 1, 0) as int)",
-    "traveled_km": "if(_k % 401 = 0, -1.0D, planned_km * (90 + _k % 25) / 100)",
+    "traveled_km": "if(_k % 401 = 0, -1.0D, floor(planned_km * (90 + _k % 25) / 25) / 4)",
     "shift_hour": "cast(if(_k % 53 = 0, null, _k % 24) as int)",
     "planned_start_epoch": _EPOCH_DAY.format(d="trip_date") + " + (_k % 24) * 3600",
     "planned_end_epoch": _EPOCH_DAY.format(d="trip_date") + " + (_k % 24) * 3600 + (30 + _k % 60) * 60",
@@ -136,7 +137,7 @@ _LEG_BASE = {
     "emp_role": "if(l_partkey % 29 = 0, 'ESCORT', 'EMPLOYEE')",
     "signintype": "element_at(array('APP', 'OTP', 'IVR'), cast(l_suppkey % 3 + 1 as int))",
     "planned_km": "l_quantity / 2",
-    "traveled_km": "if(l_partkey % 499 = 0, -6.63D, l_quantity * (80 + l_suppkey % 50) / 160)",
+    "traveled_km": "if(l_partkey % 499 = 0, -6.5D, floor(l_quantity * (80 + l_suppkey % 50) / 40) / 4)",
     "late_minutes": "cast(l_quantity as bigint) - 20",
 }
 _LEG_DERIVED = {
@@ -183,7 +184,7 @@ _BILL_BASE = {
     "ship_date": "cast(l_shipdate as date)",
     "total_trip_km": "if(p_brand in ({}), 0.0D, l_quantity)".format(", ".join(f"'{c}'" for c in FIXED_CONTRACTS)),
     "trip_cost": (
-        "l_extendedprice * (1 - l_discount) * if(l_returnflag = 'R' and l_tax > 0.075D, -1, 1)"
+        "floor(l_extendedprice * (1 - l_discount) * 4) / 4 * if(l_returnflag = 'R' and l_tax > 0.075D, -1, 1)"
         " * if(l_partkey % 883 = 0, 0, 1)"
     ),
     "line_ref": "l_linenumber",
