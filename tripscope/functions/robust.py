@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
@@ -16,19 +18,33 @@ def finite(a: Column) -> Column:
     return F.filter(a, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
 
 
-def array_median(a: Column) -> Column:
-    """Average of the middle two finite values; null for an empty array."""
-    s = F.array_sort(finite(a))
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value`` with the value computed once, so nested statistics stay linear in size."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _middle(s: Column) -> Column:
+    """Median of an already sorted array."""
     n = F.size(s)
     lower = F.try_element_at(s, F.floor((n + 1) / 2).cast("int"))
     upper = F.try_element_at(s, (F.floor(n / 2) + 1).cast("int"))
     return F.when(n > 0, (lower + upper) / 2)
 
 
+def array_median(a: Column) -> Column:
+    """Average of the middle two finite values; null for an empty array."""
+    return let(F.array_sort(finite(a)), _middle)
+
+
 def array_mad(a: Column, median: Column | None = None) -> Column:
     """Median of the absolute deviations from the median, unscaled."""
-    med = array_median(a) if median is None else median
-    return array_median(F.transform(finite(a), lambda x: F.abs(x - med)))
+
+    def around(xs: Column, med: Column) -> Column:
+        return let(F.array_sort(F.transform(xs, lambda x: F.abs(x - med))), _middle)
+
+    if median is not None:
+        return around(finite(a), median)
+    return let(finite(a), lambda xs: let(let(F.array_sort(xs), _middle), lambda med: around(xs, med)))
 
 
 def robust_z(x: Column, median: Column, mad: Column, mean_deviation: Column | None = None) -> Column:
@@ -39,20 +55,21 @@ def robust_z(x: Column, median: Column, mad: Column, mean_deviation: Column | No
     return F.when(mad > EPSILON, F.lit(MAD_SCALE) * (x - median) / mad).otherwise(by_mean)
 
 
-def with_array_z(df: DataFrame, x: str, sample: str, out: str) -> DataFrame:
-    """Adds ``out``: the robust z of column ``x`` against the array column ``sample``."""
-    med, mad, dev = (f"__{out}_{p}" for p in ("med", "mad", "dev"))
-    return (
-        df.withColumn(med, array_median(F.col(sample)))
-        .withColumn(mad, array_mad(F.col(sample), F.col(med)))
-        .withColumn(
-            dev,
-            F.aggregate(finite(F.col(sample)), F.lit(0.0), lambda s, v: s + F.abs(v - F.col(med)))
-            / F.nullif(F.size(finite(F.col(sample))), F.lit(0)),
-        )
-        .withColumn(out, F.coalesce(robust_z(F.col(x), F.col(med), F.col(mad), F.col(dev)), F.lit(0.0)))
-        .drop(med, mad, dev)
+def array_robust_z(x: Column, sample: Column) -> Column:
+    """Robust z of ``x`` against an array; 0 for an empty or constant one."""
+
+    def scaled(xs: Column, med: Column, gaps: Column) -> Column:
+        mean_gap = F.aggregate(gaps, F.lit(0.0), lambda s, v: s + v) / F.nullif(F.size(gaps), F.lit(0))
+        return let(_middle(gaps), lambda mad: let(mean_gap, lambda dev: robust_z(x, med, mad, dev)))
+
+    z = let(
+        F.array_sort(finite(sample)),
+        lambda xs: let(
+            _middle(xs),
+            lambda med: let(F.array_sort(F.transform(xs, lambda v: F.abs(v - med))), lambda gaps: scaled(xs, med, gaps)),
+        ),
     )
+    return F.when(x.isNotNull(), F.coalesce(z, F.lit(0.0)))
 
 
 def with_cohort_z(df: DataFrame, x: str, cohort: WindowSpec, out: str) -> DataFrame:

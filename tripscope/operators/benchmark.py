@@ -36,9 +36,9 @@ def with_trend(slices: DataFrame, months: int) -> DataFrame:
     """Prior value of the calendar-previous period and the delta, where both are measured."""
     w = W.partitionBy(*_ENTITY).orderBy("period")
     is_previous = F.lag("period").over(w) == M.previous(F.col("period"), months)
-    return slices.withColumn("prior", F.when(is_previous, F.lag("value").over(w))).withColumn(
-        "delta", F.col("value") - F.col("prior")
-    )
+    return slices.withColumns(
+        {"prior": F.when(is_previous, F.lag("value").over(w)), "prior_n": F.when(is_previous, F.lag("n").over(w))}
+    ).withColumn("delta", F.col("value") - F.col("prior"))
 
 
 def with_step_history(trended: DataFrame) -> DataFrame:
@@ -53,7 +53,7 @@ def with_step_history(trended: DataFrame) -> DataFrame:
 def observe(slices: DataFrame, specs: dict[str, M.MetricSpec], months: int = 1) -> DataFrame:
     """Every slice with its four frames, severity and confidence."""
     df = with_step_history(with_trend(slices, months))
-    df = robust.with_array_z(df, "delta", "steps", "z_time")
+    df = df.withColumn("z_time", robust.array_robust_z(F.col("delta"), F.col("steps")))
     cohort = W.partitionBy(*_COHORT)
     df = robust.with_cohort_z(df, "delta", cohort, "z_cohort").withColumn("__siblings", F.count("delta").over(cohort))
     temporal = F.size("steps") >= MIN_TEMPORAL_DELTAS

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ["roles_check", "metrics"]
+MODULES = ["roles_check", "metrics", "movement"]
 
 
 class Book:
