@@ -243,7 +243,7 @@ LEFT JOIN (SELECT metric_id, grain, period, count(*) AS nc, string_agg(entity, '
 )
 BOOK.add(
     "A17_standing_outliers",
-    lambda spark, sf: rounded(anomaly.standing_outliers(slices_for(spark, sf), SPECS), "value", "median", "z").select(
+    lambda spark, sf: rounded(anomaly.standing_outliers(observations_for(spark, sf), SPECS), "value", "median", "z").select(
         "period", "place", "metric_id", "grain", "entity", "value", "median", "z", "rank", "peers", "n"
     ),
     sliced_sql(
