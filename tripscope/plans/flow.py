@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tripscope.operators.cuts import by_each, by_each_sql
 from tripscope.plans.role_sql import ROLES
 from tripscope.sources import roles
 
@@ -232,3 +233,10 @@ class FlowBook:
 
     def __call__(self, name: str, flow: Flow) -> None:
         self.book.add(name, lambda spark, sf, f=flow: f.dataframe(spark, sf), flow.sql())
+
+    def each(self, name: str, flow: Flow, dims: list[str], inputs: str, gate: int = 1, **measures: str) -> None:
+        """A cut by several dimensions in one scan; ``inputs`` are the columns the measures read."""
+        spark_side = {a: spell(e, 0) for a, e in measures.items()}
+        other_side = {a: spell(e, 1) for a, e in measures.items()}
+        flow = flow.cols(" ".join(dict.fromkeys([*dims, *inputs.split()])))
+        self(name, flow.via(lambda df: by_each(df, dims, spark_side, gate), by_each_sql(dims, other_side, gate)))

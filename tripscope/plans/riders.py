@@ -9,10 +9,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tripscope.functions.ordering import with_position, with_tile
-from tripscope.operators.cuts import by_each, by_each_sql
-from tripscope.plans.flow import Flow, FlowBook, rel, spell
+from tripscope.plans.flow import Flow, FlowBook, rel
 from tripscope.plans.registry import Book
-from tripscope.plans.timeliness import BAND
 
 BOOK = Book()
 add = FlowBook(BOOK)
@@ -25,13 +23,6 @@ PLAN_CAB = "((planned_drop_epoch - planned_pickup_epoch) / 60)"
 TIE = "rider_ref, leg_ref, leg_amount"
 
 
-def each(name: str, flow: Flow, dims: list[str], inputs: str, gate: int = 1, **measures: str) -> None:
-    spark_side = {a: spell(e, 0) for a, e in measures.items()}
-    other_side = {a: spell(e, 1) for a, e in measures.items()}
-    flow = flow.cols(" ".join(dict.fromkeys([*dims, *inputs.split()])))
-    add(name, flow.via(lambda df: by_each(df, dims, spark_side, gate), by_each_sql(dims, other_side, gate)))
-
-
 def with_trip(leg_cols: str, trip_cols: str, where: str = "true") -> Flow:
     """Legs beside their trip."""
     return legs.where(where).cols("trip_id " + leg_cols).join(rel("trips").cols("trip_id " + trip_cols), "trip_id")
@@ -39,11 +30,11 @@ def with_trip(leg_cols: str, trip_cols: str, where: str = "true") -> Flow:
 
 # E1 null combinations and value distributions
 add("E1_null_matrix", legs.agg({"no_rider": "stwid IS NULL", "no_reason": "not_boarding_reason IS NULL", "no_pickup": "actual_pickup_epoch IS NULL", "no_drop": "actual_drop_epoch IS NULL"}, n="count(*)").plus(share="R(n / sum(n) OVER ())"))
-each("E1_value_distribution", legs, ["signintype", "gender", "emp_role", "boarding_status", "not_boarding_reason"], "", share_boarded="R(RATE(boarding_status = 'Boarded'))")
+add.each("E1_value_distribution", legs, ["signintype", "gender", "emp_role", "boarding_status", "not_boarding_reason"], "", share_boarded="R(RATE(boarding_status = 'Boarded'))")
 
 # E2 no-show by dimension and month
 _ns = dict(noshows="NUM(is_no_show)", rate="R(RATE(is_no_show))")
-each("E2_noshow_by_dimension", legs, ["gender", "signintype", "emp_role", "month"], "is_no_show", 1, **_ns)
+add.each("E2_noshow_by_dimension", legs, ["gender", "signintype", "emp_role", "month"], "is_no_show", 1, **_ns)
 add("E2_noshow_three_months", legs.agg("signintype", **{f"r_{a}": f"R(avg(CASE WHEN month(month) = {i} THEN CASE WHEN is_no_show THEN 1 ELSE 0 END END))" for i, a in ((5, "may"), (6, "jun"), (7, "jul"))}))
 add("E2_noshow_unit_month", with_trip("is_no_show", "business_unit quarter").agg("business_unit quarter", n="count(*)", **_ns))
 

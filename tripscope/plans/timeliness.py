@@ -9,9 +9,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tripscope.functions.ordering import with_tile
-from tripscope.operators.cuts import by_each, by_each_sql
 from tripscope.plans.cost import medians
-from tripscope.plans.flow import Flow, FlowBook, rel, spell
+from tripscope.plans.flow import FlowBook, rel
 from tripscope.plans.registry import Book
 
 BOOK = Book()
@@ -30,25 +29,8 @@ REAL_RUN = "((actual_end_epoch - actual_start_epoch) / 60)"
 BEYOND = "(CASE WHEN delay_minutes > 5 THEN delay_minutes - 5 ELSE 0 END)"
 
 
-def each(name: str, flow: Flow, dims: list[str], gate: int = 1, **measures: str) -> None:
-    """A cut by several dimensions in one scan."""
-    spark_side = {a: spell(e, 0) for a, e in measures.items()}
-    other_side = {a: spell(e, 1) for a, e in measures.items()}
-    flow = flow.cols(" ".join(dict.fromkeys(dims)), **{c: c for c in _inputs(measures) if c not in dims})
-    add(name, flow.via(lambda df: by_each(df, dims, spark_side, gate), by_each_sql(dims, other_side, gate)))
-
-
-def _inputs(measures: dict[str, str]) -> list[str]:
-    import re
-
-    from tripscope.sources.roles import TRIP_COLUMNS
-
-    words = {w for e in measures.values() for w in re.findall(r"[A-Za-z_]\w*", e)}
-    return [c for c in TRIP_COLUMNS if c in words]
-
-
 _ALL_DIMS = ["business_unit", "office", "vendor_id", "product_type", "trip_direction", "trip_nodal", "route_source", "delay_reason", "shift_type"]
-each("L1_rate_by_dimension", trips, _ALL_DIMS, GATE, rate="R(avg(on_time))", mean_delay="R(avg(delay_minutes))", with_delay="count(delay_minutes)")
+add.each("L1_rate_by_dimension", trips, _ALL_DIMS, "on_time delay_minutes", GATE, rate="R(avg(on_time))", mean_delay="R(avg(delay_minutes))", with_delay="count(delay_minutes)")
 
 # L2 three months side by side, all years together
 _m = {}
@@ -131,17 +113,17 @@ add("L12_duration_sanity", trips.agg("month", n="count(*)", negative=f"NUM({REAL
 # L13 distance drift
 _drift = dict(planned="sum(planned_km)", traveled="sum(traveled_km)", ratio="R(sum(traveled_km) / nullif(sum(planned_km), 0))")
 _km = trips.where("traveled_km >= 0 AND planned_km > 0")
-each("L13_distance_drift", _km, ["month", "office", "vendor_id", "shift_hour"], 1, **_drift)
+add.each("L13_distance_drift", _km, ["month", "office", "vendor_id", "shift_hour"], "planned_km traveled_km", **_drift)
 add("L13_ratio_percentiles", _km.cols("quarter", ratio="traveled_km / planned_km").via(*medians(["quarter"], "ratio", [0.5, 0.9])).cols("quarter n", p50="R(p50)", p90="R(p90)"))
 add("L13_excess_buckets", _km.plus(x="traveled_km / planned_km").agg({"bucket": "CASE WHEN x < 0.95 THEN 'short' WHEN x <= 1.05 THEN 'as planned' WHEN x <= 1.1 THEN 'to 10 %' ELSE 'over 10 %' END"}, n="count(*)", excess_km="sum(traveled_km - planned_km)"))
 
 # L14 occupancy
 _occ = dict(fill="R(sum(emp_actual) / nullif(sum(cab_capacity), 0))", solo_share="R(RATE(emp_actual = 1))", near_empty_km="sum(CASE WHEN emp_actual <= 1 THEN planned_km ELSE 0 END)", km="sum(planned_km)")
-each("L14_occupancy", trips, ["month", "product_type", "office", "shift_hour", "cab_capacity"], 1, **_occ)
+add.each("L14_occupancy", trips, ["month", "product_type", "office", "shift_hour", "cab_capacity"], "emp_actual planned_km", **_occ)
 
 # L15 no-show cuts
 _ns = dict(noshows="ISUM(noshow)", planned="ISUM(emp_planned)", rate="R(sum(noshow) / nullif(sum(emp_planned), 0))")
-each("L15_noshow", trips, ["month", "trip_direction", "office", "shift_hour"], 1, **_ns)
+add.each("L15_noshow", trips, ["month", "trip_direction", "office", "shift_hour"], "noshow emp_planned", **_ns)
 
 # L16 effect inside a stratum
 add("L16_controlled", trips.agg({"band": BAND, "trip_direction": "trip_direction", "cab_capacity": "cab_capacity", "emp_actual": "emp_actual"}, n="count(*)", rate="R(avg(on_time))",
