@@ -214,6 +214,8 @@ class Flow:
                 sql = f"SELECT DISTINCT * FROM ({sql})"
             elif kind == "via":
                 sql = s[2].format(src=sql)
+                if sql.startswith("WITH"):
+                    sql = f"SELECT * FROM ({sql})"
         return sql
 
     def sql(self) -> str:

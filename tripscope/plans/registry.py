@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ["roles_check", "metrics", "movement", "cost", "timeliness", "riders", "feedback", "safety", "cross"]
+MODULES = ["roles_check", "parsing", "metrics", "movement", "quality", "cost", "timeliness", "riders", "feedback", "safety", "cross"]
 
 
 class Book:

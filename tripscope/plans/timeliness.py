@@ -167,7 +167,3 @@ add("L23_rider_hours_by_riders", _known.agg("emp_actual", **_rh))
 # L24 label swap
 add("L24_reclassification_month", trips.where("delay_reason IN ('1-URGENT', '2-HIGH')").agg("delay_reason month", n="count(*)", mean_delay="R(avg(delay_minutes))"))
 add("L24_reclassification_office", trips.where("delay_reason IN ('1-URGENT', '2-HIGH')").agg("delay_reason quarter office", n="count(*)"))
-
-# P17, P18: shift hour, band and the night predicate with other limits
-add("P17_shift_band", trips.agg({"shift_type": "shift_type", "shift_hour": "shift_hour", "band": BAND}, n="count(*)"))
-add("P18_night_predicate", trips.agg("trip_direction", n="count(*)", night_20_5="NUM(shift_hour >= 20 OR shift_hour <= 5)", night_21_5="NUM(shift_hour >= 21 OR shift_hour <= 5)", night_19_5="NUM(shift_hour >= 19 OR shift_hour <= 5)", unknown_hour="NUM(shift_hour IS NULL)"))
