@@ -133,7 +133,8 @@ def persistence(specs: dict[str, M.MetricSpec]) -> Column:
     higher = M.per_metric(specs, "higher_is_better", "boolean")
     prior_missed = F.when(higher, F.col("prior") < F.col("sla_target") - 1e-9).otherwise(F.col("prior") > F.col("sla_target") + 1e-9)
     derived = F.when(F.col("sla_breached") & F.coalesce(prior_missed, F.lit(False)), 2).otherwise(1)
-    streak = F.coalesce(F.greatest(F.col("known_streak"), F.lit(1)), derived)
+    known = F.col("known_streak")
+    streak = F.when(known.isNotNull(), F.greatest(known, F.lit(1))).otherwise(derived)
     return _unit(PERSISTENCE_BASE + PERSISTENCE_STEP * (streak - 1))
 
 

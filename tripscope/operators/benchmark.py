@@ -103,7 +103,8 @@ def with_peers(df: DataFrame, specs: dict[str, M.MetricSpec]) -> DataFrame:
 def severity(specs: dict[str, M.MetricSpec]) -> Column:
     """Noisy-or of the trend score and the target score, 0..1."""
     size = F.least(F.abs("robust_z") / Z_SATURATION, F.lit(1.0))
-    trend = F.coalesce(F.when(adverse(F.col("delta"), specs), size).otherwise(size * FAVOURABLE_WEIGHT), F.lit(0.0))
+    scored = F.when(adverse(F.col("delta"), specs), size).otherwise(size * FAVOURABLE_WEIGHT)
+    trend = F.when(F.col("robust_z").isNull(), 0.0).otherwise(scored)
     rule = policy.RuleColumns.for_specs(specs)
     relative = F.least(rule.relative_gap(F.col("value")) / policy.CRITICAL_GAP, F.lit(1.0))
     binding = F.col("sla_breached") & ~M.per_metric(specs, "sla_advisory", "boolean")

@@ -173,12 +173,12 @@ def regated(specs: dict[str, MetricSpec], gate: int) -> dict[str, MetricSpec]:
 
 
 def lookup(key: Column, table: dict, kind: str) -> Column:
-    """Constant per key from a small fixed table; null where absent."""
-    out = F.lit(None).cast(kind)
-    for k, v in table.items():
-        if v is not None:
-            out = F.when(key == F.lit(k), F.lit(v).cast(kind)).otherwise(out)
-    return out
+    """Constant per key from a small fixed table, as one map literal; null where absent."""
+    known = {k: v for k, v in table.items() if v is not None}
+    if not known:
+        return F.lit(None).cast(kind)
+    pairs = [x for k, v in known.items() for x in (F.lit(k), F.lit(v).cast(kind))]
+    return F.try_element_at(F.create_map(*pairs), key)
 
 
 def per_metric(specs: dict[str, MetricSpec], attribute: str, kind: str) -> Column:

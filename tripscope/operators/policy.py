@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tripscope.operators.metrics import lookup
+
 # Band limits on the relative gap, and the breaches in a row that permit an escalation.
 MAJOR_GAP = 0.02
 CRITICAL_GAP = 0.05
@@ -32,13 +34,6 @@ def canonical(metric: Column) -> Column:
     return F.regexp_replace(flat, "^_|_$", "")
 
 
-def _pick(key: Column, by_name: dict, kind: str) -> Column:
-    out = F.lit(None).cast(kind)
-    for name, value in by_name.items():
-        out = F.when(key == F.lit(name), F.lit(value).cast(kind)).otherwise(out)
-    return out
-
-
 @dataclass(frozen=True)
 class RuleColumns:
     """Rule fields as columns of the row's metric; null where no rule applies."""
@@ -53,10 +48,10 @@ class RuleColumns:
         key = canonical(metric)
         names = [(alias, r) for r in RULES for alias in r[5]]
         return cls(
-            _pick(key, {a: r[0] for a, r in names}, "string"),
-            _pick(key, {a: r[2] == "higher" for a, r in names}, "boolean"),
-            _pick(key, {a: r[3] == "ratio" for a, r in names}, "boolean"),
-            _pick(key, {a: r[4] for a, r in names}, "double"),
+            lookup(key, {a: r[0] for a, r in names}, "string"),
+            lookup(key, {a: r[2] == "higher" for a, r in names}, "boolean"),
+            lookup(key, {a: r[3] == "ratio" for a, r in names}, "boolean"),
+            lookup(key, {a: r[4] for a, r in names}, "double"),
         )
 
     @classmethod
@@ -66,9 +61,9 @@ class RuleColumns:
         bound = {k: s for k, s in specs.items() if s.sla_target is not None}
         return cls(
             key,
-            _pick(key, {k: s.higher_is_better for k, s in bound.items()}, "boolean"),
-            _pick(key, {k: s.rate_metric for k, s in bound.items()}, "boolean"),
-            _pick(key, {k: s.sla_target for k, s in bound.items()}, "double"),
+            lookup(key, {k: s.higher_is_better for k, s in bound.items()}, "boolean"),
+            lookup(key, {k: s.rate_metric for k, s in bound.items()}, "boolean"),
+            lookup(key, {k: s.sla_target for k, s in bound.items()}, "double"),
         )
 
     def rescaled(self, value: Column) -> Column:
@@ -104,7 +99,8 @@ def decide(df: DataFrame, metric: str = "metric_id", value: str = "value", prior
     rule = RuleColumns.of(F.col(metric))
     before = F.when(rule.breached(F.col(prior)), 1).otherwise(0)
     if known_streak:
-        before = F.coalesce(F.greatest(F.col(known_streak) - 1, F.lit(0)), before)
+        known = F.col(known_streak)
+        before = F.when(known.isNotNull(), F.greatest(known - 1, F.lit(0))).otherwise(before)
     relative = F.coalesce(rule.relative_gap(F.col(value)), F.lit(0.0))
     return (
         df.withColumns(

@@ -158,8 +158,8 @@ framed AS (SELECT z.*, {_TARGET.replace("metric_id", "z.metric_id")} AS sla_targ
   FROM zs z LEFT JOIN peers p USING (metric_id, grain, period) LEFT JOIN places r USING (metric_id, grain, entity, period)),
 obs AS (SELECT *, coalesce(sla_gap > 0, false) AS sla_breached,
     CASE WHEN value IS NULL THEN 0 ELSE least(1, greatest(0,
-      1 - (1 - coalesce(least(abs(robust_z) / 3, 1) * CASE WHEN (CASE WHEN {_HIGHER} THEN delta < 0 ELSE delta > 0 END) THEN 1
-             ELSE 0.35 END, 0))
+      1 - (1 - CASE WHEN robust_z IS NULL THEN 0 ELSE least(abs(robust_z) / 3, 1)
+             * CASE WHEN (CASE WHEN {_HIGHER} THEN delta < 0 ELSE delta > 0 END) THEN 1 ELSE 0.35 END END)
         * (1 - CASE WHEN sla_gap > 0 AND metric_id <> 'escort_compliance'
              THEN least(sla_gap / sla_target / 0.05, 1) ELSE 0 END))) END AS severity,
     CASE WHEN value IS NULL AND n < {GATE} THEN 'insufficient_sample' WHEN value IS NULL THEN 'not_computable'

@@ -76,8 +76,8 @@ scored AS (SELECT *, rank_severity * rank_confidence * actionability * persisten
     CASE grain WHEN 'office' THEN 1.0 WHEN 'route_source' THEN 1.0 WHEN 'product_type' THEN 1.0 WHEN 'business_unit' THEN 0.9
       WHEN 'contract' THEN 0.85 WHEN 'shift_type' THEN 0.8 WHEN 'trip_direction' THEN 0.8 WHEN 'delay_reason' THEN 0.7
       WHEN 'trip_nodal' THEN 0.6 ELSE 0.5 END AS actionability,
-    least(1, 0.7 + 0.15 * (coalesce(greatest({streak}, 1), CASE WHEN sla_breached AND CASE WHEN {_HIGHER} THEN prior < sla_target - 1e-9
-      ELSE prior > sla_target + 1e-9 END THEN 2 ELSE 1 END) - 1)) AS persistence
+    least(1, 0.7 + 0.15 * (CASE WHEN {streak} IS NOT NULL THEN greatest({streak}, 1) WHEN sla_breached AND CASE WHEN {_HIGHER} THEN prior < sla_target - 1e-9
+      ELSE prior > sla_target + 1e-9 END THEN 2 ELSE 1 END - 1)) AS persistence
   FROM {source} WHERE (adverse OR abs(z) >= 8) AND (abs(points) >= 0.5 OR sla_breached))),
 placed AS (SELECT *, row_number() OVER (PARTITION BY period ORDER BY score DESC, abs(points) DESC, finding_id) AS place
   FROM scored WHERE score > 1e-6),
