@@ -18,6 +18,8 @@ DISPERSION_FLOOR = 0.25
 EPSILON = 1e-12
 API_TOLERANCE = 0.005
 MIX_NEGLIGIBLE = 0.10
+# Sizes that differ only by the order of a floating-point sum count as tied and go by name.
+NOISE_PLACES = 9
 
 
 def _finite(c: Column) -> Column:
@@ -61,7 +63,7 @@ def decompose(sides: DataFrame, keys: list[str]) -> DataFrame:
             "mix_effect": (F.col("w1_share") - F.col("w0_share")) * (F.col("r0") - F.col("base_rate")),
         }
     ).withColumn("total", F.col("rate_effect") + F.col("mix_effect"))
-    place = F.row_number().over(group.orderBy(F.abs("total").desc(), F.col("entity")))
+    place = F.row_number().over(group.orderBy(F.round(F.abs("total"), NOISE_PLACES).desc(), F.col("entity")))
     return df.withColumn("place", place).drop("__t0", "__t1")
 
 
@@ -151,7 +153,7 @@ def attribution(contrib: DataFrame) -> DataFrame:
     ).withColumn(
         "power", F.col("explained") * F.col("concentration") * (DISPERSION_FLOOR + (1 - DISPERSION_FLOOR) * F.col("dispersion"))
     )
-    order = W.partitionBy("metric_id", "period").orderBy(F.col("power").desc(), F.col("grain"))
+    order = W.partitionBy("metric_id", "period").orderBy(F.round("power", NOISE_PLACES).desc(), F.col("grain"))
     return rows.withColumns(
         {
             "grain_rank": F.row_number().over(order),

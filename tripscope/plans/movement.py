@@ -105,7 +105,7 @@ tot AS (SELECT metric_id, grain, period, sum(w1) AS t1, sum(w0) AS t0, CASE WHEN
 con0 AS (SELECT e.*, b0, b1, coalesce(w1 / nullif(t1, 0), 0) AS s1, coalesce(w0 / nullif(t0, 0), 0) AS s0
   FROM elig e JOIN tot USING (metric_id, grain, period)),
 con1 AS (SELECT *, s1 * (r1 - r0) AS rate_effect, (s1 - s0) * (r0 - b0) AS mix_effect, s1 * (r1 - r0) + (s1 - s0) * (r0 - b0) AS total FROM con0),
-con AS (SELECT *, row_number() OVER (PARTITION BY metric_id, grain, period ORDER BY abs(total) DESC, entity) AS place FROM con1),
+con AS (SELECT *, row_number() OVER (PARTITION BY metric_id, grain, period ORDER BY round(abs(total), 9) DESC, entity) AS place FROM con1),
 at0 AS (SELECT metric_id, grain, period, any_value(actual) AS delta, count(*) AS n_entities,
     sum(total) FILTER (WHERE place <= 3) AS explained_delta, sum(abs(total)) AS gross_total, sum(abs(mix_effect)) AS gross_mix,
     least(1, coalesce(sum(abs(total)) FILTER (WHERE place <= 3) / CASE WHEN sum(abs(total)) > 1e-12 THEN sum(abs(total)) END, 0)) AS concentration,
@@ -117,7 +117,7 @@ at0 AS (SELECT metric_id, grain, period, any_value(actual) AS delta, count(*) AS
 at1 AS (SELECT *, CASE WHEN greatest(mov, abs(delta)) > 1e-12 THEN least(1, dev / greatest(mov, abs(delta))) ELSE 0 END AS dispersion,
     gross_mix / nullif(gross_total, 0) AS mix_fraction FROM at0),
 at2 AS (SELECT *, explained * concentration * (0.25 + 0.75 * dispersion) AS power FROM at1),
-att AS (SELECT *, CAST(row_number() OVER (PARTITION BY metric_id, period ORDER BY power DESC, grain) AS INTEGER) AS grain_rank,
+att AS (SELECT *, CAST(row_number() OVER (PARTITION BY metric_id, period ORDER BY round(power, 9) DESC, grain) AS INTEGER) AS grain_rank,
     CASE WHEN mix_fraction < 0.10 THEN 'rate' WHEN mix_fraction IS NOT NULL THEN 'mix' END AS verdict FROM at2)"""
 
 
