@@ -75,18 +75,21 @@ def movements(observations: DataFrame, specs: dict[str, M.MetricSpec], floor: in
     moved = observations.withColumn("__past", F.when(measured, F.collect_list("value").over(past))).filter(
         F.col("delta").isNotNull() & (F.col("n") >= gate) & (F.col("prior_n") >= gate)
     )
+    # The array statistic goes below the cohort windows: above them, later filters would repeat it.
+    moved = moved.withColumns(
+        {"z_time": robust.array_robust_z(F.col("value"), F.col("__past")), "__known": F.size("__past")}
+    ).drop("__past")
     cohort = W.partitionBy("metric_id", "grain", "period")
     moved = robust.with_cohort_z(moved, "delta", cohort, "z_cross").withColumn("__size", F.count("*").over(cohort))
-    moved = moved.withColumn("z_time", robust.array_robust_z(F.col("value"), F.col("__past")))
     cross = F.when(F.col("__size") >= MIN_MOVEMENTS, F.col("z_cross")).otherwise(0.0)
-    temporal = F.when(F.size("__past") >= MIN_HISTORY, F.col("z_time")).otherwise(0.0)
+    temporal = F.when(F.col("__known") >= MIN_HISTORY, F.col("z_time")).otherwise(0.0)
     return moved.withColumns(
         {
             "z": F.when(F.abs(temporal) >= F.abs(cross), temporal).otherwise(cross),
             "points": points(F.col("delta"), specs),
             "adverse": adverse(F.col("delta"), specs),
         }
-    ).drop("__past", "__size", "z_cross", "z_time")
+    ).drop("__known", "__size", "z_cross", "z_time")
 
 
 def significant(specs: dict[str, M.MetricSpec]) -> Column:

@@ -7,6 +7,9 @@ only partial aggregates are shuffled. The result is the long table
     slices(metric_id, grain, entity, period, value, n, covered, coverage)
 
 ``{f}`` after an aggregate in a formula marks where the metric's row filter goes; ``{f:cond}`` adds a further condition.
+``{distinct}`` stands for the number of distinct values of the metric's ``distinct`` column, and ``{quantile}`` for the exact
+quantile of its ``quantile`` column. Both take a pass of their own: a distinct count would otherwise shuffle every row once
+per grain, and a quantile is taken from value counts instead of from rows.
 """
 
 from __future__ import annotations
@@ -43,6 +46,8 @@ class MetricSpec:
     sla_target: float | None = None
     sla_advisory: bool = False
     industry: float | None = None
+    distinct: str | None = None
+    quantile: tuple[str, float] | None = None
 
     def __post_init__(self) -> None:
         names = [self.id, self.source, *self.grains, *self.columns.values()] + ([self.segment_by] if self.segment_by else [])
@@ -59,6 +64,8 @@ class MetricSpec:
             raise ValueError(f"{self.id}: grains must include {GLOBAL!r}")
         if len(set(self.grains)) != len(self.grains):
             raise ValueError(f"{self.id}: repeated grain")
+        if ("{distinct}" in self.formula) != bool(self.distinct) or ("{quantile}" in self.formula) != bool(self.quantile):
+            raise ValueError(f"{self.id}: formula and its distinct or quantile column do not fit")
         if bool(self.segment_by) != bool(self.valid_segments):
             raise ValueError(f"{self.id}: segment_by and valid_segments go together")
         if self.segment_by and self.segment_by in self.grains:
@@ -79,8 +86,9 @@ class MetricSpec:
             parts.append(f"({self.segment_by} IN ({allowed}))")
         return " AND ".join(parts)
 
-    def compiled(self, template: str) -> str:
-        base = self.condition()
+    def compiled(self, template: str, base: str | None = None) -> str:
+        """The template with its filters filled in; ``base`` names a column that already holds the row filter."""
+        base = self.condition() if base is None else base
 
         def fill(m: re.Match) -> str:
             conds = [c for c in (base, f"({m.group(1)})" if m.group(1) else "") if c]
@@ -120,10 +128,10 @@ DEFAULT_CATALOG = catalog(
             (*_TRIP_GRAINS, "trip_nodal", "route_source", "fuel_type"), columns=_FUEL, sla_target=0.95, industry=0.93,
         ),
         MetricSpec(
-            "delay_p90", "90th percentile delay of delayed trips", "trips", "percentile(delay_minutes, 0.9D){f}",
+            "delay_p90", "90th percentile delay of delayed trips", "trips", "{quantile}",
             "count(delay_minutes){f}", "lower_is_better", "minutes", 300,
             (*_TRIP_GRAINS, "trip_nodal", "route_source", "delay_reason"), rate_metric=False, where="delay_minutes > 0",
-            columns=_VENDOR,
+            columns=_VENDOR, quantile=("delay_minutes", 0.9),
         ),
         MetricSpec(
             "escort_compliance", "Night escort cover", "trips",
@@ -157,9 +165,10 @@ DEFAULT_CATALOG = catalog(
         ),
         MetricSpec(
             "cost_per_trip", "Cost per trip", "bills",
-            "sum(trip_cost){f:trip_id IS NOT NULL} / nullif(count(DISTINCT trip_id){f}, 0)", "count(trip_cost){f}",
+            "sum(trip_cost){f:trip_id IS NOT NULL} / nullif({distinct}, 0)", "count(trip_cost){f}",
             "lower_is_better", "currency", 500,
             ("global", "business_unit", "office", "vendor", "contract", "slab_name", "billing_regime"), rate_metric=False,
+            distinct="trip_id",
         ),
     ]
 )
@@ -208,15 +217,22 @@ def _slices_of(df: DataFrame, specs: list[MetricSpec], period: str) -> DataFrame
             if g != GLOBAL:
                 column_of.setdefault(g, s.column(g))
     keys = [f"g_{g}" for g in column_of]
+    # Row filters are evaluated here, once per row, not once per row and grain.
     rows = df.filter(F.col(period).isNotNull()).withColumns(
-        {"period": F.col(period), **{f"g_{g}": F.coalesce(F.col(c).cast("string"), F.lit("NA")) for g, c in column_of.items()}}
+        {
+            "period": F.col(period),
+            **{f"g_{g}": F.coalesce(F.col(c).cast("string"), F.lit("NA")) for g, c in column_of.items()},
+            **{f"f_{s.id}": F.expr(s.condition()) for s in specs if s.condition()},
+        }
     )
+    flag = {s.id: f"f_{s.id}" if s.condition() else "" for s in specs}
     measures: list[Column] = []
     for s in specs:
+        plain = s.formula.replace("{quantile}", "cast(null as double)").replace("nullif({distinct}, 0)", "1")
         measures += [
-            F.expr(s.compiled(s.formula)).cast("double").alias(f"v_{s.id}"),
-            F.expr(s.compiled("count(*){f}")).alias(f"n_{s.id}"),
-            F.expr(s.compiled(s.coverage)).alias(f"c_{s.id}"),
+            F.expr(s.compiled(plain, flag[s.id])).cast("double").alias(f"v_{s.id}"),
+            F.expr(s.compiled("count(*){f}", flag[s.id])).alias(f"n_{s.id}"),
+            F.expr(s.compiled(s.coverage, flag[s.id])).alias(f"c_{s.id}"),
         ]
     wide = rows.groupingSets([["period"], *[["period", k] for k in keys]], "period", *keys).agg(
         *measures, *[F.grouping(k).alias(f"is_{k}") for k in keys]
@@ -236,11 +252,54 @@ def _slices_of(df: DataFrame, specs: list[MetricSpec], period: str) -> DataFrame
             for s in specs
         ]
     )
-    return (
+    out = (
         wide.select("period", grain.alias("grain"), F.coalesce(*keys, F.lit(ALL)).alias("entity"), F.inline(stacked))
         .filter((F.col("n") > 0) & F.array_contains("grains", F.col("grain")))
         .select("metric_id", "grain", "entity", "period", "raw", "n", "covered")
     )
+    extra: DataFrame | None = None
+    for s in specs:
+        for part in ([_distinct_counts(rows, s, flag[s.id])] if s.distinct else []) + ([_quantiles(rows, s, flag[s.id])] if s.quantile else []):
+            extra = part if extra is None else extra.unionByName(part)
+    if extra is None:
+        return out
+    own = F.when(F.col("divisor").isNotNull(), F.col("raw") / F.nullif(F.col("divisor"), F.lit(0))).otherwise(F.coalesce("quantile", "raw"))
+    joined = out.join(extra, ["metric_id", "grain", "entity", "period"], "left")
+    return joined.select("metric_id", "grain", "entity", "period", own.alias("raw"), "n", "covered")
+
+
+def _by_grain(spec: MetricSpec) -> Column:
+    """One (grain, entity) pair per grain of the metric."""
+    return F.array(
+        *[F.struct(F.lit(g).alias("grain"), (F.lit(ALL) if g == GLOBAL else F.col(f"g_{g}")).alias("entity")) for g in spec.grains]
+    )
+
+
+def _distinct_counts(rows: DataFrame, spec: MetricSpec, flag: str) -> DataFrame:
+    """Distinct ids per grain, entity and period with the ids shuffled once, not once per grain.
+
+    Repeats are dropped first, on all columns together, so an id that holds a third of all rows shrinks to its distinct
+    attribute combinations before rows are brought together by id. From there every step stays inside the partition.
+    """
+    kept = rows.filter(flag) if flag else rows
+    cols = [f"g_{g}" for g in spec.grains if g != GLOBAL]
+    ids = kept.filter(F.col(spec.distinct).isNotNull()).select(F.col(spec.distinct).alias("__id"), "period", *cols).distinct().repartition("__id")
+    once = ids.select("__id", "period", F.inline(_by_grain(spec))).distinct()
+    return once.groupBy("grain", "entity", "period").agg(F.count("*").alias("divisor")).select(
+        F.lit(spec.id).alias("metric_id"), "grain", "entity", "period", "divisor", F.lit(None).cast("double").alias("quantile")
+    )
+
+
+def _quantiles(rows: DataFrame, spec: MetricSpec, flag: str) -> DataFrame:
+    """Exact quantile per grain, entity and period from value counts, which combine map-side."""
+    column, p = spec.quantile
+    kept = (rows.filter(flag) if flag else rows).filter(F.col(column).isNotNull())
+    cols = [f"g_{g}" for g in spec.grains if g != GLOBAL]
+    counted = kept.groupBy("period", *cols, F.col(column).alias("__v")).agg(F.count("*").alias("__c"))
+    spread = counted.select("period", "__v", "__c", F.inline(_by_grain(spec))).groupBy("grain", "entity", "period", "__v").agg(F.sum("__c").alias("__c"))
+    return spread.groupBy("grain", "entity", "period").agg(F.percentile("__v", p, F.col("__c")).alias("quantile")).select(
+        F.lit(spec.id).alias("metric_id"), "grain", "entity", "period", F.lit(None).cast("bigint").alias("divisor"), "quantile"
+    )
 
 
 def overall(slices_df: DataFrame) -> DataFrame:
