@@ -8,7 +8,7 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
-def build_session(app: str = "tripscope", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
+def build_session(app: str = "tripscope", master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
     """Session with the settings the jobs rely on; sizing is left to the cluster unless given."""
     builder = (
         SparkSession.builder.appName(app)
@@ -18,6 +18,8 @@ def build_session(app: str = "tripscope", master: str | None = None, shuffle_par
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.ui.enabled", "false")
     )
+    for key, value in conf.items():
+        builder = builder.config(key.replace("__", "."), value)
     if master:
         builder = builder.master(master)
     if shuffle_partitions:

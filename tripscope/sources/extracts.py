@@ -120,15 +120,15 @@ def publish(typed: DataFrame, name: str, path: str | None = None) -> DataFrame:
 
 def conservation(raw: dict[str, DataFrame], typed: dict[str, DataFrame]) -> DataFrame:
     """Rows read against rows kept, per relation."""
-    out: DataFrame | None = None
+    counts: DataFrame | None = None
     for name in raw:
-        read = raw[name].groupBy(F.lit(name).alias("relation")).agg(F.count("*").alias("rows_read"))
-        kept = typed[name].groupBy(F.lit(name).alias("relation")).agg(F.count("*").alias("rows_kept"))
-        row = read.join(kept, "relation", "full_outer").select(
-            "relation", F.coalesce("rows_read", F.lit(0).cast("bigint")).alias("rows_read"), F.coalesce("rows_kept", F.lit(0).cast("bigint")).alias("rows_kept")
-        )
-        out = row if out is None else out.unionByName(row)
-    return out.withColumn("conserved", F.col("rows_read") == F.col("rows_kept"))
+        for side, df in (("rows_read", raw[name]), ("rows_kept", typed[name])):
+            part = df.agg(F.count("*").alias("c")).select(F.lit(name).alias("relation"), F.lit(side).alias("side"), "c")
+            counts = part if counts is None else counts.unionByName(part)
+    both = counts.groupBy("relation").agg(
+        *[F.sum(F.when(F.col("side") == s, F.col("c")).otherwise(0)).alias(s) for s in ("rows_read", "rows_kept")]
+    )
+    return both.withColumn("conserved", F.col("rows_read") == F.col("rows_kept"))
 
 
 def assert_conserved(report: DataFrame) -> None:
