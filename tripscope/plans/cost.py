@@ -108,14 +108,14 @@ for _n, _d in (("vendor", {"vendor": "vendor"}), ("month", {"month": "month"}),
 # C10 price against contract mean
 add("C10_price_vs_contract_mean", bills.where("trip_cost >= 0").agg("contract vendor", n="count(*)", cost="sum(trip_cost)").plus(
     own="cost / n", mean="sum(cost) OVER (PARTITION BY contract) / sum(n) OVER (PARTITION BY contract)").cols(
-    "contract vendor n", own="R(own, 4)", contract_mean="R(mean, 4)", excess="R((own - mean) * n, 4)"))
+    "contract vendor n", own="R(own, 4)", contract_mean="R(mean, 4)", excess="RT((own - mean) * n, 4)"))
 
 # C11 peer outliers: peers share contract and slab; the generated prices spread less, so the cut is twice the median
 _peers = bills.where("trip_cost > 0").cols("contract trip_cost", slab=SLAB).via(*medians(["contract", "slab"], "trip_cost", [0.5])).where(f"n >= {MIN_LINES}").cols("contract slab", peer_n="n", peer_median="p50")
 _out = bills.where("trip_cost > 0").cols("contract vendor trip_cost", slab=SLAB).join(_peers, "contract slab").where("trip_cost > 2 * peer_median").plus(excess="trip_cost - peer_median")
-add("C11_peer_outliers", _out.agg("contract slab", outliers="count(*)", peers="max(peer_n)", peer_median="R(max(peer_median), 4)", worst="R(max(trip_cost), 4)", excess="R(sum(excess), 4)"))
+add("C11_peer_outliers", _out.agg("contract slab", outliers="count(*)", peers="max(peer_n)", peer_median="R(max(peer_median), 4)", worst="R(max(trip_cost), 4)", excess="RT(sum(excess), 4)"))
 for _d in ("vendor", "contract"):
-    add(f"C11_outlier_excess_by_{_d}", _out.agg({_d: _d}, outliers="count(*)", excess="R(sum(excess), 4)"))
+    add(f"C11_outlier_excess_by_{_d}", _out.agg({_d: _d}, outliers="count(*)", excess="RT(sum(excess), 4)"))
 
 # C12 integer multiples of the smallest price
 _basis = bills.where("trip_cost > 0").agg("contract", base="min(trip_cost)")
@@ -131,7 +131,7 @@ for _n, _d in (("contract", {"contract": "contract"}), ("vendor", {"vendor": "ve
 # C14 billed against travelled distance
 _dist = billed("contract vendor total_trip_km cost_per_km billing_regime", "traveled_km route_source").where("billing_regime = 'DISTANCE_BASED' AND traveled_km >= 0").plus(diff="total_trip_km - traveled_km")
 _dm = dict(n="count(*)", over_share="R(RATE(diff > 0.5))", under_share="R(RATE(diff < -0.5))", exact_share="R(RATE(diff = 0))", mae="R(avg(abs(diff)))",
-           corr_km="R(CORR(total_trip_km, traveled_km))", extra_value="R(sum(CASE WHEN diff > 0 THEN diff * coalesce(cost_per_km, 0) ELSE 0 END), 4)")
+           corr_km="R(CORR(total_trip_km, traveled_km))", extra_value="RT(sum(CASE WHEN diff > 0 THEN diff * coalesce(cost_per_km, 0) ELSE 0 END), 4)")
 for _n, _d in (("vendor", {"vendor": "vendor"}), ("contract", {"contract": "contract"}), ("route", {"route_source": "route_source"}), ("total", {"scope": "'all'"})):
     add(f"C14_billed_distance_{_n}", _dist.agg(_d, **_dm))
 
@@ -176,15 +176,15 @@ add("C20_overhead_effect", bills.agg({"scope": "'all'"}, lines="count(*)", overh
 # C21 levelling prize
 _level = bills.where("trip_cost > 0").agg({"contract": "contract", "slab": SLAB, "office": "office", "vendor": "vendor"}, n="count(*)", cost="sum(trip_cost)").where("n >= 5").plus(mean="cost / n").plus(
     best="min(mean) OVER (PARTITION BY contract, slab, office)", suppliers="count(*) OVER (PARTITION BY contract, slab, office)").where("suppliers >= 2")
-add("C21_levelling_by_contract", _level.agg("contract", strata="PAIRS(slab, office)", spend="R(sum(cost), 4)", saving="R(sum((mean - best) * n), 4)"))
-add("C21_levelling_total", _level.agg({"scope": "'all'"}, cells="count(*)", spend="R(sum(cost), 4)", saving="R(sum((mean - best) * n), 4)"))
+add("C21_levelling_by_contract", _level.agg("contract", strata="PAIRS(slab, office)", spend="R(sum(cost), 4)", saving="RT(sum((mean - best) * n), 4)"))
+add("C21_levelling_total", _level.agg({"scope": "'all'"}, cells="count(*)", spend="R(sum(cost), 4)", saving="RT(sum((mean - best) * n), 4)"))
 
 # C22 spread under three normalisations
 _three = billed("contract vendor trip_cost total_trip_km", "emp_actual").where("trip_cost > 0").agg("contract vendor", n="count(*)", cost="sum(trip_cost)", km="sum(total_trip_km)", riders="sum(emp_actual)").plus(
     per_trip="cost / n", per_rider="cost / nullif(riders, 0)", per_km="cost / nullif(km, 0)")
 add("C22_normalised_unit_cost", rounded(_three, "contract vendor n", "per_trip", "per_rider", "per_km", places=6))
 add("C22_spread", _three.plus(best="min(per_rider) OVER (PARTITION BY contract)").agg("contract", vendors="count(*)", spread_trip="R(max(per_trip) / nullif(min(per_trip), 0))",
-    spread_rider="R(max(per_rider) / nullif(min(per_rider), 0))", spread_km="R(max(per_km) / nullif(min(per_km), 0))", prize="R(sum((per_rider - best) * riders), 4)"))
+    spread_rider="R(max(per_rider) / nullif(min(per_rider), 0))", spread_km="R(max(per_km) / nullif(min(per_km), 0))", prize="RT(sum((per_rider - best) * riders), 4)"))
 
 # C23 zero-cost lines
 add("C23_zero_cost_contract", billed("contract trip_cost", "emp_actual").agg("contract", n="count(*)", zero_lines="NUM(trip_cost = 0)", carried_riders="NUM(trip_cost = 0 AND emp_actual > 0)", has_priced_peer="bool_or(trip_cost > 0)"))

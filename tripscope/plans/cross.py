@@ -29,8 +29,8 @@ for _n, _cell in (("contract", "contract business_unit quarter"), ("contract_sla
     _cells = _rows.agg(_cell + " delay_reason", n="count(*)", cost="sum(trip_cost)")
     _basis = _cells.where("delay_reason = 'NODELAY'").cols(_cell, base_n="n", base="cost / n").where("base_n >= 5")
     _ex = _cells.where("delay_reason <> 'NODELAY'").join(_basis, _cell).plus(excess="cost - base * n")
-    add(f"X2_excess_{_n}", _ex.agg("delay_reason", n="ISUM(n)", excess="R(sum(excess), 4)", per_line="R(sum(excess) / sum(n), 4)"))
-    add(f"X2_excess_{_n}_quarter", _ex.agg("delay_reason quarter", n="ISUM(n)", excess="R(sum(excess), 4)"))
+    add(f"X2_excess_{_n}", _ex.agg("delay_reason", n="ISUM(n)", excess="RT(sum(excess), 4)", per_line="RT(sum(excess) / sum(n), 4)"))
+    add(f"X2_excess_{_n}_quarter", _ex.agg("delay_reason quarter", n="ISUM(n)", excess="RT(sum(excess), 4)"))
 
 # X3 rating points lost per minute of delay
 _loss = rated("route_rating", "delay_minutes delay_reason").where("delay_minutes < 240 AND route_rating IS NOT NULL").plus(bucket=BUCKET)
@@ -50,7 +50,7 @@ add("X4_unit_control", _al.join(trips.cols("trip_id business_unit"), "trip_id").
 # X5 value of empty seats
 _seat = per_trip("emp_planned noshow quarter office").plus(lost="cost * noshow / nullif(emp_planned, 0)")
 for _d in ("quarter", "office"):
-    add(f"X5_noshow_value_{_d}", _seat.cols(f"{_d} lost cost").agg(_d, trips="count(*)", lost="R(sum(lost), 4)", share="R(sum(lost) / nullif(sum(cost), 0))"))
+    add(f"X5_noshow_value_{_d}", _seat.cols(f"{_d} lost cost").agg(_d, trips="count(*)", lost="RT(sum(lost), 4)", share="R(sum(lost) / nullif(sum(cost), 0))"))
 
 # X6 does the rider side show the same dip
 _swing = legs.where("boarded").cols("trip_id late_minutes").join(trips.cols("trip_id office shift_hour product_type quarter on_time"), "trip_id")

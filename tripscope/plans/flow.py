@@ -75,6 +75,8 @@ _CALLS = {
     "RX": (lambda a: f"({a[0]} rlike {a[1]})", lambda a: f"regexp_matches({a[0]}, {a[1]})"),
     "RXR": (lambda a: f"regexp_replace({a[0]}, {a[1]}, {a[2]})", lambda a: f"regexp_replace({a[0]}, {a[1]}, {a[2]}, 'g')"),
     "R": (lambda a: f"round(cast({a[0]} as double), {a[1] if len(a) > 1 else 6})", lambda a: f"round(CAST({a[0]} AS DOUBLE), {a[1] if len(a) > 1 else 6})"),
+    # Rounding for sums of differences, which can fall exactly half-way: a nudge settles such ties the same way everywhere.
+    "RT": (lambda a: f"round(cast({a[0]} as double) + 0.0000001, {a[1]})", lambda a: f"round(CAST({a[0]} AS DOUBLE) + 0.0000001, {a[1]})"),
     "RATE": (lambda a: f"avg(CASE WHEN {a[0]} THEN 1 ELSE 0 END)", lambda a: f"avg(CASE WHEN {a[0]} THEN 1 ELSE 0 END)"),
     "NUM": (lambda a: f"count(CASE WHEN {a[0]} THEN 1 END)", lambda a: f"count(CASE WHEN {a[0]} THEN 1 END)"),
 }
