@@ -6,7 +6,7 @@ from importlib import import_module
 
 from tripscope.plans.registry import Book
 
-MODULES = ["exact_dedup", "near_dup", "suffix_dedup", "packing"]
+MODULES = ["exact_dedup", "near_dup", "suffix_dedup", "packing", "toxicity"]
 
 
 def load() -> Book:
