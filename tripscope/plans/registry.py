@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ["roles_check", "parsing", "metrics", "movement", "quality", "cost", "timeliness", "riders", "feedback", "safety", "cross", "actions"]
+MODULES = ["roles_check", "parsing", "metrics", "movement", "quality", "cost", "timeliness", "riders", "feedback", "safety", "cross", "actions", "cited"]
 
 
 class Book:
