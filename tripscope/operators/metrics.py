@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
-from dataclasses import dataclass, field, fields
+from dataclasses import dataclass, field, fields, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -176,8 +176,6 @@ DEFAULT_CATALOG = catalog(
 
 def regated(specs: dict[str, MetricSpec], gate: int) -> dict[str, MetricSpec]:
     """The same metrics with one volume gate, for small data."""
-    from dataclasses import replace
-
     return {k: replace(s, min_sample=gate) for k, s in specs.items()}
 
 
@@ -194,12 +192,15 @@ def per_metric(specs: dict[str, MetricSpec], attribute: str, kind: str) -> Colum
     return lookup(F.col("metric_id"), {k: getattr(s, attribute) for k, s in specs.items()}, kind)
 
 
-def slices(relations: dict[str, DataFrame], specs: dict[str, MetricSpec], period: str = "month") -> DataFrame:
-    """Every metric × grain × entity × period, one aggregation per source relation.
+def slices(relations: dict[str, DataFrame], specs: dict[str, MetricSpec], period: str = "month", grains: Iterable[str] | None = None) -> DataFrame:
+    """Every metric × grain × entity × period, one aggregation per source relation; of the named ``grains`` only, if any are named.
 
     Values below the gate, and values that are null, NaN or infinite, are null; the sample size is kept.
     """
     out = None
+    if grains is not None:
+        wanted = {GLOBAL, *grains}
+        specs = {k: replace(s, grains=tuple(g for g in s.grains if g in wanted)) for k, s in specs.items()}
     for source in dict.fromkeys(s.source for s in specs.values()):
         part = _slices_of(relations[source], [s for s in specs.values() if s.source == source], period)
         out = part if out is None else out.unionByName(part)
@@ -207,7 +208,7 @@ def slices(relations: dict[str, DataFrame], specs: dict[str, MetricSpec], period
     return out.select(
         "metric_id", "grain", "entity", "period", F.when(usable, F.col("raw")).alias("value"), "n", "covered",
         (F.col("covered") / F.col("n")).alias("coverage"),
-    )
+    ).filter(F.lit(True) if grains is None else F.col("grain").isin(list(grains)))
 
 
 def _slices_of(df: DataFrame, specs: list[MetricSpec], period: str) -> DataFrame:
@@ -278,14 +279,23 @@ def _by_grain(spec: MetricSpec) -> Column:
 def _distinct_counts(rows: DataFrame, spec: MetricSpec, flag: str) -> DataFrame:
     """Distinct ids per grain, entity and period with the ids shuffled once, not once per grain.
 
-    Repeats are dropped first, on all columns together, so an id that holds a third of all rows shrinks to its distinct
-    attribute combinations before rows are brought together by id. From there every step stays inside the partition.
+    An id and period carry the set of their attribute combinations, gathered map-side, so an id that holds a third of all rows is one
+    short list. Ids with the same list are then counted together, and only these counts are spread over the grains.
     """
     kept = rows.filter(flag) if flag else rows
     cols = [f"g_{g}" for g in spec.grains if g != GLOBAL]
-    ids = kept.filter(F.col(spec.distinct).isNotNull()).select(F.col(spec.distinct).alias("__id"), "period", *cols).distinct().repartition("__id")
-    once = ids.select("__id", "period", F.inline(_by_grain(spec))).distinct()
-    return once.groupBy("grain", "entity", "period").agg(F.count("*").alias("divisor")).select(
+    marks = F.struct(*cols) if cols else F.struct(F.lit(1).alias("one"))
+    ids = kept.filter(F.col(spec.distinct).isNotNull()).groupBy(F.col(spec.distinct).alias("__id"), "period").agg(F.array_sort(F.collect_set(marks)).alias("__marks"))
+    counted = ids.groupBy("period", "__marks").agg(F.count("*").alias("__c"))
+
+    def of_grain(g: str) -> Column:
+        if g == GLOBAL:
+            return F.array(F.struct(F.lit(g).alias("grain"), F.lit(ALL).alias("entity")))
+        return F.transform(F.array_distinct(F.col(f"__marks.g_{g}")), lambda e: F.struct(F.lit(g).alias("grain"), e.alias("entity")))
+
+    entities = F.flatten(F.array(*[of_grain(g) for g in spec.grains]))
+    once = counted.select("period", "__c", F.inline(entities))
+    return once.groupBy("grain", "entity", "period").agg(F.sum("__c").alias("divisor")).select(
         F.lit(spec.id).alias("metric_id"), "grain", "entity", "period", "divisor", F.lit(None).cast("double").alias("quantile")
     )
 

@@ -28,14 +28,14 @@ _BILL_INPUTS = (
 )
 
 
-def slices_for(spark: SparkSession, sf: str, specs=SPECS) -> DataFrame:
+def slices_for(spark: SparkSession, sf: str, specs=SPECS, grains=None) -> DataFrame:
     sources = {s.source for s in specs.values()}
     relations = {}
     if "trips" in sources:
         relations["trips"] = roles.trips(spark, sf, *_TRIP_INPUTS)
     if "bills" in sources:
         relations["bills"] = roles.bills(spark, sf, *_BILL_INPUTS)
-    return M.slices(relations, specs, "quarter")
+    return M.slices(relations, specs, "quarter", grains)
 
 
 _KEPT: dict[tuple[str, str, str], DataFrame] = {}
@@ -215,7 +215,7 @@ BOOK.add(
 )
 BOOK.add(
     "M2_overall",
-    lambda spark, sf: rounded(M.overall(slices_for(spark, sf)).select("metric_id", "period", "value", "n"), "value"),
+    lambda spark, sf: rounded(M.overall(slices_for(spark, sf, grains=[M.GLOBAL])).select("metric_id", "period", "value", "n"), "value"),
     sliced_sql(f"SELECT metric_id, period, {r('value')}, n FROM slices WHERE grain = 'global'"),
 )
 BOOK.add(
@@ -387,7 +387,8 @@ BOOK.add(
 
 
 def _flagship(spark, sf):
-    obs = observations_for(spark, sf, {"ota": SPECS["ota"]}).filter("grain = 'business_unit'")
+    one = {"ota": SPECS["ota"]}
+    obs = benchmark.observe(slices_for(spark, sf, one, ["business_unit"]), one, MONTHS)
     return rounded(benchmark.with_band(obs), "value", "coverage", "prior", "delta").select(
         "entity", "period", "n", "value", "coverage", "prior", "delta", "band"
     )
