@@ -23,7 +23,8 @@ def _plain(c: Column) -> Column:
 
 
 def comma_long(c: Column) -> Column:
-    return _plain(c).try_cast("bigint")
+    """Whole numbers, with or without a decimal part, which is rounded; ids of any length pass exactly."""
+    return F.round(_plain(c).try_cast("decimal(38,6)"), 0).try_cast("bigint")
 
 
 def comma_double(c: Column) -> Column:
@@ -49,7 +50,8 @@ def long_timestamp(c: Column) -> Column:
 
 
 def iso_date(c: Column) -> Column:
-    return c.try_cast("date")
+    """Only the ten-character form; a bare year or month is no date."""
+    return F.when(c.rlike(r"^\s*\d{4}-\d{2}-\d{2}\s*$"), c.try_cast("date"))
 
 
 def boolean3(c: Column) -> Column:

@@ -102,10 +102,10 @@ def extract_path(spark: SparkSession, sf: str, name: str) -> str:
             text = ride_text(spark, sf)
             for f in FILES:
                 part = text.filter(F.col("src") == f).drop("src", *(["actual_cab_fuel_type"] if f == "jul" else []))
-                part.write.mode("overwrite").option("header", True).csv(f"{root}/ride_{f}.csv")
+                part.write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{root}/ride_{f}.csv")
         else:
             maker = {"bills": bill_text, "alerts": alert_text, "emp": emp_text, "feedback": feedback_text}[name]
-            maker(spark, sf).write.mode("overwrite").option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{root}.csv")
+            maker(spark, sf).write.mode("overwrite").option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{root}.csv")
         _WRITTEN[key] = root
     return _WRITTEN[key]
 
@@ -230,3 +230,23 @@ BOOK.add("P20_slab_label", lambda spark, sf: roles.bills(spark, sf, "slab_name",
     with_roles("SELECT CASE WHEN slab_name IS NULL THEN 'UNLABELLED' ELSE slab_name || '-A' END AS label, count(*) AS n FROM bills GROUP BY 1", "bills"))
 BOOK.add("P21_local_hour", lambda spark, sf: roles.trips(spark, sf, "planned_start_epoch").select(P.local_hour(c("planned_start_epoch"), 5).alias("local_hour")).groupBy("local_hour").agg(F.count("*").alias("n")),
          with_roles("SELECT CAST((planned_start_epoch - 5 * 3600) // 3600 % 24 AS INTEGER) AS local_hour, count(*) AS n FROM trips GROUP BY 1", "trips"))
+
+# --- odd text: each row gets one of a few spellings, read by both sides from the same strings ------------------------
+
+_ODD_NUMBERS = ["12.7", "1783633500.0", "1,097,076", "9007199254740993", "x", "-3.5", ""]
+_ODD_DATES = ["2026", "2026-06", "2026-06-01", " 2026-06-02 ", "2026-13-01", "n/a"]
+
+
+def _spelled(spark, sf, options):
+    pick = F.element_at(F.array(*[F.lit(o) for o in options]), (F.col("trip_id") % len(options) + 1).cast("int"))
+    return roles.trips(spark, sf, "trip_id").select("trip_id", pick.alias("text"))
+
+
+def _spelled_sql(options) -> str:
+    return f"(SELECT trip_id, [{', '.join(chr(39) + o + chr(39) for o in options)}][CAST(trip_id % {len(options)} + 1 AS INTEGER)] AS text FROM trips)"
+
+
+BOOK.add("P1_odd_numbers", lambda spark, sf: _spelled(spark, sf, _ODD_NUMBERS).select("trip_id", P.comma_long(F.col("text")).alias("whole"), P.comma_double(F.col("text")).alias("number")), with_roles(
+    f"SELECT trip_id, CAST(round(TRY_CAST(replace(text, ',', '') AS DECIMAL(38, 6)), 0) AS BIGINT) AS whole, TRY_CAST(replace(text, ',', '') AS DOUBLE) AS number FROM {_spelled_sql(_ODD_NUMBERS)}", "trips"))
+BOOK.add("P5_odd_dates", lambda spark, sf: _spelled(spark, sf, _ODD_DATES).select("trip_id", P.iso_date(F.col("text")).alias("day")), with_roles(
+    f"SELECT trip_id, CASE WHEN length(trim(text)) = 10 THEN TRY_CAST(trim(text) AS DATE) END AS day FROM {_spelled_sql(_ODD_DATES)}", "trips"))

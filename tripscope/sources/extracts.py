@@ -11,8 +11,11 @@ RELATIONS = ("trips", "bills", "alerts", "emp", "feedback")
 
 
 def read_extract(spark: SparkSession, path: str) -> DataFrame:
-    """One CSV extract, every column text; short lines are padded with nulls."""
-    return spark.read.option("header", True).option("mode", "PERMISSIVE").option("enforceSchema", False).csv(path)
+    """One CSV extract, every column text; short lines are padded with nulls.
+
+    A quote inside a quoted field is doubled, and a backslash is an ordinary character. A line break ends a row even inside quotes.
+    """
+    return spark.read.option("header", True).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").option("enforceSchema", False).csv(path)
 
 
 def read_extracts(spark: SparkSession, paths: list[str], tag: str | None = None) -> DataFrame:
