@@ -11,7 +11,6 @@ PERIOD_LIKE = r"\d{4}-\d{2}(?:-\d{2})?"
 YEAR_LIKE = r"\b(?:19|20)\d{2}\b"
 PLACES = (0, 1, 2, 3)
 EPSILON = 1e-6
-MAX_REPORTED = 12
 
 
 def allowed_values(values: Column) -> Column:
@@ -36,8 +35,8 @@ def _supported(cited: Column, allowed: Column) -> Column:
     return F.exists(allowed, lambda v: near(v) | rounded(v))
 
 
-def ground(df: DataFrame, text: str, values: str, literals: str) -> DataFrame:
-    """Adds ``n_numbers``, ``offending`` (at most twelve distinct numbers) and ``grounded``.
+def ground(df: DataFrame, text: str, values: str, literals: str, max_reported: int | None = None) -> DataFrame:
+    """Adds ``n_numbers``, ``offending`` (distinct numbers; ``max_reported`` of them, by default all) and ``grounded``.
 
     Allowed values sit in the row as a short array, so no pairs of numbers and values are ever produced.
     """
@@ -47,7 +46,7 @@ def ground(df: DataFrame, text: str, values: str, literals: str) -> DataFrame:
         F.filter("__tokens", lambda t: ~_supported(F.replace(t, F.lit(","), F.lit("")).cast("double"), F.col("__allowed")))
     )
     return (
-        df.withColumns({"n_numbers": F.size("__tokens"), "offending": F.slice(bad, 1, MAX_REPORTED)})
+        df.withColumns({"n_numbers": F.size("__tokens"), "offending": bad if max_reported is None else F.slice(bad, 1, max_reported)})
         .withColumn("grounded", F.size("offending") == 0)
         .drop("__tokens", "__allowed")
     )

@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 from tripscope.operators import policy
 
 # Fixed values of the action contract: limits, delays, action names, desks and states.
-MAX_INCIDENTS = 5
-MAX_MEMBERS = 6
 FOLLOW_UP_DAYS = 7
 MAJOR_SEVERITY = 0.66
 MINOR_SEVERITY = 0.33
@@ -33,24 +31,28 @@ def _dash(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), "[^a-z0-9]+", "-"), "^-|-$", "")
 
 
-def triage(ranked: DataFrame) -> DataFrame:
-    """Clusters of one metric moving one way in a period, led by the best score; at most five per period."""
+def triage(ranked: DataFrame, max_incidents: int | None = None, max_members: int | None = None) -> DataFrame:
+    """Clusters of one metric moving one way in a period, led by the best score.
+
+    ``max_incidents`` (per period) and ``max_members`` (ids listed per cluster) cut the report for a desk with room for so many; by default
+    nothing is left out. A cluster has at most as many members as findings were ranked for its period.
+    """
     way = F.when(F.col("points") < 0, "down").otherwise("up")
     cluster = F.concat_ws(":", "metric_id", way)
     members = W.partitionBy("period", "cluster_key").orderBy(F.col("score").desc(), "finding_id")
     rows = ranked.withColumn("cluster_key", cluster).withColumn("__m", F.row_number().over(members))
     lead = F.col("__m") == 1
+    listed = F.lit(True) if max_members is None else F.col("__m") <= max_members
     keep = ("finding_id", "metric_id", "grain", "entity", "value", "prior", "points", "n", "z", "score", "severity", "coverage", "confidence", "known_streak")
     drafts = rows.groupBy("period", "cluster_key").agg(
         F.min("place").alias("__first"),
         F.count("*").alias("n_members"),
-        F.transform(
-            F.slice(F.array_sort(F.collect_list(F.struct("__m", "finding_id"))), 1, MAX_MEMBERS), lambda s: s["finding_id"]
-        ).alias("finding_ids"),
+        F.transform(F.array_sort(F.collect_list(F.when(listed, F.struct("__m", "finding_id")))), lambda s: s["finding_id"]).alias("finding_ids"),
         *[F.max(F.when(lead, F.col(c))).alias(c) for c in keep],
     )
     order = W.partitionBy("period").orderBy("__first")
-    return drafts.withColumn("priority", F.row_number().over(order)).filter(F.col("priority") <= MAX_INCIDENTS).drop("__first")
+    drafts = drafts.withColumn("priority", F.row_number().over(order)).drop("__first")
+    return drafts if max_incidents is None else drafts.filter(F.col("priority") <= max_incidents)
 
 
 def incident_id(cluster: Column, period: Column) -> Column:
@@ -226,9 +228,24 @@ def outcome(due_rows: DataFrame, stored: DataFrame, observations: DataFrame) ->
     return joined.withColumns({"state": state, "note": note}).drop("__status")
 
 
+def settled(stored: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Incident memory after the follow-ups: an open incident measured back within target is resolved."""
+    back = outcomes.filter((F.col("state") == RECOVERED) & F.col("recheck_value").isNotNull()).select("incident_id", F.lit(True).alias("__back")).distinct()
+    closes = F.coalesce("__back", F.lit(False)) & (F.upper("status") == OPEN)
+    return stored.join(back, "incident_id", "left").withColumn("status", F.when(closes, RESOLVED).otherwise(F.col("status"))).drop("__back")
+
+
+def follow_up_audit(outcomes: DataFrame) -> DataFrame:
+    """One audit entry for each follow-up of a pass: what it led to, under the day it was due."""
+    return outcomes.select(
+        F.lit(1).cast("bigint").alias("seq"), F.concat(F.lit("follow-up-"), F.date_format("due_on", "yyyy-MM")).alias("run_id"), F.lit("follow_up").alias("stage"),
+        F.date_format("due_on", "yyyy-MM-dd").alias("at"), F.concat_ws(" ", "incident_id", "state", "note").alias("detail"),
+    )
+
+
 def escalations(outcomes: DataFrame, stored: DataFrame, today: Column) -> DataFrame:
     """A new incident per follow-up that still breaches: one deeper, one priority higher, due again in seven days."""
-    old = stored.select("incident_id", "title", "priority", "streak", "rule_id", "finding_ids", "evidence")
+    old = stored.select("incident_id", "title", "priority", "streak", "rule_id", "finding_ids", "evidence", "persona", "recipient", "desk", "vendor_supported")
     rows = outcomes.filter(F.col("state") == ESCALATED).select("incident_id", "metric_id", "grain", "entity", "recheck", "recheck_value", "recheck_n").join(old, "incident_id")
     depth = F.greatest(F.coalesce("streak", F.lit(1)), F.lit(1)) + 1
     rule = policy.RuleColumns.of(F.col("metric_id"))
@@ -242,6 +259,7 @@ def escalations(outcomes: DataFrame, stored: DataFrame, today: Column) -> DataFr
         F.greatest(F.col("priority") - 1, F.lit(1)).alias("priority"), depth.cast("int").alias("streak"), "rule_id",
         policy.band(rule.relative_gap(F.col("recheck_value"))).alias("incident_band"), "finding_ids",
         F.array_append("evidence", claim).alias("evidence"), F.lit(OPEN).alias("status"), today.alias("detected_on"), F.date_add(today, FOLLOW_UP_DAYS).alias("follow_up_on"),
+        "persona", "recipient", "desk", "vendor_supported", permitted_actions(depth, F.col("vendor_supported"), F.col("recipient"), F.col("desk")).alias("actions"),
     )
 
 

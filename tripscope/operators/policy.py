@@ -101,7 +101,8 @@ def decide(df: DataFrame, metric: str = "metric_id", value: str = "value", prior
     if known_streak:
         known = F.col(known_streak)
         before = F.when(known.isNotNull(), F.greatest(known - 1, F.lit(0))).otherwise(before)
-    relative = F.coalesce(rule.relative_gap(F.col(value)), F.lit(0.0))
+    gap = rule.relative_gap(F.col(value))
+    relative = F.when(gap.isNull() | F.isnan(gap), F.lit(0.0)).otherwise(gap)  # an unusable value is no breach
     return (
         df.withColumns(
             {"rule_id": F.coalesce(rule.rule_id, F.lit(NO_RULE)), "breached": relative > 0, "band": band(relative), "__before": before}

@@ -46,10 +46,10 @@ INCIDENT_CTE = f"""
 r1 AS (SELECT *, metric_id || ':' || CASE WHEN points < 0 THEN 'down' ELSE 'up' END AS cluster_key FROM ranked),
 r2 AS (SELECT *, row_number() OVER (PARTITION BY period, cluster_key ORDER BY score DESC, finding_id) AS m FROM r1),
 d0 AS (SELECT period, cluster_key, min(place) AS first_place, count(*) AS n_members,
-    string_agg(finding_id, '|' ORDER BY m) FILTER (WHERE m <= 6) AS finding_ids FROM r2 GROUP BY 1, 2),
+    string_agg(finding_id, '|' ORDER BY m) AS finding_ids FROM r2 GROUP BY 1, 2),
 d1 AS (SELECT *, CAST(row_number() OVER (PARTITION BY period ORDER BY first_place) AS INTEGER) AS priority FROM d0),
 drafts AS (SELECT d.period, d.cluster_key, n_members, finding_ids, priority, finding_id, metric_id, grain, entity, value, prior, points, n, z, score,
-    severity, coverage FROM d1 d JOIN r2 l ON l.period = d.period AND l.cluster_key = d.cluster_key AND l.m = 1 WHERE priority <= 5),
+    severity, coverage FROM d1 d JOIN r2 l ON l.period = d.period AND l.cluster_key = d.cluster_key AND l.m = 1),
 owners AS (SELECT metric_id, period, max(grain) FILTER (WHERE grain_rank = 1) AS winner, max(leader) FILTER (WHERE grain_rank = 1) AS winner_entity,
     max(power) FILTER (WHERE grain = 'vendor') AS vendor_power FROM att GROUP BY 1, 2),
 dec0 AS (SELECT d.*, CASE metric_id WHEN 'ota' THEN 'SLA-OTA-001' WHEN 'escort_compliance' THEN 'SLA-ESCORT-001' WHEN 'cost_per_km' THEN 'SLA-CPK-001'
@@ -207,6 +207,24 @@ BOOK.add("I11_escalations", lambda spark, sf: I.escalations(_outcomes(spark, sf)
     f"""SELECT incident_id || '-esc' || greatest(streak, 1) AS incident_id, incident_id AS parent_id, 'ESCALATED: ' || title AS title, greatest(priority - 1, 1) AS priority,
   greatest(streak, 1) + 1 AS streak, CASE WHEN rg < 0.02 THEN 'MINOR' WHEN rg < 0.05 THEN 'MAJOR' ELSE 'CRITICAL' END AS incident_band, 'OPEN' AS status, DATE '2002-01-07' AS follow_up_on, 2 AS n_evidence
 FROM (SELECT *, {_REL.replace("value", "recheck_value")} AS rg FROM oc WHERE state = 'ESCALATED')""", OUTCOME_CTE))
+BOOK.add("I10_resolved_incidents", lambda spark, sf: I.settled(stored_for(spark, sf), _outcomes(spark, sf)).select("incident_id", "status"), incident_sql(
+    """SELECT s.incident_id, CASE WHEN s.status = 'OPEN' AND o.state = 'RECOVERED' AND o.recheck_value IS NOT NULL THEN 'RESOLVED' ELSE s.status END AS status
+FROM stored s LEFT JOIN oc o USING (incident_id)""", OUTCOME_CTE))
+
+
+def _escalated(spark, sf):
+    return I.escalations(_outcomes(spark, sf), stored_for(spark, sf), day("2001-12-31"))
+
+
+_ESC = "(SELECT oc.incident_id || '-esc' || greatest(oc.streak, 1) AS incident_id, 'ESCALATED: ' || oc.title AS title, oc.persona, oc.recipient, s.vendor_supported, s.desk, oc.metric_id, oc.grain, oc.entity, s.period FROM oc JOIN stored s USING (incident_id) WHERE oc.state = 'ESCALATED')"
+BOOK.add("I11_escalation_outbox", lambda spark, sf: I.outbox(_escalated(spark, sf)), incident_sql(
+    f"""SELECT incident_id || '/' || type AS message_id, incident_id, type, persona, CASE WHEN type = 'vendor_escalation' AND desk <> 'vendor' THEN 'Vendor operations' ELSE recipient END AS recipient,
+  CASE WHEN type = 'notify' THEN 'Attention required — ' ELSE 'Not permitted — ' END || title AS subject, CASE WHEN type = 'notify' THEN 'SENT' ELSE 'BLOCKED' END AS state
+FROM (SELECT *, unnest(['notify', 'vendor_escalation', 'auto_reallocate']) AS type FROM {_ESC}) WHERE type <> 'vendor_escalation' OR NOT vendor_supported""", OUTCOME_CTE))
+BOOK.add("I11_escalation_follow_ups", lambda spark, sf: I.schedule(_escalated(spark, sf)).drop("note"), incident_sql(
+    f"SELECT incident_id, metric_id, grain, entity, CAST(date_trunc('month', period) AS DATE) AS origin, DATE '2002-01-07' AS due_on, 'PENDING' AS state FROM {_ESC}", OUTCOME_CTE))
+BOOK.add("S7_follow_up_audit", lambda spark, sf: I.follow_up_audit(_outcomes(spark, sf)).select("run_id", "stage", "at", F.substring_index("detail", " ", 2).alias("detail")), incident_sql(
+    "SELECT 'follow-up-' || strftime(f.due_on, '%Y-%m') AS run_id, 'follow_up' AS stage, strftime(f.due_on, '%Y-%m-%d') AS \"at\", oc.incident_id || ' ' || oc.state AS detail FROM oc JOIN fu f USING (incident_id)", OUTCOME_CTE))
 BOOK.add("I12_outbox", lambda spark, sf: I.outbox(incidents_for(spark, sf)), incident_sql(
     """SELECT incident_id || '/' || type AS message_id, incident_id, type, persona, recipient, CASE WHEN type = 'notify' THEN 'Attention required — ' ELSE 'Not permitted — ' END || title AS subject,
   CASE WHEN type = 'notify' THEN 'SENT' ELSE 'BLOCKED' END AS state FROM acts2 WHERE (type = 'notify' AND permitted) OR (type IN ('vendor_escalation', 'auto_reallocate') AND NOT permitted)"""))
