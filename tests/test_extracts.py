@@ -94,3 +94,19 @@ def test_publish_partitions_by_month(spark, tmp_path):
     assert {p.name for p in (tmp_path / "t").iterdir() if p.is_dir()} == {"month=2026-05-01", "month=2026-06-01"}
     assert out.filter("month = date '2026-05-01'").count() == 1
     assert X.publish(df, "lazy_trips").count() == 2
+
+
+def test_quotes_and_backslashes_in_fields(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('a,b,c\n"say ""hi"", ok",2,3\nx\\,y,z\n"x\\",y,z\n')
+    assert [tuple(r) for r in X.read_extract(spark, str(tmp_path / "q.csv")).collect()] == [('say "hi", ok', "2", "3"), ("x\\", "y", "z"), ("x\\", "y", "z")]
+
+
+def test_whole_numbers_and_dates(spark):
+    from tripscope.functions import parse as P
+
+    numbers = {"12.7": 13, "1783633500.0": 1783633500, "1,097,076": 1097076, "9007199254740993": 9007199254740993, "x": None, "": None}
+    dates = {"2026": None, "2026-06": None, "2026-06-01": dt.date(2026, 6, 1)}
+    got = spark.createDataFrame([(t,) for t in (*numbers, *dates)], "t string").select("t", P.comma_long(F.col("t")).alias("n"), P.iso_date(F.col("t")).alias("d")).collect()
+    assert {r.t: r.n for r in got if r.t in numbers} == numbers and {r.t: r.d for r in got if r.t in dates} == dates
+    bill = spark.createDataFrame([("1097076.0",), ("OverHead",)], "trip_id string")
+    assert [r.o for r in bill.select(P.comma_long(F.col("trip_id")).isNull().alias("o")).collect()] == [False, True]

@@ -16,8 +16,8 @@ def follow_ups(spark, ids, metric="ota", due="2026-07-08", origin="2026-06-01"):
 
 
 def memory(spark, rows):
-    data = [(i, s, "ota office a down", p, k, "SLA-OTA-001", ["f1"], [("claim", "ota", "a")], "transport_manager", "Routing desk") for i, s, p, k in rows]
-    return spark.createDataFrame(data, "incident_id string, status string, title string, priority int, streak int, rule_id string, finding_ids array<string>, evidence array<struct<claim:string,metric_id:string,entity:string>>, persona string, recipient string")
+    data = [(i, s, "ota office a down", p, k, "SLA-OTA-001", ["f1"], [("claim", "ota", "a")], "transport_manager", "Routing desk", "routing", False) for i, s, p, k in rows]
+    return spark.createDataFrame(data, "incident_id string, status string, title string, priority int, streak int, rule_id string, finding_ids array<string>, evidence array<struct<claim:string,metric_id:string,entity:string>>, persona string, recipient string, desk string, vendor_supported boolean")
 
 
 def observations(spark, value):
@@ -44,12 +44,36 @@ def test_escalation_chain(spark):
     assert got.incident_id == "inc-ota-down-2026-06-esc1" and got.priority == 1 and got.streak == 2 and got.incident_band == "CRITICAL"
     assert got.title == "ESCALATED: ota office a down" and len(got.evidence) == 2 and str(got.follow_up_on) == "2026-07-15"
     # A second round keeps the root id and the single prefix, and the priority stays at 1.
-    second = spark.createDataFrame([(got.incident_id, "OPEN", got.title, 1, 2, "SLA-OTA-001", ["f1"], [("c", "ota", "a")], "p", "r")], mem.schema)
+    second = spark.createDataFrame([(got.incident_id, "OPEN", got.title, 1, 2, "SLA-OTA-001", ["f1"], [("c", "ota", "a")], "p", "r", "vendor", True)], mem.schema)
     oc2 = oc.withColumn("incident_id", F.lit(got.incident_id))
     again = I.escalations(oc2, second, today()).first()
     assert again.incident_id == "inc-ota-down-2026-06-esc2" and again.title == got.title and again.priority == 1 and again.streak == 3
 
 
+def test_escalations_have_actions_and_follow_ups(spark):
+    oc, mem = outcomes(spark, 0.90)
+    escalated = I.escalations(oc, mem, today())
+    assert {r.type: r.state for r in I.outbox(escalated).collect()} == {"notify": "SENT", "vendor_escalation": "BLOCKED", "auto_reallocate": "BLOCKED"}
+    follow = I.schedule(escalated).first()
+    assert follow.incident_id.endswith("-esc1") and str(follow.due_on) == "2026-07-15" and str(follow.origin) == "2026-06-01"
+
+
+def test_recovery_resolves_only_open_incidents(spark):
+    for value, status, after in ((0.97, "OPEN", "RESOLVED"), (0.97, "DISMISSED", "DISMISSED"), (0.90, "OPEN", "OPEN"), (None, "OPEN", "OPEN")):
+        oc, mem = outcomes(spark, value, status)
+        assert I.settled(mem, oc).first().status == after
+        assert I.follow_up_audit(oc).first().stage == "follow_up"
+
+
+def test_triage_leaves_nothing_out_unless_told(spark):
+    rows = [(dt.date(2026, 6, 1), f"f{i}", f"m{i % 7}", "office", "a", 1.0, 0.5, 1.0, 9, 2.0, 1.0 - i / 100, 0.5, 1.0, "HIGH", 0, i + 1) for i in range(70)]
+    ranked = spark.createDataFrame(rows, "period date, finding_id string, metric_id string, grain string, entity string, value double, prior double, points double, n bigint, z double, score double, severity double, coverage double, confidence string, known_streak int, place int")
+    drafts = I.triage(ranked).collect()
+    assert len(drafts) == 7 and all(len(d.finding_ids) == d.n_members == 10 for d in drafts)
+    cut = I.triage(ranked, max_incidents=5, max_members=6).collect()
+    assert len(cut) == 5 and all(len(d.finding_ids) == 6 and d.n_members == 10 for d in cut)
+
+
 def test_due_and_mark_due(spark):
     fu = follow_ups(spark, ["a", "b"], due="2026-08-01")
     assert I.due(fu, today()).count() == 0
@@ -90,7 +114,7 @@ def test_triage_limits_and_order(spark):
     df = spark.createDataFrame(rows, cols)
     for c, t in (("grain", "string"), ("entity", "string"), ("value", "double"), ("prior", "double"), ("n", "bigint"), ("z", "double"), ("severity", "double"), ("coverage", "double"), ("confidence", "string"), ("known_streak", "int")):
         df = df.withColumn(c, F.lit(None).cast(t))
-    got = I.triage(df).orderBy("priority").collect()
+    got = I.triage(df, max_incidents=5, max_members=6).orderBy("priority").collect()
     assert [g.priority for g in got] == [1, 2, 3, 4, 5] and got[0].cluster_key == "m0:down"
     assert got[0].n_members == 8 and got[0].finding_ids == [f"f0{i}" for i in range(6)]
 

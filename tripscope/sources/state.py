@@ -8,12 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def merged(stored: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
-    """Stored rows with the fresh ones put over them by key. A fresh row replaces the whole stored row."""
+def merged(stored: DataFrame, fresh: DataFrame, key: str, version: str | None = None) -> DataFrame:
+    """Stored rows with the fresh ones put over them by key. A fresh row replaces the whole stored row.
+
+    With a ``version`` column, a fresh row older than the stored one is late and changes nothing; a null version is the oldest.
+    """
     cols = stored.columns
     new = fresh.select(F.col(key), F.struct(*[c for c in cols if c != key]).alias("__new"))
     both = stored.select(F.col(key), F.struct(*[c for c in cols if c != key]).alias("__old")).join(new, key, "full_outer")
-    return both.select(key, F.coalesce("__new", "__old").alias("__row")).select(key, "__row.*").select(*cols)
+    newer = F.coalesce("__new", "__old")
+    if version is not None:
+        late = F.col("__old").isNotNull() & F.coalesce(F.col(f"__old.{version}") > F.col(f"__new.{version}"), F.col(f"__new.{version}").isNull() & F.col(f"__old.{version}").isNotNull())
+        newer = F.when(late, F.col("__old")).otherwise(newer)
+    return both.select(key, newer.alias("__row")).select(key, "__row.*").select(*cols)
 
 
 class StateTable:
@@ -40,9 +47,9 @@ class StateTable:
         version = self._current()[1]
         return None if version is None else self.spark.read.parquet(f"{self.path}/{version}")
 
-    def put(self, fresh: DataFrame) -> DataFrame:
+    def put(self, fresh: DataFrame, version_column: str | None = None) -> DataFrame:
         seq, version = self._current()
-        table = fresh if version is None else merged(self.spark.read.parquet(f"{self.path}/{version}"), fresh, self.key)
+        table = fresh if version is None else merged(self.spark.read.parquet(f"{self.path}/{version}"), fresh, self.key, version_column)
         name = f"v{seq + 1:08d}-{uuid.uuid4().hex[:8]}"
         table.write.parquet(f"{self.path}/{name}")
         marker = self.spark.range(1).select(F.lit(seq + 1).cast("bigint").alias("seq"), F.lit(name).alias("version"))
@@ -70,4 +77,5 @@ def audit_tail(spark: SparkSession, path: str, n: int) -> DataFrame:
 def latest_per_key(rows: DataFrame, key: str, version: str) -> DataFrame:
     """The newest row of each key: what a batch of repeated puts comes down to."""
     cols = [c for c in rows.columns if c != key]
-    return rows.groupBy(key).agg(F.max_by(F.struct(*cols), version).alias("__row")).select(key, "__row.*")
+    known = F.struct(F.col(version).isNotNull(), F.col(version))  # rows without a version come last, but are not lost
+    return rows.groupBy(key).agg(F.max_by(F.struct(*cols), known).alias("__row")).select(key, "__row.*")

@@ -12,6 +12,6 @@ def upsert_stream(rows: DataFrame, table: StateTable, version: str, checkpoint:
     """Each batch is reduced to its newest row per key and put into the table. A replayed batch puts the same rows again."""
 
     def put(batch: DataFrame, _epoch: int) -> None:
-        table.put(latest_per_key(batch, table.key, version))
+        table.put(latest_per_key(batch, table.key, version), version)
 
     return rows.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
