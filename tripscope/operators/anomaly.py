@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -128,7 +130,9 @@ def confidence() -> Column:
 
 
 def actionability() -> Column:
-    return F.coalesce(M.lookup(F.col("grain"), ACTIONABILITY, "double"), F.lit(DEFAULT_ACTIONABILITY))
+    """Weight of the grain; case and separators in its name do not matter."""
+    bare = {re.sub("[^a-z0-9]", "", k.lower()): v for k, v in ACTIONABILITY.items()}
+    return F.coalesce(M.lookup(F.regexp_replace(F.lower("grain"), "[^a-z0-9]", ""), bare, "double"), F.lit(DEFAULT_ACTIONABILITY))
 
 
 def persistence(specs: dict[str, M.MetricSpec]) -> Column:

@@ -289,3 +289,56 @@ WHERE delay_reason <> '{reason}' GROUP BY 1, 2""", "bills", "trips", extra="""tb
 
 BOOK.add("X2_matched_excess_published", lambda spark, sf: matched_excess(spark, sf), _excess_sql("NODELAY", 100))
 BOOK.add("X2_matched_excess_small_gate", lambda spark, sf: matched_excess(spark, sf, least=2), _excess_sql("NODELAY", 2))
+
+# --- every period as rows, where the cited SELECT lists a few ----------------------------------------------------------
+
+
+def contract_share(spark: SparkSession, sf: str) -> DataFrame:
+    """Each contract's share of a month's spend, and its shift from the month before."""
+    cells = roles.bills(spark, sf, "contract", "month", "trip_cost").groupBy("contract", "month").agg(F.sum("trip_cost").alias("cost"))
+    total = cells.groupBy("month").agg(F.sum("cost").alias("total"))
+    s = cells.join(total, "month").withColumn("s", F.col("cost") / F.nullif(F.col("total"), F.lit(0)))
+    before = F.lag("s").over(W.partitionBy("contract").orderBy("month"))
+    return s.select("contract", "month", F.round("s", 6).alias("part"), F.round(F.col("s") - before, 6).alias("shift"))
+
+
+BOOK.add("C6_share_every_month", contract_share, with_roles("""SELECT contract, month, round(s, 6) AS part, round(s - lag(s) OVER (PARTITION BY contract ORDER BY month), 6) AS shift
+FROM (SELECT contract, month, CAST(sum(trip_cost) AS DOUBLE) / nullif(sum(CAST(sum(trip_cost) AS DOUBLE)) OVER (PARTITION BY month), 0) AS s FROM bills GROUP BY 1, 2)""", "bills"))
+
+
+def _monthly(dim: str):
+    def fn(spark: SparkSession, sf: str) -> DataFrame:
+        cells = roles.trips(spark, sf, dim, "month", "on_time").groupBy(dim, "month").agg(F.count("*").alias("n"), F.avg("on_time").alias("rate"))
+        before = F.lag("rate").over(W.partitionBy(dim).orderBy("month"))
+        return cells.select(dim, "month", "n", F.round("rate", 6).alias("rate"), F.round(F.col("rate") - before, 6).alias("delta"))
+
+    return fn
+
+
+for _dim in ("office", "vendor_id", "product_type"):
+    BOOK.add(f"L2_every_month_{_dim}", _monthly(_dim), with_roles(f"""SELECT {_dim}, month, n, round(rate, 6) AS rate, round(rate - lag(rate) OVER (PARTITION BY {_dim} ORDER BY month), 6) AS delta
+FROM (SELECT {_dim}, month, count(*) AS n, avg(on_time) AS rate FROM trips GROUP BY 1, 2)""", "trips"))
+
+
+def no_show_every_month(spark: SparkSession, sf: str) -> DataFrame:
+    return roles.legs(spark, sf, "signintype", "month", "is_no_show").groupBy("signintype", "month").agg(
+        F.count("*").alias("n"), F.count(F.when(F.col("is_no_show"), 1)).alias("noshows"), share(F.count(F.when(F.col("is_no_show"), 1)), F.count("*")).alias("rate"))
+
+
+BOOK.add("E2_noshow_every_month", no_show_every_month, with_roles("""SELECT signintype, month, count(*) AS n, count(*) FILTER (WHERE is_no_show) AS noshows, round(count(*) FILTER (WHERE is_no_show) / count(*), 6) AS rate
+FROM legs GROUP BY 1, 2""", "legs"))
+
+
+def segment_reversal(spark: SparkSession, sf: str) -> DataFrame:
+    """Unit cost by year, per billing regime and overall, with the change from the year before."""
+    rows = roles.bills(spark, sf, "billing_regime", "month", "trip_cost", "total_trip_km").withColumn("year", F.year("month"))
+    cells = rows.groupBy(F.col("billing_regime").alias("segment"), "year").agg(F.sum("trip_cost").alias("cost"), F.sum("total_trip_km").alias("km"))
+    both = cells.unionByName(cells.groupBy("year").agg(F.sum("cost").alias("cost"), F.sum("km").alias("km")).withColumn("segment", F.lit("ALL")))
+    unit = both.withColumn("unit", F.col("cost") / F.nullif(F.col("km"), F.lit(0)))
+    before = F.lag("unit").over(W.partitionBy("segment").orderBy("year"))
+    return unit.select("segment", "year", F.round("unit", 6).alias("unit"), F.round(F.col("unit") - before, 6).alias("change"))
+
+
+BOOK.add("C24_reversal_every_year", segment_reversal, with_roles("""SELECT segment, year, round(u, 6) AS unit, round(u - lag(u) OVER (PARTITION BY segment ORDER BY year), 6) AS change
+FROM (SELECT CASE WHEN grouping(billing_regime) = 1 THEN 'ALL' ELSE billing_regime END AS segment, CAST(year(month) AS INTEGER) AS year, CAST(sum(trip_cost) AS DOUBLE) / nullif(sum(total_trip_km), 0) AS u
+      FROM bills GROUP BY GROUPING SETS ((billing_regime, year(month)), (year(month))))""", "bills"))
