@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import base64
+import json
 import os
+import unicodedata
 from array import array
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -16,6 +18,33 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Stands for the end of a word; no UTF-8 text has this byte.
+_END = b"\xff"
+
+
+def _byte_letters() -> dict[str, int]:
+    """The letters by which byte-level vocabularies write bytes: printable ones as themselves, the others from U+0100 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    others = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
+def _word_ranked(path: str):
+    """Ids of one word in lower case by merging in the order of ids, for vocabularies whose last letter of a word is marked ``</w>``."""
+    import tiktoken
+
+    letters = _byte_letters()
+    with open(path, encoding="utf-8") as file:
+        model = json.load(file)["model"]
+    ranks = {}
+    for piece, rank in model["vocab"].items():
+        body = piece.removesuffix("</w>")
+        if all(c in letters for c in body):
+            ranks[bytes(letters[c] for c in body) + (_END if body != piece else b"")] = rank
+    single = tiktoken.Encoding("words", pat_str=".", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+    return lambda word: single(word.encode() + _END)
+
+
 def _ranked(path: str):
     import public_tokenizers
     import tiktoken
@@ -45,6 +74,7 @@ class Encoder(dict):
         # The same vocabulary in the faster library, where there is a file of ranks beside it.
         ranks = path.removesuffix(".json") + ".tiktoken"
         self.ranked = _ranked(ranks) if kind == "byte" and os.path.exists(ranks) else None
+        self.word_ranked = _word_ranked(path) if kind == "word" else None
 
     def _packed(self, text: str) -> bytes:
         if self.ranked is not None:
@@ -61,6 +91,8 @@ class Encoder(dict):
             value = self[piece[:-1]] + self[body[-1]]
         elif self.kind == "word" and piece.isascii() and piece != (low := piece.lower()):
             value = self[low]
+        elif self.kind == "word" and (word := piece.lower()).isalpha() and "\u03a3" not in piece and unicodedata.is_normalized("NFC", piece):
+            value = array(self.typecode, self.word_ranked(word)).tobytes()
         else:
             value = self._packed(piece)
         self[piece] = value
