@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tripscope.operators import benchmark, metrics as M
 from tripscope.plans.registry import Book
 from tripscope.plans.role_sql import with_roles
-from tripscope.session import ensure_checkpoint_dir
+from tripscope.session import ensure_checkpoint_dir, input_mark
 from tripscope.sources import roles
 
 BOOK = Book()
@@ -38,12 +38,12 @@ def slices_for(spark: SparkSession, sf: str, specs=SPECS, grains=None) -> DataFr
     return M.slices(relations, specs, "quarter", grains)
 
 
-_KEPT: dict[tuple[str, str, str], DataFrame] = {}
+_KEPT: dict[tuple, DataFrame] = {}
 
 
 def kept(spark: SparkSession, sf: str, name: str, make) -> DataFrame:
     """A derived table computed once per application and kept as a reliable checkpoint in the shared folder."""
-    key = (spark.sparkContext.applicationId, sf, name)
+    key = (spark.sparkContext.applicationId, sf, name, input_mark(spark, sf))
     if key not in _KEPT:
         ensure_checkpoint_dir(spark)
         _KEPT[key] = make().checkpoint()

@@ -6,6 +6,8 @@ flags, text nulls, a column missing from one file. Expected values come straight
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from tripscope.functions import parse as P
 from tripscope.operators import quality as Q
 from tripscope.plans.registry import Book
 from tripscope.plans.role_sql import with_roles
-from tripscope.session import shared_dir
+from tripscope.session import input_mark, shared_dir
 from tripscope.sources import extracts, roles
 
 BOOK = Book()
@@ -90,14 +92,14 @@ def feedback_text(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-_WRITTEN: dict[tuple[str, str, str], str] = {}
+_WRITTEN: dict[tuple, str] = {}
 
 
 def extract_path(spark: SparkSession, sf: str, name: str) -> str:
     """The relation's text extract as CSV in the shared folder, written once per application."""
-    key = (spark.sparkContext.applicationId, sf, name)
+    key = (spark.sparkContext.applicationId, sf, name, input_mark(spark, sf))
     if key not in _WRITTEN:
-        root = f"{shared_dir(spark)}/extracts-{key[0]}/{sf.strip('/').replace('/', '_')}/{name}"
+        root = f"{shared_dir(spark)}/extracts-{key[0]}-{zlib.crc32(repr(key[3]).encode()):08x}/{sf.strip('/').replace('/', '_')}/{name}"
         if name == "trips":
             text = ride_text(spark, sf)
             for f in FILES:

@@ -43,6 +43,13 @@ def shared_dir(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix=f"tripscope-{os.getpid()}-")
 
 
+def input_mark(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of what lies in a folder: a table kept from it is stale once this changes."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    listed = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+    return tuple(sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in listed))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Point the context at the shared checkpoint folder once."""
     if spark.sparkContext.getCheckpointDir() is None:
