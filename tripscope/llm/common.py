@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tripscope.session import shared_dir
@@ -41,3 +42,14 @@ def per_batch(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema:
                 yield fn(batch)
 
     return df.mapInPandas(run, schema)
+
+
+def per_arrow_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+    """The same on Arrow batches, where columns that only pass through (ids with nulls) keep their type."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield fn(batch)
+
+    return df.mapInArrow(run, schema)

@@ -4,17 +4,19 @@ Join", 2018), and their connected components.
 A document's set holds the 64-bit hashes of its word shingles. Minwise hashing turns the set into ``TOKENS`` tokens. Each of ``trees``
 independent trees branches every set at its root into the nodes named by two of its tokens; two sets meet in a node when they share the
 token. Nodes above ``NODE_LIMIT`` branch again by two further tokens, chosen by the node's name, down to ``DEPTH`` levels. The sets that
-meet in a node are compared exhaustively on their full shingle sets, so no false link arises. A pair at the threshold s misses a tree
+meet in a node are compared exhaustively, at last on their full shingle sets, so no false link arises. A pair at the threshold s misses a tree
 with probability q(d) = (1 - s (1 - q(d-1)))^2, q(0) = 0: below 0.031 for s = 0.85 and below 0.06 for s = 0.8 at any depth, which four
 trees turn into 1e-6 and six trees into 5e-8.
 
 What keeps it whole and bounded:
 
 * Equal sets are one set with the smallest id; a group of copies of any size costs one row.
-* A node is compared by breadth-first search from set to set: each step holds one set against those not reached yet and adds them to its
-  component, so a node of alike sets ends after few steps. A node yields a forest of links, at most one per set, never its pairs.
-* A node still above ``NODE_LIMIT`` at the last level is cut into blocks that each also get the node's first set. What is not connected
-  to that set after this is compared with every block in a second pass. No set is dropped.
+* Sets that meet are first held against each other by their signatures of ``TOKENS`` tokens, which are small. Sets whose signatures agree
+  nearly as often as those of linked sets form clusters; only these fetch their full sets, each once, and are compared on them.
+* Nodes and clusters are compared by breadth-first search: each step holds one set against those not reached yet and adds its links to
+  the component, so a node of alike sets ends after few steps. It yields a forest of links, at most one per set, never its pairs.
+* A node above ``NODE_LIMIT`` at the last level, or a cluster above ``CLUSTER_LIMIT``, is cut into blocks that each also get its first
+  set. What is not connected to that set after this is compared with every block in a second pass. No set is dropped.
 * Nodes with the same members are compared once.
 
 Defined cases: a null, empty or blank text has an empty set, links with nothing and is its own component; a text with fewer words than
@@ -24,22 +26,24 @@ treated as one document per text; an empty table gives an empty result; other co
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from xxhash import xxh3_64_intdigest
 
-from tripscope.llm.common import documents, per_batch, written
+from tripscope.llm.common import documents, per_arrow_batch, per_batch, written
 from tripscope.llm.components import components
 from tripscope.plans.registry import Book
 
 BOOK = Book()
 TOKENS = 32
 DEPTH = 3
-NODE_LIMIT = 512
-_MASK = (1 << 64) - 1
+NODE_LIMIT = 4096
+CLUSTER_LIMIT = 2048
 _RNG = np.random.default_rng(20190117)
 _MUL = _RNG.integers(1, 2**63, TOKENS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 2**63, TOKENS, dtype=np.uint64)
@@ -55,54 +59,44 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-class _WordHash(dict):
-    """64-bit hashes of words, remembered up to a bound."""
-
-    BOUND = 400_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.BOUND:
-            self.clear()
-        value = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return value
-
-
-_WORDS = _WordHash()
-
-
 def shingle_set(text: str | None, words: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles of a text, A-Z lower-cased, words split at ASCII white space."""
-    if not text:
-        return np.empty(0, np.uint64)
-    found = text.encode("utf-8", "surrogatepass").lower().split()
+    found = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not found:
         return np.empty(0, np.uint64)
-    memo = _WORDS
-    h = np.fromiter([memo[w] for w in found], np.uint64, len(found))
+    h = np.fromiter(map(xxh3_64_intdigest, found), np.uint64, len(found))
     k = min(words, len(h))
     n = len(h) - k + 1
     out = np.full(n, k, np.uint64)
     for i in range(k):
         out = _mixed(out * _STEP[i] + h[i : i + n])
-    return np.unique(out)
+    out.sort()
+    return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
-def _signature(s: np.ndarray) -> np.ndarray:
-    low = np.empty(TOKENS, np.uint64)
+def _signatures(sets: list[np.ndarray]) -> np.ndarray:
+    """Least hash of each set (none empty) under each function, all sets at once."""
+    flat = np.concatenate(sets)
+    starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
+    low = np.empty((len(sets), TOKENS), np.uint32)
     for i in range(TOKENS):
-        low[i] = _mixed(s * _MUL[i] + _ADD[i]).min()
-    return low.astype(np.uint32)
+        low[:, i] = np.minimum.reduceat(flat * _MUL[i] + _ADD[i], starts) >> np.uint64(32)
+    return low
 
 
 def _describe(words: int):
-    def fn(batch: pd.DataFrame) -> pd.DataFrame:
+    def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         n, key, sig = [], [], []
-        for text in batch["text"]:
-            s = shingle_set(text, words)
-            n.append(len(s))
-            key.append(hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest())
-            sig.append(_signature(s).tobytes() if len(s) else None)
-        return pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": n, "set_key": key, "sig": sig})
+        texts = batch.column("text").to_pylist()
+        for at in range(0, len(texts), 500):
+            sets = [shingle_set(t, words) for t in texts[at : at + 500]]
+            low = iter(_signatures(some)) if (some := [s for s in sets if len(s)]) else iter(())
+            for s in sets:
+                n.append(len(s))
+                key.append(blake2b(s.tobytes(), digest_size=16).hexdigest())
+                sig.append(next(low).tobytes() if len(s) else None)
+        arrays = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(key, pa.string()), pa.array(sig, pa.binary())]
+        return pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "set_key", "sig"])
 
     return fn
 
@@ -159,17 +153,12 @@ def _meeting(reps: DataFrame, trees: int) -> DataFrame:
     return out
 
 
-def linked(sets: list[np.ndarray], percent: int, seeds: np.ndarray | None = None) -> np.ndarray:
-    """Labels of the connected components of sets, where 100 * intersection >= percent * union links two.
+def _search(n: int, alike: Callable[[int, np.ndarray], np.ndarray], seeds: np.ndarray | None) -> np.ndarray:
+    """Labels of connected components by breadth-first search; ``alike(at, others)`` gives the others that ``at`` is linked to.
 
     With ``seeds`` (a mask), only pairs with a seed on one side are compared.
     """
-    n = len(sets)
-    sizes = np.fromiter(map(len, sets), np.int64, n)
-    flat, starts = np.concatenate(sets), np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    _, token = np.unique(flat, return_inverse=True)
-    label, held = np.full(n, -1, np.int64), np.zeros(token.max() + 1, bool)
-    waiting = np.arange(n)  # not reached yet, in order
+    label, waiting = np.full(n, -1, np.int64), np.arange(n)  # waiting: not reached yet
     for first in range(n):
         if label[first] >= 0:
             continue
@@ -178,101 +167,119 @@ def linked(sets: list[np.ndarray], percent: int, seeds: np.ndarray | None = None
         queue = [first]
         while queue and len(waiting):
             at = queue.pop()
-            near = waiting[(100 * sizes[waiting] >= percent * sizes[at]) & (100 * sizes[at] >= percent * sizes[waiting])]
-            if seeds is not None and not seeds[at]:
-                near = near[seeds[near]]
-            if not len(near):
-                continue
-            mine = token[starts[at] : starts[at] + sizes[at]]
-            held[mine] = True
-            lengths = sizes[near]
-            offsets = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-            places = np.repeat(starts[near] - offsets, lengths) + np.arange(lengths.sum())
-            common = np.add.reduceat(held[token[places]].astype(np.int64), offsets)
-            held[mine] = False
-            hit = near[100 * common >= percent * (sizes[at] + lengths - common)]
+            near = waiting if seeds is None or seeds[at] else waiting[seeds[waiting]]
+            hit = alike(at, near) if len(near) else near
             if len(hit):
                 label[hit] = first
-                waiting = np.setdiff1d(waiting, hit, assume_unique=True)
+                waiting = waiting[label[waiting] < 0]
                 queue.extend(hit.tolist())
     return label
 
 
-def _compare(percent: int):
+def linked(payload: list[bytes], percent: int, seeds: np.ndarray | None = None) -> np.ndarray:
+    """Components of sets, where 100 * intersection >= percent * union links two."""
+    sets = [np.frombuffer(b, np.uint64) for b in payload]
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    _, token = np.unique(np.concatenate(sets), return_inverse=True)
+    held = np.zeros(token.max() + 1, bool)
+
+    def alike(at: int, others: np.ndarray) -> np.ndarray:
+        near = others[(100 * sizes[others] >= percent * sizes[at]) & (100 * sizes[at] >= percent * sizes[others])]
+        if not len(near):
+            return near
+        mine = token[starts[at] : starts[at] + sizes[at]]
+        held[mine] = True
+        lengths = sizes[near]
+        offsets = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+        places = np.repeat(starts[near] - offsets, lengths) + np.arange(lengths.sum())
+        common = np.add.reduceat(held[token[places]].astype(np.int64), offsets)
+        held[mine] = False
+        return near[100 * common >= percent * (sizes[at] + lengths - common)]
+
+    return _search(len(sets), alike, seeds)
+
+
+def loosely_linked(payload: list[bytes], percent: int, seeds: np.ndarray | None = None) -> np.ndarray:
+    """Components of sets whose signatures agree as often as those of linked sets do, less 4.6 standard deviations."""
+    sig = np.frombuffer(b"".join(payload), np.uint32).reshape(len(payload), TOKENS)
+    share = percent / 100
+    least = int(TOKENS * share - 4.6 * (TOKENS * share * (1 - share)) ** 0.5)
+    return _search(len(sig), lambda at, others: others[(sig[others] == sig[at]).sum(axis=1) >= least], seeds)
+
+
+def _compare(compare, percent: int):
     def fn(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["lead", "rep"], ascending=[False, True]).drop_duplicates("rep")
-        reps = group["rep"].to_numpy()
-        if len(reps) < 2:
-            return pd.DataFrame({"rep": reps[:0], "root": reps[:0]})
-        seeds = group["seed"].to_numpy()
-        label = linked([np.frombuffer(b, np.uint64) for b in group["set"]], percent, None if seeds.all() else seeds)
-        return pd.DataFrame({"rep": reps, "root": reps[label]})
+        reps, seeds = group["rep"].to_numpy(), group["seed"].to_numpy()
+        label = compare(group["payload"].tolist(), percent, None if seeds.all() else seeds)
+        return pd.DataFrame({"rep": reps, "root": reps[label], "node": group["node"].to_numpy()})
 
     return fn
 
 
-_SET_ROWS = "rep long, nodes array<struct<node:bigint,size:bigint>>, set binary"
+def _forest(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], limit: int, compare, percent: int) -> DataFrame:
+    """(a, b): links that connect what ``compare`` links within each node of ``members(node, size, rep)``.
+
+    ``fetch`` adds the payload to compare. Nodes of up to ``limit`` members are one group each. Larger ones are cut into blocks that all
+    get the node's first member; members that this does not connect to the first are then held against every block.
+    """
+    yes, no = F.lit(True), F.lit(False)
+    schema = "rep long, root long, node long"
+    small = fetch(members.filter(F.col("size") <= limit)).select("node", "rep", yes.alias("seed"), no.alias("lead"), "payload")
+    found = small.groupBy("node").applyInPandas(_compare(compare, percent), schema)
+    firsts = members.filter(F.col("size") > limit).groupBy("node").agg(F.min("rep").alias("first"))
+    if firsts.limit(1).count():
+        blocks = F.ceil(F.col("size") / limit).cast("int")
+        large = written(fetch(members.filter(F.col("size") > limit)).join(firsts, "node").withColumn("blocks", blocks), "large-nodes")
+        lead = F.col("rep") == F.col("first")
+        every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
+        own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block")
+        copied = large.filter(lead).select("node", every, "rep", yes.alias("seed"), yes.alias("lead"), "payload")
+        dealt = large.filter(~lead).select("node", own, "rep", yes.alias("seed"), no.alias("lead"), "payload")
+        within = written(copied.union(dealt).groupBy("node", "block").applyInPandas(_compare(compare, percent), schema), "within-blocks")
+        apart = within.join(firsts, "node").filter("root <> first").select("node", "rep").distinct()
+        cells = apart.groupBy("node").agg(F.ceil(F.count("*") / limit).cast("int").alias("cells"))
+        others = large.join(cells, "node").select("node", own, F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), "rep", no.alias("seed"), no.alias("lead"), "payload")
+        cell = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("cells")).cast("int").alias("cell")
+        seeds = large.join(apart, ["node", "rep"], "left_semi").join(cells, "node").select("node", every, cell, "rep", yes.alias("seed"), yes.alias("lead"), "payload")
+        across = others.union(seeds).groupBy("node", "block", "cell").applyInPandas(_compare(compare, percent), schema)
+        found = found.union(within).union(across)
+    return found.filter("root <> rep").select(F.col("root").alias("a"), F.col("rep").alias("b"))
 
 
 def _sets(words: int):
     def fn(batch: pd.DataFrame) -> pd.DataFrame:
-        sets = [shingle_set(t, words) for t in batch["text"]]
-        right = [hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() == k for s, k in zip(sets, batch["set_key"])]
-        out = pd.DataFrame({"rep": batch["doc_id"], "nodes": batch["nodes"], "set": [s.tobytes() for s in sets]})
-        return out[right].drop_duplicates("rep")
+        sets = [shingle_set(t, words).tobytes() for t in batch["text"]]
+        # Another text under the same id is not the representative.
+        right = [blake2b(s, digest_size=16).hexdigest() == k for s, k in zip(sets, batch["set_key"])]
+        return pd.DataFrame({"node": batch["node"], "size": batch["size"], "rep": batch["doc_id"], "payload": sets})[right]
 
     return fn
 
 
 def _links(docs: DataFrame, reps: DataFrame, words: int, percent: int, trees: int) -> DataFrame:
-    """(a, b): a forest of links between representatives whose sets are alike."""
+    """(a, b): links that connect representatives whose sets are alike."""
     meeting = written(_meeting(reps, trees), "meeting")
-    # A set meets others in at most 2^DEPTH * trees nodes, so the list of its nodes is bounded.
-    whose = meeting.groupBy("rep").agg(F.collect_set(F.struct("node", "size")).alias("nodes")).join(reps.select("rep", "set_key"), "rep")
-    texts = docs.select("doc_id", "text").join(whose, F.col("doc_id") == F.col("rep"))
-    sets = per_batch(texts.select("doc_id", "text", "set_key", "nodes"), _sets(words), _SET_ROWS)
-    in_nodes = sets.select("rep", F.explode("nodes").alias("at"), "set").select("rep", "at.node", "at.size", "set")
-    blocks = F.when(F.col("size") > NODE_LIMIT, F.ceil(F.col("size") / NODE_LIMIT).cast("int")).otherwise(F.lit(1))
-    schema = "rep long, root long"
-    yes, no = F.lit(True), F.lit(False)
+    signed = reps.select("rep", F.col("sig").alias("payload"))
+    loose = components(_forest(meeting, lambda m: m.join(signed, "rep").select("node", "rep", "size", "payload"), NODE_LIMIT, loosely_linked, percent))
+    # Each set is now in one cluster, and is fetched once.
+    clusters = written(loose.select(F.col("id").alias("rep"), F.col("component").alias("node")), "clusters")
+    members = clusters.join(clusters.groupBy("node").agg(F.count("*").alias("size")), "node")
 
-    small = in_nodes.filter(f"size <= {NODE_LIMIT}").select("node", F.lit(0).alias("block"), "rep", yes.alias("seed"), no.alias("lead"), "set")
-    large = in_nodes.filter(f"size > {NODE_LIMIT}").withColumn("blocks", blocks)
-    firsts = meeting.filter(f"size > {NODE_LIMIT}").groupBy("node").agg(F.min("rep").alias("first"))
-    if not firsts.limit(1).count():
-        found = small.groupBy("node", "block").applyInPandas(_compare(percent), schema)
-        return found.select(F.col("root").alias("a"), F.col("rep").alias("b"))
-
-    large = written(large.join(firsts, "node"), "large-nodes")
-    lead = F.col("rep") == F.col("first")
-    copied = large.filter(lead).select("node", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "rep", yes.alias("seed"), yes.alias("lead"), "set")
-    dealt = large.filter(~lead).select("node", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), "rep", yes.alias("seed"), no.alias("lead"), "set")
-    compared = small.union(copied).union(dealt).groupBy("node", "block").applyInPandas(
-        lambda key, group: _compare(percent)(group).assign(node=key[0]), "rep long, root long, node long"
-    )
-    compared = written(compared, "compared")
-
-    # What is not connected to the first set of a large node yet meets every block of it.
-    apart = compared.join(firsts, "node").filter("root <> first").select("node", "rep")
-    open_ = large.join(apart, ["node", "rep"], "left_semi")
-    counts = open_.groupBy("node").agg(F.count("*").alias("open"))
-    per_cell = F.ceil(F.col("open") / NODE_LIMIT).cast("int")
-    rows = large.join(counts, "node").withColumn("cells", per_cell)
-    mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    theirs = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("cells")).cast("int")
-    others = rows.select("node", mine.alias("block"), F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), "rep", no.alias("seed"), no.alias("lead"), "set")
-    seeds = open_.join(counts, "node").withColumn("cells", per_cell).select(
-        "node", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), theirs.alias("cell"), "rep", yes.alias("seed"), yes.alias("lead"), "set"
-    )
-    rest = others.union(seeds).groupBy("node", "block", "cell").applyInPandas(_compare(percent), schema)
-    return compared.select("rep", "root").union(rest).select(F.col("root").alias("a"), F.col("rep").alias("b"))
+    def fetch(m: DataFrame) -> DataFrame:
+        keyed = m.join(reps.select("rep", "set_key"), "rep")
+        texts = docs.join(keyed.withColumnRenamed("rep", "__rep"), F.col("doc_id") == F.col("__rep"))
+        return per_batch(texts.select("doc_id", "text", "set_key", "node", "size"), _sets(words), "node long, size long, rep long, payload binary")
+
+    return _forest(members, fetch, CLUSTER_LIMIT, linked, percent)
 
 
 def components_of(docs: DataFrame, words: int = 5, percent: int = 80, trees: int | None = None) -> DataFrame:
     """One row per input row: (doc_id, n_shingles, component_id, kept)."""
     trees = trees or (4 if percent >= 85 else 6)
-    docs = docs.select("doc_id", "text")
-    base = written(per_batch(docs, _describe(words), "doc_id long, n_shingles long, set_key string, sig binary"), "sets")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    base = written(per_arrow_batch(docs, _describe(words), "doc_id long, n_shingles long, set_key string, sig binary"), "sets")
     some = base.filter("n_shingles > 0")
     reps = written(
         some.filter("doc_id IS NOT NULL").groupBy("set_key").agg(F.min(F.struct("doc_id", "sig")).alias("m")).select("set_key", F.col("m.doc_id").alias("rep"), "m.sig"),
