@@ -256,6 +256,9 @@ _PROFILE = ["value", "prior", "delta", "robust_z", "sla_gap", "peer_median", "se
 BOOK.add("I15_entity_profile", lambda spark, sf: rounded(observations_for(spark, sf).filter("grain = 'business_unit' and entity = 'EUROPE'"), *_PROFILE).select("metric_id", "period", *_PROFILE, "peer_rank", "sla_breached", "confidence"), observed_sql(
     f"SELECT metric_id, period, {', '.join(r(c) for c in _PROFILE)}, peer_rank, sla_breached, confidence FROM obs WHERE grain = 'business_unit' AND entity = 'EUROPE'"))
 
+BOOK.add("I15_every_unit_profile", lambda spark, sf: rounded(observations_for(spark, sf).filter("grain = 'business_unit'"), *_PROFILE).select("metric_id", "entity", "period", *_PROFILE, "peer_rank", "sla_breached", "confidence"), observed_sql(
+    f"SELECT metric_id, entity, period, {', '.join(r(c) for c in _PROFILE)}, peer_rank, sla_breached, confidence FROM obs WHERE grain = 'business_unit'"))
+
 
 def _grounded(spark, sf):
     """Texts built from each ranked finding; every fourth one cites a figure nothing supports."""

@@ -58,6 +58,10 @@ _sw = dict(n="count(*)", before="avg(CASE WHEN quarter = date '1998-01-01' THEN
            trip_before="avg(CASE WHEN quarter = date '1998-01-01' THEN on_time END)", trip_after="avg(CASE WHEN quarter = date '1998-04-01' THEN on_time END)")
 for _d in ("office", "shift_hour", "product_type"):
     add(f"X6_swing_{_d}", _swing.cols(f"{_d} late_minutes quarter on_time").agg(_d, **_sw).cols(f"{_d} n", rider_swing="R(after - before)", trip_swing="R(trip_after - trip_before)"))
+for _d in ("office", "shift_hour", "product_type"):
+    add(f"X6_every_quarter_{_d}", _swing.cols(f"{_d} late_minutes quarter on_time").agg(f"{_d} quarter", n="count(*)", rider="RATE(late_minutes <= 5)", trip="avg(on_time)").plus(
+        d_rider=f"rider - lag(rider) OVER (PARTITION BY {_d} ORDER BY quarter)", d_trip=f"trip - lag(trip) OVER (PARTITION BY {_d} ORDER BY quarter)").cols(
+        f"{_d} quarter n", rider="R(rider)", trip="R(trip)", rider_swing="R(d_rider)", trip_swing="R(d_trip)"))
 add("X6_same_trip_corr", legs.where("boarded").agg("trip_id", late="avg(late_minutes)").join(trips.cols("trip_id delay_minutes month"), "trip_id").agg("month", trips="count(*)", same_trip="R(CORR(late, delay_minutes))"))
 
 # X7 vendor scorecard at trip grain

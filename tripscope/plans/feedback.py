@@ -85,6 +85,7 @@ add("F9_by_severity", _fa.where("n_alerts IS NOT NULL").agg({"severity": "coales
 # F10 rater activity
 _raters = fb.where("stwid is not null").agg("stwid", n="count(*)", low="NUM(route_rating <= 2)")
 add("F10_activity", _raters.agg({"answers": "least(n, 50)"}, raters="count(*)", low="ISUM(low)"))
+add("F10_activity_uncut", _raters.agg({"answers": "n"}, raters="count(*)", low="ISUM(low)"))
 add("F10_chronic", _raters.agg({"scope": "'all'"}, raters="count(*)", chronic="NUM(n >= 5 AND low * 2 >= n)", complaints="ISUM(low)",
     chronic_share="R(sum(CASE WHEN n >= 5 AND low * 2 >= n THEN low ELSE 0 END) / nullif(sum(low), 0))"))
 add("F10_duplicates", fb.agg("trip_id stwid", copies="count(*)").agg("copies", keys="count(*)"))

@@ -219,6 +219,10 @@ add("Q20_epoch_vs_date", trips.where("actual_end_epoch IS NOT NULL").agg("month"
 _catq = bills.where("quarter IN (date '1998-01-01', date '1998-04-01', date '1998-07-01')").agg({"label": "concat(contract, ' / ', coalesce(slab_name, 'NA'), ' / ', vendor)"}, q1="NUM(quarter = date '1998-01-01')", q2="NUM(quarter = date '1998-04-01')", q3="NUM(quarter = date '1998-07-01')")
 add("Q22_category_drift", _catq.plus(flag="CASE WHEN q1 = 0 AND q3 > 0 THEN 'NEW' WHEN q1 > 0 AND q3 = 0 THEN 'GONE' ELSE 'STAYS' END"))
 
+add("Q22_every_quarter", bills.agg({"label": "concat(contract, ' / ', coalesce(slab_name, 'NA'), ' / ', vendor)", "quarter": "quarter"}, n="count(*)").plus(
+    before="lag(n) OVER (PARTITION BY label ORDER BY quarter)", later="lead(n) OVER (PARTITION BY label ORDER BY quarter)").plus(
+    flag="CASE WHEN before IS NULL AND later IS NULL THEN 'ONCE' WHEN before IS NULL THEN 'NEW' WHEN later IS NULL THEN 'LAST' ELSE 'STAYS' END"))
+
 # Q23 text hygiene
 _TEXT = ["contract", "slab_name", "vendor", "office", "business_unit"]
 BOOK.add("Q23_text_hygiene", lambda spark, sf: Q.text_hygiene(roles.bills(spark, sf, *_TEXT), _TEXT), with_roles(" UNION ALL ".join(

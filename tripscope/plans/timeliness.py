@@ -155,6 +155,10 @@ _wd = trips.where("WEEKDAY(trip_date) IN (0, 4)").plus(weekday="WEEKDAY(trip_dat
 for _n, _d in (("total", "weekday"), ("office", "weekday office"), ("quarter", "weekday quarter"), ("band", "weekday band")):
     add(f"L21_weekday_{_n}", _wd.cols("trip_date on_time " + _d).agg(_d, n="count(*)", rate="R(avg(on_time))", per_day="R(count(*) / count(DISTINCT trip_date))"))
 
+_every = trips.plus(weekday="WEEKDAY(trip_date)")
+for _n, _d in (("total", "weekday"), ("office", "weekday office"), ("quarter", "weekday quarter")):
+    add(f"L21_every_weekday_{_n}", _every.cols("trip_date on_time " + _d).agg(_d, n="count(*)", rate="R(avg(on_time))", per_day="R(count(*) / count(DISTINCT trip_date))"))
+
 # L22 one quarter against the rest (a week holds too few of the generated trips)
 add("L22_period_deep_dive", trips.plus(band=BAND, focus="quarter = date '1998-04-01'").cols("office band focus on_time").agg("office band", n_focus="NUM(focus)", n_rest="NUM(NOT focus)",
     rate_focus="R(avg(CASE WHEN focus THEN on_time END))", rate_rest="R(avg(CASE WHEN NOT focus THEN on_time END))").where("n_focus >= 3 AND n_rest >= 20"))
@@ -167,3 +171,5 @@ add("L23_rider_hours_by_riders", _known.agg("emp_actual", **_rh))
 # L24 label swap
 add("L24_reclassification_month", trips.where("delay_reason IN ('1-URGENT', '2-HIGH')").agg("delay_reason month", n="count(*)", mean_delay="R(avg(delay_minutes))"))
 add("L24_reclassification_office", trips.where("delay_reason IN ('1-URGENT', '2-HIGH')").agg("delay_reason quarter office", n="count(*)"))
+add("L24_every_label_month", trips.agg("delay_reason month", n="count(*)", mean_delay="R(avg(delay_minutes))"))
+add("L24_every_label_office", trips.agg("delay_reason quarter office", n="count(*)"))
