@@ -152,7 +152,7 @@ class Vocabulary:
 class Encoder(dict):
     """Packed ids by word."""
 
-    BOUND = 500_000
+    BOUND = 200_000
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
