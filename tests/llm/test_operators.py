@@ -98,6 +98,19 @@ def test_near_odd_rows(odd, none):
     assert near_dup.components_of(none).count() == 0 and near_dup.drop_near_copies(odd).columns == odd.columns
 
 
+def test_texts_under_one_id_are_apart(spark):
+    """A repeated id with a unique and a near-copy text, with two near copies, and with texts that each have a copy elsewhere."""
+    words = {k: [f"{k}{i}" for i in range(200)] for k in "abcdef"}
+    text = {k: " ".join(w) for k, w in words.items()}
+    near = {k: " ".join([*w[:-1], "other"]) for k, w in words.items()}
+    rows = [(1, text["a"]), (2, near["a"]), (2, text["b"]), (5, text["c"]), (5, near["c"]), (5, text["c"].upper()), (7, text["d"]), (7, text["e"]), (8, near["d"]), (9, near["e"]), (9, text["f"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    left = pairs(near_dup.drop_near_copies(df, 3, 85))
+    assert len(left) == 6 and sorted(p for p in left if p[0] != 5) == sorted([(1, text["a"]), (2, text["b"]), (7, text["d"]), (7, text["e"]), (9, text["f"])])
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in near_dup.components_of(df, 3, 85).collect())
+    assert got == sorted([(1, 1, True), (2, 1, False), (2, 2, True), (5, 5, True), (5, 5, False), (5, 5, False), (7, 7, True), (7, 7, True), (8, 7, False), (9, 7, False), (9, 9, True)])
+
+
 def test_a_hot_group_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "NODE_LIMIT", 8)
     monkeypatch.setattr(near_dup, "CLUSTER_LIMIT", 8)

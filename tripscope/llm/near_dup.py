@@ -10,7 +10,8 @@ trees turn into 1e-6 and six trees into 5e-8.
 
 What keeps it whole and bounded:
 
-* Equal sets are one set with the smallest id; a group of copies of any size costs one row.
+* Equal sets are one set with a number of its own (``rep``); a group of copies of any size costs one row. Document ids name sets nowhere
+  before the end, when each component gets the smallest id in it.
 * Sets that meet are first held against each other by their signatures of ``TOKENS`` tokens, which are small. Sets whose signatures agree
   nearly as often as those of linked sets form clusters; only these fetch their full sets, each once, and are compared on them.
 * Nodes and clusters are compared by breadth-first search: each step holds one set against those not reached yet and adds its links to
@@ -21,7 +22,8 @@ What keeps it whole and bounded:
 
 Defined cases: a null, empty or blank text has an empty set, links with nothing and is its own component; a text with fewer words than
 a shingle is one shingle; rows without an id take the component of an equal set that has one, else null; rows that repeat an id are
-treated as one document per text; an empty table gives an empty result; other columns are ignored.
+treated as one document per text, each in the component of its own text (two components can then have the same smallest id), and one of
+the texts that share a component and its smallest id is kept; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from hashlib import blake2b
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from xxhash import xxh3_64_intdigest
 
 from tripscope.llm.common import documents, per_arrow_batch, per_batch, written
@@ -95,8 +97,8 @@ def _describe(words: int):
                 n.append(len(s))
                 key.append(blake2b(s.tobytes(), digest_size=16).hexdigest())
                 sig.append(next(low).tobytes() if len(s) else None)
-        arrays = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(key, pa.string()), pa.array(sig, pa.binary())]
-        return pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "set_key", "sig"])
+        arrays = [batch.column("doc_id"), batch.column("text_key"), pa.array(n, pa.int64()), pa.array(key, pa.string()), pa.array(sig, pa.binary())]
+        return pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_key", "n_shingles", "set_key", "sig"])
 
     return fn
 
@@ -251,9 +253,7 @@ def _forest(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], limit:
 def _sets(words: int):
     def fn(batch: pd.DataFrame) -> pd.DataFrame:
         sets = [shingle_set(t, words).tobytes() for t in batch["text"]]
-        # Another text under the same id is not the representative.
-        right = [blake2b(s, digest_size=16).hexdigest() == k for s, k in zip(sets, batch["set_key"])]
-        return pd.DataFrame({"node": batch["node"], "size": batch["size"], "rep": batch["doc_id"], "payload": sets})[right]
+        return pd.DataFrame({"node": batch["node"], "size": batch["size"], "rep": batch["rep"], "payload": sets})
 
     return fn
 
@@ -268,34 +268,47 @@ def _links(docs: DataFrame, reps: DataFrame, words: int, percent: int, trees: in
     members = clusters.join(clusters.groupBy("node").agg(F.count("*").alias("size")), "node")
 
     def fetch(m: DataFrame) -> DataFrame:
-        keyed = m.join(reps.select("rep", "set_key"), "rep")
-        texts = docs.join(keyed.withColumnRenamed("rep", "__rep"), F.col("doc_id") == F.col("__rep"))
-        return per_batch(texts.select("doc_id", "text", "set_key", "node", "size"), _sets(words), "node long, size long, rep long, payload binary")
+        keyed = m.join(reps.select("rep", "doc_id", "text_key"), "rep")
+        # By the text as well: another text under the same id is another set.
+        texts = docs.join(keyed, ["doc_id", "text_key"])
+        return per_batch(texts.select("rep", "text", "node", "size"), _sets(words), "node long, size long, rep long, payload binary")
 
     return _forest(members, fetch, CLUSTER_LIMIT, linked, percent)
 
 
-def components_of(docs: DataFrame, words: int = 5, percent: int = 80, trees: int | None = None) -> DataFrame:
-    """One row per input row: (doc_id, n_shingles, component_id, kept)."""
+def _text_key() -> Column:
+    return F.unhex(F.md5(F.col("text").cast("binary")))
+
+
+def _labelled(docs: DataFrame, words: int, percent: int, trees: int | None) -> DataFrame:
+    """One row per input row: (doc_id, text_key, n_shingles, component_id, kept)."""
     trees = trees or (4 if percent >= 85 else 6)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    base = written(per_arrow_batch(docs, _describe(words), "doc_id long, n_shingles long, set_key string, sig binary"), "sets")
-    some = base.filter("n_shingles > 0")
-    reps = written(
-        some.filter("doc_id IS NOT NULL").groupBy("set_key").agg(F.min(F.struct("doc_id", "sig")).alias("m")).select("set_key", F.col("m.doc_id").alias("rep"), "m.sig"),
-        "reps",
-    )
-    comps = components(_links(docs, reps, words, percent, trees))
-    of = reps.select("set_key", "rep").join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _text_key().alias("text_key"))
+    base = written(per_arrow_batch(docs, _describe(words), "doc_id long, text_key binary, n_shingles long, set_key string, sig binary"), "sets")
+    some = base.filter("n_shingles > 0 AND doc_id IS NOT NULL")
+    lowest = some.groupBy("set_key").agg(F.min(F.struct("doc_id", "text_key", "sig")).alias("m"))
+    # Numbers are unique, and fixed once written.
+    reps = written(lowest.select("set_key", "m.doc_id", "m.text_key", "m.sig", F.monotonically_increasing_id().alias("rep")), "reps")
+    own = F.struct("doc_id", "text_key")
+    comps = written(components(_links(docs, reps, words, percent, trees)).withColumnRenamed("id", "rep").join(reps, "rep").select("rep", "component", own.alias("own")), "components")
+    firsts = written(comps.groupBy("component").agg(F.min("own").alias("first")), "firsts")
+    of = reps.join(comps.join(firsts, "component").select("rep", "first"), "rep", "left").select("set_key", F.coalesce("first", own).alias("first"))
     out = base.drop("sig").join(of, "set_key", "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    component = F.when(F.col("n_shingles") > 0, F.col("first.doc_id")).otherwise(F.col("doc_id"))
+    kept = (F.col("doc_id") == component) & ((F.col("n_shingles") == 0) | (F.col("text_key") == F.col("first.text_key")))
+    return out.select("doc_id", "text_key", "n_shingles", component.alias("component_id"), F.coalesce(kept, F.lit(False)).alias("kept"))
+
+
+def components_of(docs: DataFrame, words: int = 5, percent: int = 80, trees: int | None = None) -> DataFrame:
+    """One row per input row: (doc_id, n_shingles, component_id, kept)."""
+    return _labelled(docs, words, percent, trees).drop("text_key")
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows that stay, one of each component, with all their columns."""
-    gone = components_of(docs, words, percent).filter("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    """The rows that stay, one text of each component, with all their columns."""
+    gone = _labelled(docs, words, percent, None).filter("NOT kept AND doc_id IS NOT NULL")
+    gone = gone.select(F.col("doc_id").alias("__gone"), F.col("text_key").alias("__gone_text")).distinct()
+    return docs.join(gone, (F.col("doc_id") == F.col("__gone")) & (_text_key() == F.col("__gone_text")), "left_anti")
 
 
 @BOOK.query("op8_chosen_path_near_dedup")
