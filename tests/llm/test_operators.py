@@ -256,6 +256,25 @@ def test_viterbi_agrees_with_a_plain_search():
         assert sentencepiece_viterbi.decode(own.vocabulary, np.array(ids, int)) == text
 
 
+def sentencepiece_ids(texts):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=tokens.vocabulary_path(sentencepiece_viterbi.PIECES))
+    return [model.encode(t) for t in texts]
+
+
+def test_merges_give_the_ids_of_sentencepiece(spark):
+    texts = [t for t in TEXTS if t is not None and len(t) < 6000] + ["des les", "  a", "a  b   c ", " " * 37, "    int main()", "▁a▁▁b", "naïve café", "abcd" * 60 + "é漢" * 40, "a\tb\nc", "\0"]
+    rows = sentencepiece_viterbi.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [np.frombuffer(r["ids"], "<u4").tolist() for r in sorted(rows)] == sentencepiece_ids(texts)
+
+
+@needs_tables
+def test_merges_give_the_ids_of_sentencepiece_on_the_small_table(small):
+    rows = sentencepiece_viterbi.encode(small).collect()
+    assert [np.frombuffer(r["ids"], "<u4").tolist() for r in rows] == sentencepiece_ids([r["text"] or "" for r in rows])
+
+
 def test_viterbi_odd_rows(odd, none):
     rows = sentencepiece_viterbi.decoded(sentencepiece_viterbi.encode(odd)).collect()
     assert len(rows) == odd.count() and all(r["decoded"] == (r["text"] or "") for r in rows)

@@ -1,11 +1,18 @@
-"""SentencePiece encoding and decoding by a batched Viterbi search over the pieces' scores.
+"""SentencePiece encoding and decoding, all words of one length at once: by merges for BPE models, by a Viterbi search for unigram ones.
 
 A text is normalised as the model says (identity, a space in front), spaces become U+2581, and it is cut in front of each run of these,
-which no piece of the vocabularies used here crosses (checked when the vocabulary is read). The words new to a worker are searched in
-groups of equal length, all words of a group at once: substring hashes of every length are looked up in the sorted hashes of the
-pieces, then the search advances one place at a time and keeps, for all words, the best score and the length of the piece that gave it.
-The result is the segmentation of highest summed score. Ties go to the longer last piece; a character without a piece costs the lowest
-score less ten and is written as its UTF-8 bytes. Words are remembered up to a bound.
+which no piece of the vocabularies used here crosses (checked when the vocabulary is read). The words new to a worker are taken in
+groups of equal length: substring hashes of every length are looked up in the sorted hashes of the pieces. Words are remembered up to a
+bound.
+
+``encode``, and so the query, merges: the scores of ``piece_bpe_32k.model`` are ranks of merges, whose sum says nothing, so a Viterbi
+search does not give its ids. Each step joins, in every word of the group, the two neighbours that make the piece of the best score, the
+leftmost on ties; words without such a pair are done, so all others have equally many parts. Words above ``LONG`` characters are merged
+one by one with a heap. The ids are those of ``sentencepiece``. A character without a piece is written as its UTF-8 bytes.
+
+``encoder`` is the Viterbi search, for models whose scores are log probabilities. It advances one place at a time and keeps, for all
+words, the best score and the length of the piece that gave it; ties go to the longer last piece; a character without a piece costs the
+lowest score less ten.
 
 Decoding joins the bytes of the pieces. It gives back every text but those that contain U+2581 themselves or are a lone space.
 
@@ -15,6 +22,7 @@ ignored.
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -30,6 +38,7 @@ BOOK = Book()
 PIECES = "piece_bpe_32k.model"
 SPACE = "▁"
 GROUP = 1 << 19
+LONG = 96
 UNKNOWN = -2
 _BASE = 0x9E3779B97F4A7C15
 _RUNS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -65,6 +74,7 @@ class Vocabulary:
         self.keys, self.ids = keys[order], np.array(plain, np.int32)[order]
         scores = np.array([model.get_score(i) for i in plain])
         self.scores, self.unknown = scores[order], scores.min() - 10
+        self.ranked = {self.pieces[i]: (s, i) for s, i in zip(scores.tolist(), plain)}
         self.byte_ids = {int(self.pieces[i][3:5], 16): i for i in range(len(self.pieces)) if model.is_byte(i)}
         self.raw = [b""] * len(self.pieces)
         for i in plain:
@@ -97,8 +107,8 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return at, self.keys[at] == key
 
-    def search(self, words: list[str]) -> list[bytes]:
-        """Packed ids of words of one length."""
+    def _tabled(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Score and id of the piece of each size, word (all of one length) and start."""
         n, count = len(words[0]), len(words)
         codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(count, n)
         sums = self.sums(codes)
@@ -110,6 +120,13 @@ class Vocabulary:
             places = slice(0, n - size + 1)
             score[size, :, places] = np.where(hit, self.scores[at], -np.inf)
             piece[size, :, places] = np.where(hit, self.ids[at], UNKNOWN)
+        return score, piece
+
+    def search(self, words: list[str]) -> list[bytes]:
+        """Packed ids of words of one length, by highest summed score."""
+        n, count = len(words[0]), len(words)
+        score, piece = self._tabled(words)
+        longest = len(score) - 1
         score[1] = np.where(piece[1] == UNKNOWN, self.unknown, score[1])
         best = np.full((count, n + 1), -np.inf)
         best[:, 0] = 0
@@ -122,6 +139,58 @@ class Vocabulary:
             back[:, end] = sizes[pick]
         return self._collected(words, piece, back)
 
+    def merged(self, words: list[str]) -> list[bytes]:
+        """Packed ids of words of one length, by merges in the order of scores."""
+        n = len(words[0])
+        if n > LONG:
+            return [self._merged_long(w) for w in words]
+        score, piece = self._tabled(words)
+        rows, bounds = np.arange(len(words)), np.tile(np.arange(n + 1), (len(words), 1))
+        out = [b""] * len(words)
+        while len(rows):
+            size = bounds[:, 2:] - bounds[:, :-2]
+            fits = size < len(score)
+            gain = np.where(fits, score[np.where(fits, size, 0), rows[:, None], bounds[:, :-2]], -np.inf)
+            pick = gain.argmax(axis=1) if gain.shape[1] else np.zeros(len(rows), np.int64)
+            more = gain[np.arange(len(rows)), pick] > -np.inf if gain.shape[1] else np.zeros(len(rows), bool)
+            ended, row = bounds[~more], rows[~more]
+            grid = piece[np.diff(ended, axis=1), row[:, None], ended[:, :-1]]
+            for at, ids in zip(row.tolist(), grid):
+                out[at] = (self._bytes(words[at], ids) if (ids == UNKNOWN).any() else ids).astype("<u4").tobytes()
+            bounds, rows, pick = bounds[more], rows[more], pick[more]
+            stays = np.ones(bounds.shape, bool)
+            stays[np.arange(len(rows)), pick + 1] = False
+            bounds = bounds[stays].reshape(len(rows), bounds.shape[1] - 1)
+        return out
+
+    def _merged_long(self, word: str) -> bytes:
+        """The same for one word, with a heap of the pairs."""
+        n, ranked = len(word), self.ranked
+        after, before, ends = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
+        heap: list[tuple[float, int, int]] = []
+
+        def push(left: int) -> None:
+            if left >= 0 and (right := after[left]) < n and ends[right] - left <= self.longest and (found := ranked.get(word[left : ends[right]])):
+                heapq.heappush(heap, (-found[0], left, ends[right]))
+
+        for left in range(n - 1):
+            push(left)
+        while heap:
+            _, left, end = heapq.heappop(heap)
+            right = after[left]
+            if ends[left] < 0 or right >= n or ends[right] != end:
+                continue  # one of the two has been joined with another
+            ends[left], after[left], ends[right] = end, after[right], -1
+            if after[left] < n:
+                before[after[left]] = left
+            push(left)
+            push(before[left])
+        ids, at = [], 0
+        while at < n:
+            ids.append(ranked.get(word[at : ends[at]], (0, UNKNOWN))[1])
+            at = ends[at]
+        return self._bytes(word, np.array(ids, np.int64)).astype("<u4").tobytes()
+
     def _collected(self, words: list[str], piece: np.ndarray, back: np.ndarray) -> list[bytes]:
         rows, at, steps = np.arange(len(words)), np.full(len(words), len(words[0])), []
         while (at > 0).any():
@@ -150,7 +219,7 @@ class Vocabulary:
 
 
 class Encoder(dict):
-    """Packed ids by word."""
+    """Packed ids by word, by the Viterbi search."""
 
     BOUND = 200_000
 
@@ -166,7 +235,10 @@ class Encoder(dict):
             step = max(1, GROUP // (size * min(size, self.vocabulary.longest)))
             for at in range(0, len(same), step):
                 part = same[at : at + step]
-                self.update(zip(part, self.vocabulary.search(part)))
+                self.update(zip(part, self.ids_of(part)))
+
+    def ids_of(self, words: list[str]) -> list[bytes]:
+        return self.vocabulary.search(words)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [words_of(t) for t in texts]
@@ -178,6 +250,13 @@ class Encoder(dict):
         return [b"".join([self[w] for w in words]) for words in cut]
 
 
+class Merger(Encoder):
+    """Packed ids by word, by merges."""
+
+    def ids_of(self, words: list[str]) -> list[bytes]:
+        return self.vocabulary.merged(words)
+
+
 def words_of(text: str) -> list[str]:
     """A text with a space in front, cut before each run of spaces."""
     if not text:
@@ -194,14 +273,23 @@ def decode(vocabulary: Vocabulary, ids: np.ndarray) -> str:
     return text[1:] if text.startswith(" ") else text
 
 
-_HELD: dict[str, Encoder] = {}
+_HELD: dict[tuple[str, type], Encoder] = {}
+
+
+def _held(path: str, kind: type[Encoder]) -> Encoder:
+    if (path, kind) not in _HELD:
+        _HELD[path, kind] = kind(Vocabulary(path))
+    return _HELD[path, kind]
 
 
 def encoder(path: str) -> Encoder:
-    """The encoder of this worker."""
-    if path not in _HELD:
-        _HELD[path] = Encoder(Vocabulary(path))
-    return _HELD[path]
+    """The Viterbi encoder of this worker."""
+    return _held(path, Encoder)
+
+
+def merger(path: str) -> Encoder:
+    """The merging encoder of this worker."""
+    return _held(path, Merger)
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -210,7 +298,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: list[bytes] = []
-        texts, own = batch.column("text").to_pylist(), encoder(path)
+        texts, own = batch.column("text").to_pylist(), merger(path)
         for at in range(0, len(texts), 1000):
             out += own.encode([t or "" for t in texts[at : at + 1000]])
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(out, pa.binary())], ["doc_id", "text", "ids"])
@@ -224,7 +312,7 @@ def decoded(encoded: DataFrame, path: str | None = None) -> DataFrame:
     names = [*encoded.columns, "decoded"]
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        vocabulary = encoder(path).vocabulary
+        vocabulary = merger(path).vocabulary
         texts = [decode(vocabulary, np.frombuffer(v, "<u4")) for v in batch.column("ids").to_pylist()]
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names)
 
