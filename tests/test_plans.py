@@ -41,3 +41,12 @@ def test_geography_is_joined_only_when_asked(spark):
 
 def test_filters_reach_the_scan(spark):
     assert re.search(r"PushedFilters: \[[^\]]*l_returnflag", plan(spark, "E10_burned_minutes"))
+
+
+def test_incident_chain_has_an_uncut_form():
+    import __spark_entry__ as entry
+
+    queries, sql = entry.queries(), entry.oracle_sql()
+    for name in ("G5_every_decision", "I1_every_triage", "I2_every_incident_band", "I3_every_incident"):
+        assert name in queries and "FROM ranked" not in sql[name]
+    assert "A17_every_standing_outlier" in queries and "place <= 20" not in sql["A17_every_standing_outlier"]

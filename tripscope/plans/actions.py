@@ -20,16 +20,18 @@ def day(text: str) -> F.Column:
     return F.lit(text).cast("date")
 
 
-def drafts_for(spark: SparkSession, sf: str) -> DataFrame:
-    return I.triage(ranked_for(spark, sf))
+def drafts_for(spark: SparkSession, sf: str, top_n: int | None = anomaly.TOP_N) -> DataFrame:
+    return I.triage(ranked_for(spark, sf, top_n))
 
 
-def incidents_for(spark: SparkSession, sf: str) -> DataFrame:
+def incidents_for(spark: SparkSession, sf: str, top_n: int | None = anomaly.TOP_N) -> DataFrame:
+    """Incidents of the ``top_n`` findings of each period, or of all findings (None)."""
+
     def make() -> DataFrame:
         owners = attribution.owner_evidence(attributed_for(spark, sf))
-        return I.incidents(drafts_for(spark, sf), owners, F.add_months("period", MONTHS), F.add_months("period", -MONTHS))
+        return I.incidents(drafts_for(spark, sf, top_n), owners, F.add_months("period", MONTHS), F.add_months("period", -MONTHS))
 
-    return kept(spark, sf, "incidents", make)
+    return kept(spark, sf, "incidents" if top_n == anomaly.TOP_N else f"incidents-{top_n}", make)
 
 
 def stored_for(spark: SparkSession, sf: str) -> DataFrame:
@@ -331,3 +333,18 @@ def _upserted(spark, sf):
 
 
 BOOK.add("S8_state_upsert", _upserted, incident_sql("SELECT incident_id, priority, CASE WHEN priority >= 3 THEN 'RESOLVED' ELSE 'OPEN' END AS status FROM inc"))
+
+
+# The same from all findings of a period, not only its first twenty.
+
+
+def _every(name: str, fn, cut: str) -> None:
+    BOOK.add(name, fn, BOOK.sql[cut].replace("FROM ranked", "FROM placed"))
+
+
+_every("G5_every_decision", lambda spark, sf: policy.decide(ranked_for(spark, sf, None)).select("finding_id", "rule_id", "breached", "band", "streak", "escalation_permitted"), "G5_decisions")
+_every("I1_every_triage", lambda spark, sf: drafts_for(spark, sf, None).select("period", "cluster_key", "priority", "n_members", "finding_id", F.array_join("finding_ids", "|").alias("finding_ids")), "I1_triage")
+_every("I2_every_incident_band", lambda spark, sf: incidents_for(spark, sf, None).select("incident_id", "incident_band"), "I2_incident_band")
+_every("I3_every_incident", lambda spark, sf: incidents_for(spark, sf, None).select(
+    "incident_id", "title", "priority", "rule_id", "breached", "streak", "escalation_permitted", "detected_on", "follow_up_on", "status",
+    F.size("evidence").alias("n_evidence"), F.size("actions").alias("n_actions"), F.element_at("evidence", 1)["entity"].alias("lead_entity")), "I3_incident_rows")

@@ -261,6 +261,13 @@ BOOK.add(
 WHERE place <= 20"""
     ),
 )
+BOOK.add(
+    "A17_every_standing_outlier",
+    lambda spark, sf: rounded(anomaly.standing_outliers(observations_for(spark, sf), SPECS, None), "value", "median", "z").select(
+        "period", "place", "metric_id", "grain", "entity", "value", "median", "z", "rank", "peers", "n"
+    ),
+    BOOK.sql["A17_standing_outliers"].replace("WHERE place <= 20", ""),
+)
 
 # --- attribution ---------------------------------------------------------------------------------------------------
 
