@@ -6,7 +6,8 @@ independent trees branches every set at its root into the nodes named by two of
 token. Nodes above ``NODE_LIMIT`` branch again by two further tokens, chosen by the node's name, down to ``DEPTH`` levels. The sets that
 meet in a node are compared exhaustively, at last on their full shingle sets, so no false link arises. A pair at the threshold s misses a tree
 with probability q(d) = (1 - s (1 - q(d-1)))^2, q(0) = 0: below 0.031 for s = 0.85 and below 0.06 for s = 0.8 at any depth, which four
-trees turn into 1e-6 and six trees into 5e-8.
+trees turn into 1e-6 and six trees into 5e-8. A pair is also missed where fewer than 17 (s = 0.85) or 15 (s = 0.8) of its tokens agree: by the
+binomial tail 3.5e-06 and 6.6e-06 at the threshold, the larger term.
 
 What keeps it whole and bounded:
 
