@@ -6,7 +6,10 @@ from importlib import import_module
 
 from tripscope.plans.registry import Book
 
-MODULES = ["exact_dedup", "near_dup", "suffix_dedup", "packing", "toxicity", "quality_rules", "sharding", "licenses", "rans", "sentencepiece_viterbi", "filter_audit"]
+MODULES = [
+    "exact_dedup", "near_dup", "suffix_dedup", "packing", "toxicity", "quality_rules", "sharding", "licenses", "rans", "sentencepiece_viterbi", "lexical_search",
+    "filter_audit",
+]
 
 
 def load() -> Book:
