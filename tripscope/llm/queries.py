@@ -8,7 +8,7 @@ from tripscope.plans.registry import Book
 
 MODULES = [
     "exact_dedup", "near_dup", "suffix_dedup", "packing", "toxicity", "quality_rules", "sharding", "licenses", "rans", "sentencepiece_viterbi", "lexical_search",
-    "filter_audit",
+    "filter_audit", "url_filter",
 ]
 
 
