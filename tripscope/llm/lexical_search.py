@@ -42,6 +42,8 @@ TERM_PAIRS = 1 << 16
 FIRST_DOCS = 64
 #: Visits of a set are broadcast up to this many (item, stratum) pairs, 12 bytes each, and joined by shuffle beyond it.
 BROADCAST_VISITS = 1 << 20
+#: The number of blocks per stratum is broadcast up to this many strata, 16 bytes each.
+BROADCAST_STRATA = 100_000
 #: Scores are kept for this many (item, document) pairs at a time.
 CELLS = 1 << 21
 
@@ -139,9 +141,13 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     placed = rows.withColumn("m", F.expr(f"50 + (CAST(n AS DECIMAL(19,0)) * {50 * n_docs}BD) div {max(n_terms, 1)}BD"))
     # One row per stratum: their number is bounded by the longest text, not by the number of documents.
     strata = placed.groupBy("m").agg(F.count("*").alias("docs"), F.max("n").alias("longest"))
-    cut = strata.selectExpr("m", f"ceil(docs / greatest(1, least({BLOCK_DOCS}, {BLOCK_TERMS} div longest))) AS n_blocks")
+    cut = written(strata.selectExpr("m", f"ceil(docs / greatest(1, least({BLOCK_DOCS}, {BLOCK_TERMS} div longest))) AS n_blocks"), "strata-blocks")
+    if cut.count() <= BROADCAST_STRATA:
+        cut = F.broadcast(cut)
     dealt = placed.join(cut, "m").withColumn("block", F.pmod(F.xxhash64("id", "turn"), F.col("n_blocks")))
-    blocks = dealt.select("m", "block", "id", "terms", "tfs").groupBy("m", "block").applyInArrow(_inverted, INDEX)
+    # Dealt by stratum and block: a partitioning by stratum alone, which the join may leave, would bring a large stratum into one task.
+    dealt = dealt.select("m", "block", "id", "terms", "tfs").repartition("m", "block")
+    blocks = dealt.groupBy("m", "block").applyInArrow(_inverted, INDEX)
     return Index(written(blocks, "index"), n_docs, n_terms)
 
 
