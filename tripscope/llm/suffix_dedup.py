@@ -17,7 +17,7 @@ A bucket is always named by hashes of its parents' parts and its own; each is a
 named by a 64-bit hash of all their bytes, so equal texts are handled once and rows without or with repeated ids need no care.
 
 Counts use map-side combine; joins are on hashes with one row per key on one side, which AQE can split. Nothing is collected per
-bucket. Texts are moved twice: once to fetch the bytes around unsettled anchors, and, for texts that contain a repeat, to cut it out.
+bucket. Texts are moved twice: once to fetch the bytes around unsettled anchors, and once to cut repeats out.
 
 Defined cases: a null text is empty; texts shorter than ``length`` keep all; rows keep their id, null or repeated; an empty table gives
 an empty result; other columns are kept by ``cut_repeats`` and ignored by ``repeats``.
@@ -30,9 +30,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tripscope.llm.common import documents, per_batch, written
+from tripscope.llm.common import documents, per_arrow_batch, per_batch, written
 from tripscope.plans.registry import Book
 
 BOOK = Book()
@@ -349,16 +350,44 @@ def repeats(docs: DataFrame, length: int = 200, width: int = 13) -> DataFrame:
     )
 
 
+def _without(length: int, columns: list[str]):
+    """Cuts the runs in the last column out of ``text``; all other columns pass through."""
+    text_at = columns.index("text")
+    chars_at = columns.index("n_chars") if "n_chars" in columns else None
+
+    def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = list(batch.columns[:-1])
+        runs = batch.column(len(out))
+        texts = out[text_at].to_pylist()
+        changed = np.flatnonzero(np.asarray(runs.is_valid()))
+        for i in changed:
+            raw = texts[i].encode("utf-8", "surrogatepass")
+            starts, ends = removed(raw, runs[i].as_py(), length)
+            # A character that is only partly left goes as a whole.
+            texts[i] = "".join(raw[a:b].decode("utf-8", "ignore") for a, b in zip([0, *ends], [*starts, len(raw)]))
+        out[text_at] = pa.array(texts, out[text_at].type)
+        if chars_at is not None:
+            chars = out[chars_at].to_pylist()
+            for i in changed:
+                chars[i] = len(texts[i])
+            out[chars_at] = pa.array(chars, out[chars_at].type)
+        return pa.RecordBatch.from_arrays(out, names=columns)
+
+    return fn
+
+
 def cut_repeats(docs: DataFrame, length: int = 200, width: int = 13) -> DataFrame:
-    """All rows with their columns; ``text`` without the repeated stretches, ``n_chars`` (if there) counted anew where it changed."""
-    cut = written(cut_texts(docs, length, width).select(F.col("text_key").alias("__key"), F.col("kept_text").alias("__kept")), "cut-texts")
-    keyed = docs.withColumn("__own", _text_key(F.coalesce(F.col("text"), F.lit(""))))
-    out = keyed.join(cut, F.col("__own") == F.col("__key"), "left")
-    changed = F.col("__kept").isNotNull()
-    new = {"text": F.when(changed, F.col("__kept")).otherwise(F.col("text"))}
-    if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(changed, F.length("__kept").cast("long")).otherwise(F.col("n_chars"))
-    return out.withColumns(new).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """All rows with their columns; ``text`` without the repeated stretches, ``n_chars`` (if there) counted anew where it changed.
+
+    Rows meet their runs in one join and are cut where they lie, so whole texts move once.
+    """
+    runs = written(_runs(docs, length, width), "runs")
+    name = "runs"
+    while name in docs.columns:
+        name += "_"
+    key = _text_key(F.coalesce(F.col("d.text"), F.lit("")))
+    rows = docs.alias("d").join(runs.alias("r"), key == F.col("r.text_key"), "left").select("d.*", F.col("r.runs").alias(name))
+    return per_arrow_batch(rows, _without(length, docs.columns), docs.schema)
 
 
 @BOOK.query("op9_bucket_pointer_dedup")
