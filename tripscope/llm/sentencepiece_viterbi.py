@@ -24,10 +24,12 @@ from __future__ import annotations
 
 import heapq
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tripscope.llm import tokens
@@ -319,12 +321,30 @@ def decoded(encoded: DataFrame, path: str | None = None) -> DataFrame:
     return per_arrow_batch(encoded, fn, ", ".join(f"`{n}` {t}" for n, t in encoded.dtypes) + ", decoded string")
 
 
+ROUND_TRIP = "doc_id long, n_bytes long, n_tokens long, ids_crc32 long, decoded_crc32 long, round_trip boolean"
+
+
+def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """Encodes and decodes each text where it lies and returns what identifies the result; neither ids nor texts leave the worker."""
+    path = path or tokens.vocabulary_path(PIECES)
+
+    def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
+        own = merger(path)
+        texts = [t or "" for t in batch.column("text").to_pylist()]
+        found: list[tuple] = []
+        for at in range(0, len(texts), 1000):
+            part = texts[at : at + 1000]
+            for text, packed in zip(part, own.encode(part)):
+                back = decode(own.vocabulary, np.frombuffer(packed, "<u4"))
+                found.append((len(packed) // 4, zlib.crc32(packed), zlib.crc32(back.encode("utf-8", "surrogatepass")), back == text))
+        n_bytes = pc.fill_null(pc.binary_length(batch.column("text")), 0).cast(pa.int64())
+        columns = [pa.array(c, k) for c, k in zip(zip(*found), (pa.int64(), pa.int64(), pa.int64(), pa.bool_()))]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), n_bytes, *columns], ["doc_id", "n_bytes", "n_tokens", "ids_crc32", "decoded_crc32", "round_trip"])
+
+    return per_arrow_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), fn, ROUND_TRIP)
+
+
 @BOOK.query("op5_viterbi_sentencepiece")
 def viterbi_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` encoded and decoded again."""
-    rows = decoded(encode(documents(spark, sf_dir)))
-    text = F.coalesce("text", F.lit(""))
-    return rows.select(
-        "doc_id", F.octet_length(text).cast("long").alias("n_bytes"), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"),
-        F.crc32(F.encode("decoded", "utf-8")).alias("decoded_crc32"), (F.col("decoded") == text).alias("round_trip"),
-    )
+    return round_trip(documents(spark, sf_dir))
