@@ -25,8 +25,8 @@ def test_no_cross_join_and_no_python(spark, name):
 
 def test_ids_are_brought_together_once(spark):
     exchanges = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan(spark, "M21_cost_per_trip"))
-    with_id = [e for e in exchanges if "__id" in e]
-    assert len(with_id) == 1 and not [e for e in with_id if "grain" in e]
+    with_id = [e for e in exchanges if "trip_id#" in e or "__id#" in e]
+    assert len(with_id) == 1 and not [e for e in with_id if "grain" in e or "entity" in e]
 
 
 def test_scans_read_only_the_named_columns(spark):

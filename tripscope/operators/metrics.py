@@ -18,11 +18,15 @@ import re
 from collections.abc import Iterable
 from dataclasses import dataclass, field, fields, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tripscope.session import ensure_checkpoint_dir
+
 GLOBAL = "global"
 ALL = "ALL"
+#: Grains with at most this many entities are counted by bitmap; 1,024 entities are 16 longs an id.
+MAX_ENTITIES = 1024
 _IDENT = re.compile(r"^[A-Za-z_][A-Za-z0-9_]*$")
 _HOLE = re.compile(r"\{f(?::([^}]*))?\}")
 
@@ -204,21 +208,33 @@ def slices(relations: dict[str, DataFrame], specs: dict[str, MetricSpec], period
     for source in dict.fromkeys(s.source for s in specs.values()):
         part = _slices_of(relations[source], [s for s in specs.values() if s.source == source], period)
         out = part if out is None else out.unionByName(part)
+    return gated(out, specs).filter(F.lit(True) if grains is None else F.col("grain").isin(list(grains)))
+
+
+def gated(raw: DataFrame, specs: dict[str, MetricSpec]) -> DataFrame:
+    """The slices table from raw values: those below the gate, null, NaN or infinite are null."""
     usable = (F.col("n") >= per_metric(specs, "min_sample", "bigint")) & ~F.isnan("raw") & (F.abs("raw") != F.lit(float("inf")))
-    return out.select(
+    return raw.select(
         "metric_id", "grain", "entity", "period", F.when(usable, F.col("raw")).alias("value"), "n", "covered",
         (F.col("covered") / F.col("n")).alias("coverage"),
-    ).filter(F.lit(True) if grains is None else F.col("grain").isin(list(grains)))
+    )
 
 
-def _slices_of(df: DataFrame, specs: list[MetricSpec], period: str) -> DataFrame:
+def grain_columns(specs: list[MetricSpec]) -> dict[str, str]:
+    """Source column of every grain but the global one."""
     column_of: dict[str, str] = {}
     for s in specs:
         for g in s.grains:
             if g != GLOBAL:
                 column_of.setdefault(g, s.column(g))
-    keys = [f"g_{g}" for g in column_of]
-    # Row filters are evaluated here, once per row, not once per row and grain.
+    return column_of
+
+
+def grained_rows(df: DataFrame, specs: list[MetricSpec], period: str, column_of: dict[str, str]) -> tuple[DataFrame, dict[str, str]]:
+    """Rows with their period and entities, and per metric the column that holds its row filter.
+
+    Row filters are evaluated here, once per row, not once per row and grain.
+    """
     rows = df.filter(F.col(period).isNotNull()).withColumns(
         {
             "period": F.col(period),
@@ -226,7 +242,21 @@ def _slices_of(df: DataFrame, specs: list[MetricSpec], period: str) -> DataFrame
             **{f"f_{s.id}": F.expr(s.condition()) for s in specs if s.condition()},
         }
     )
-    flag = {s.id: f"f_{s.id}" if s.condition() else "" for s in specs}
+    return rows, {s.id: f"f_{s.id}" if s.condition() else "" for s in specs}
+
+
+def stacked_grain(keys: list[str]) -> tuple[Column, Column]:
+    """(grain, entity) of a row of the grouping sets."""
+    grain = F.lit(GLOBAL)
+    for k in keys:
+        grain = F.when(F.col(f"is_{k}") == 0, F.lit(k[2:])).otherwise(grain)
+    return grain, F.coalesce(*keys, F.lit(ALL))
+
+
+def _slices_of(df: DataFrame, specs: list[MetricSpec], period: str) -> DataFrame:
+    column_of = grain_columns(specs)
+    keys = [f"g_{g}" for g in column_of]
+    rows, flag = grained_rows(df, specs, period, column_of)
     measures: list[Column] = []
     for s in specs:
         plain = s.formula.replace("{quantile}", "cast(null as double)").replace("nullif({distinct}, 0)", "1")
@@ -238,9 +268,7 @@ def _slices_of(df: DataFrame, specs: list[MetricSpec], period: str) -> DataFrame
     wide = rows.groupingSets([["period"], *[["period", k] for k in keys]], "period", *keys).agg(
         *measures, *[F.grouping(k).alias(f"is_{k}") for k in keys]
     )
-    grain = F.lit(GLOBAL)
-    for k in keys:
-        grain = F.when(F.col(f"is_{k}") == 0, F.lit(k[2:])).otherwise(grain)
+    grain, entity = stacked_grain(keys)
     stacked = F.array(
         *[
             F.struct(
@@ -254,13 +282,17 @@ def _slices_of(df: DataFrame, specs: list[MetricSpec], period: str) -> DataFrame
         ]
     )
     out = (
-        wide.select("period", grain.alias("grain"), F.coalesce(*keys, F.lit(ALL)).alias("entity"), F.inline(stacked))
+        wide.select("period", grain.alias("grain"), entity.alias("entity"), F.inline(stacked))
         .filter((F.col("n") > 0) & F.array_contains("grains", F.col("grain")))
         .select("metric_id", "grain", "entity", "period", "raw", "n", "covered")
     )
+    if any(s.distinct for s in specs):
+        # The entities that the distinct counts give bits to are read from it, and it is not computed again.
+        ensure_checkpoint_dir(df.sparkSession)
+        out = out.checkpoint()
     extra: DataFrame | None = None
     for s in specs:
-        for part in ([_distinct_counts(rows, s, flag[s.id])] if s.distinct else []) + ([_quantiles(rows, s, flag[s.id])] if s.quantile else []):
+        for part in ([_distinct_counts(rows, s, flag[s.id], _entities(out, s))] if s.distinct else []) + ([_quantiles(rows, s, flag[s.id])] if s.quantile else []):
             extra = part if extra is None else extra.unionByName(part)
     if extra is None:
         return out
@@ -276,28 +308,80 @@ def _by_grain(spec: MetricSpec) -> Column:
     )
 
 
-def _distinct_counts(rows: DataFrame, spec: MetricSpec, flag: str) -> DataFrame:
-    """Distinct ids per grain, entity and period with the ids shuffled once, not once per grain.
+def _entities(out: DataFrame, spec: MetricSpec) -> dict[str, list[str]]:
+    """Entity names of the metric's grains that have at most ``MAX_ENTITIES`` of them: a bounded list, whatever the rows."""
+    names = out.filter(F.col("metric_id") == spec.id).select("grain", "entity").distinct()
+    few = names.withColumn("__n", F.count("*").over(Window.partitionBy("grain"))).filter(F.col("__n") <= MAX_ENTITIES)
+    found: dict[str, list[str]] = {}
+    for r in few.select("grain", "entity").collect():
+        found.setdefault(r["grain"], []).append(r["entity"])
+    return {g: sorted(found[g]) for g in spec.grains if g in found}
+
+
+def _distinct_counts(rows: DataFrame, spec: MetricSpec, flag: str, entities: dict[str, list[str]]) -> DataFrame:
+    """Distinct ids per grain, entity and period, from one bitmap over all entities per id.
 
-    An id and period carry the set of their attribute combinations, gathered map-side, so an id that holds a third of all rows is one
-    short list. Ids with the same list are then counted together, and only these counts are spread over the grains.
+    Every entity has a bit, the bits of all grains lie side by side in a few longs. A row sets its entities' bits, ``bit_or`` gathers an
+    id's bits of a period (map-side first, so an id that holds a third of all rows is one short row a task), and ids with the same word
+    are counted together before bits are read. One exchange on the id, whatever the number of grains. Grains with more entities than
+    fit are counted one by one from their distinct (id, entity) pairs.
     """
-    kept = rows.filter(flag) if flag else rows
-    cols = [f"g_{g}" for g in spec.grains if g != GLOBAL]
-    marks = F.struct(*cols) if cols else F.struct(F.lit(1).alias("one"))
-    ids = kept.filter(F.col(spec.distinct).isNotNull()).groupBy(F.col(spec.distinct).alias("__id"), "period").agg(F.array_sort(F.collect_set(marks)).alias("__marks"))
-    counted = ids.groupBy("period", "__marks").agg(F.count("*").alias("__c"))
+    kept = (rows.filter(flag) if flag else rows).filter(F.col(spec.distinct).isNotNull()).withColumn("__id", F.col(spec.distinct))
+    parts = [
+        kept.select("__id", "period", (F.lit(ALL) if g == GLOBAL else F.col(f"g_{g}")).alias("entity")).distinct().groupBy("period", "entity").agg(F.count("*").alias("divisor"))
+        .select(F.lit(g).alias("grain"), "entity", "period", "divisor")
+        for g in spec.grains
+        if g not in entities
+    ]
+    if entities:
+        parts.append(_counted_by_bit(kept, entities))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.select(F.lit(spec.id).alias("metric_id"), "grain", "entity", "period", "divisor", F.lit(None).cast("double").alias("quantile"))
+
+
+def _local(spark, columns: dict[str, list], schema: str) -> DataFrame:
+    """A small table as a local relation, which needs no job of its own."""
+    import pyarrow as pa
 
-    def of_grain(g: str) -> Column:
+    return spark.createDataFrame(pa.table(columns), schema)
+
+
+def _counted_by_bit(kept: DataFrame, entities: dict[str, list[str]]) -> DataFrame:
+    spark = kept.sparkSession
+    bit_of = {pair: i for i, pair in enumerate((g, e) for g, names in entities.items() for e in names)}
+    n_words = -(-len(bit_of) // 64)
+    marked, places = kept, []
+    for g, names in entities.items():
         if g == GLOBAL:
-            return F.array(F.struct(F.lit(g).alias("grain"), F.lit(ALL).alias("entity")))
-        return F.transform(F.array_distinct(F.col(f"__marks.g_{g}")), lambda e: F.struct(F.lit(g).alias("grain"), e.alias("entity")))
+            places.append((F.lit(bit_of[g, ALL]), bit_of[g, ALL], bit_of[g, ALL]))
+            continue
+        bits = [bit_of[g, e] for e in names]
+        # At most MAX_ENTITIES names, counted before they were read.
+        named = _local(spark, {f"__e_{g}": names, f"__b_{g}": bits}, f"__e_{g} string, __b_{g} int")
+        marked = marked.join(F.broadcast(named), F.col(f"g_{g}") == F.col(f"__e_{g}"))
+        places.append((F.col(f"__b_{g}"), min(bits), max(bits)))
+
+    def word(w: int) -> Column:
+        out = F.lit(0).cast("long")
+        for place, low, high in places:
+            if low < 64 * (w + 1) and high >= 64 * w:
+                inside = F.lit(True) if 64 * w <= low and high < 64 * (w + 1) else (place >= 64 * w) & (place < 64 * (w + 1))
+                one = F.call_function("shiftleft", F.lit(1).cast("long"), place - 64 * w)
+                out = out.bitwiseOR(F.when(inside, one).otherwise(F.lit(0).cast("long")))
+        return out
 
-    entities = F.flatten(F.array(*[of_grain(g) for g in spec.grains]))
-    once = counted.select("period", "__c", F.inline(entities))
-    return once.groupBy("grain", "entity", "period").agg(F.sum("__c").alias("divisor")).select(
-        F.lit(spec.id).alias("metric_id"), "grain", "entity", "period", "divisor", F.lit(None).cast("double").alias("quantile")
+    ids = marked.select("__id", "period", *[word(w).alias(f"__w{w}") for w in range(n_words)]).groupBy("__id", "period").agg(*[F.bit_or(f"__w{w}").alias(f"__w{w}") for w in range(n_words)])
+    words = ids.select("period", F.inline(F.array(*[F.struct(F.lit(w).alias("__at"), F.col(f"__w{w}").alias("__word")) for w in range(n_words)])))
+    counted = words.filter("__word <> 0").groupBy("period", "__at", "__word").agg(F.count("*").alias("__c"))
+    pairs = list(bit_of)
+    meaning = _local(
+        spark, {"__at": [i // 64 for i in range(len(pairs))], "__bit": [i % 64 for i in range(len(pairs))], "grain": [p[0] for p in pairs], "entity": [p[1] for p in pairs]},
+        "__at int, __bit int, grain string, entity string",
     )
+    read = counted.join(F.broadcast(meaning), "__at").filter(F.expr("(shiftrightunsigned(__word, __bit) & 1) = 1"))
+    return read.groupBy("grain", "entity", "period").agg(F.sum("__c").alias("divisor"))
 
 
 def _quantiles(rows: DataFrame, spec: MetricSpec, flag: str) -> DataFrame:

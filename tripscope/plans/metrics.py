@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripscope.operators import benchmark, metrics as M
+from tripscope.operators import benchmark, metrics as M, monthly
 from tripscope.plans.registry import Book
 from tripscope.plans.role_sql import with_roles
 from tripscope.session import ensure_checkpoint_dir, input_mark
@@ -201,6 +201,33 @@ for _i, _mid in enumerate(_FORMULA):
         sliced_sql(f"SELECT grain, entity, period, {r('value')}, n, covered, {r('coverage')} FROM slices", (_mid,)),
     )
 
+
+
+def merged_quarters(spark: SparkSession, sf: str) -> DataFrame:
+    """All slices by quarter, added up from the mergeable state of single months."""
+    out = None
+    for source, relation in (("trips", roles.trips(spark, sf, "month", *_TRIP_INPUTS[1:])), ("bills", roles.bills(spark, sf, "month", *_BILL_INPUTS[1:]))):
+        specs = [s for s in SPECS.values() if s.source == source]
+        part = monthly.merged(monthly.partials(relation, specs), specs, F.trunc("month", "QUARTER"))
+        out = part if out is None else out.unionByName(part)
+    return rounded(out, "value", "coverage")
+
+
+BOOK.add("M12_merged_from_months", merged_quarters, sliced_sql(f"SELECT {SLICE_COLUMNS} FROM slices"))
+
+
+def production_slices(spark: SparkSession, sf: str) -> DataFrame:
+    """The catalog as it is: its own gates, targets and months."""
+    relations = {"trips": roles.trips(spark, sf, "month", *_TRIP_INPUTS[1:]), "bills": roles.bills(spark, sf, "month", *_BILL_INPUTS[1:])}
+    return rounded(M.slices(relations, M.DEFAULT_CATALOG, "month"), "value", "coverage")
+
+
+_GATES = "CASE metric_id " + " ".join(f"WHEN '{k}' THEN {s.min_sample}" for k, s in M.DEFAULT_CATALOG.items()) + " END"
+BOOK.add(
+    "M12_production_gates", production_slices,
+    sliced_sql(f"SELECT {SLICE_COLUMNS} FROM slices").replace("quarter AS period", "month AS period").replace(f"n >= {GATE}", f"n >= {_GATES}"),
+)
+
 _ONE = ("ota", "cost_per_trip")
 
 
