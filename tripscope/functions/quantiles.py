@@ -1,60 +1,94 @@
-"""Exact interpolated percentiles per group for continuous columns.
+"""Exact interpolated percentiles per group for continuous columns, by distributed radix selection.
 
-The built-in exact percentile keeps every distinct value of a group in one buffer. That is right for whole minutes; for
-money and ratios a hot group would not fit. Here a mergeable sketch narrows the answer to a thin band of ranks, and only
-the distinct values in that band are ordered.
+The built-in exact percentile keeps every distinct value of a group in one buffer. That is right for whole minutes; for money and ratios
+a hot group would not fit. Here a value is seen as a 64-bit integer of the same order. A pass counts values per 16-bit digit, map-side
+first, and follows each wanted rank into the digit that holds it; the next pass counts only the values below that digit, so after at most
+four passes each rank has its value. It ends earlier where a digit holds one value only. No values are ever ordered: the largest group of
+any window has 65,536 counters.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-ACCURACY = 10_000
+from tripscope.session import ensure_checkpoint_dir
+
+DIGIT = 16
+#: Open digits (one row of a few dozen bytes each) are broadcast up to this many and joined by shuffle beyond it.
+BROADCAST_DIGITS = 100_000
+
+
+def ordered_bits(v: Column) -> Column:
+    """A long of the same order as the double: its IEEE bits, negated for negative values.
+
+    Exponent and mantissa come from divisions by powers of two, which are exact. Both zeros are 0; NaN is above infinity.
+    """
+    a = F.abs(v)
+    guess = F.floor(F.log2(a))
+    power = lambda e: F.pow(F.lit(2.0), e.cast("double"))
+    # The logarithm may be rounded across a power of two. 2^1024 is infinity, so the comparison holds at the upper end too.
+    exponent = F.greatest(guess - F.when(power(guess) > a, 1).otherwise(0) + F.when(power(guess + 1) <= a, 1).otherwise(0), F.lit(-1022))
+    fraction = ((a / power(exponent) - 1.0) * float(2**52)).cast("long")
+    bits = (exponent + 1023).cast("long") * F.lit(2**52) + fraction
+    whole = F.when(F.isnan(v), F.lit(0x7FF8 << 48)).when(a == float("inf"), F.lit(0x7FF0 << 48)).when(a == 0.0, F.lit(0)).otherwise(bits)
+    return F.when(v < 0, -whole).otherwise(whole)
 
 
 def exact_percentiles(df: DataFrame, keys: list[str], value: str, ps: list[float]) -> DataFrame:
     """Columns: the keys, ``n`` non-null values, and ``p<100p>`` for every p in ``ps``."""
-    slack = 4.0 / ACCURACY
-    rows = df.select(*keys, F.col(value).cast("double").alias("__v")).filter("__v is not null")
-    grid = [(p, max(0.0, p - slack), min(1.0, p + slack)) for p in ps]
-    edges = F.percentile_approx("__v", [x for _, lo, hi in grid for x in (lo, hi)], ACCURACY)
-    sketch = rows.groupBy(*keys).agg(F.count("*").alias("n"), edges.alias("__e"))
-    limits = F.array(
-        *[
-            F.struct(
-                F.col("n"), F.lit(p).alias("__p"), F.element_at("__e", 2 * i + 1).alias("__lo"), F.element_at("__e", 2 * i + 2).alias("__hi")
-            )
-            for i, (p, _, _) in enumerate(grid)
-        ]
-    )
-    if keys:
-        bands = sketch.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.inline(limits))
-        match = F.lit(True)
+    ensure_checkpoint_dir(df.sparkSession)
+    rows = df.select(*keys, F.col(value).cast("double").alias("__v")).filter("__v is not null").withColumn("__u", ordered_bits(F.col("__v")))
+    first = rows.groupBy(*keys, F.shiftright("__u", 64 - DIGIT).alias("__at")).agg(*_counters())
+    n = F.sum("__c").over(W.partitionBy(*(keys or [F.lit(1)])))
+    spots = [(F.col("n") - 1) * F.lit(p) for p in ps]
+    # The value below and, where the spot lies between two, the value above.
+    ranks = F.array(*[_rank(i, side, F.floor(spot) + (F.when(spot > F.floor(spot), 1).otherwise(0) if side else 0)) for i, spot in enumerate(spots) for side in (0, 1)])
+    found = _followed(first.withColumn("n", n).withColumn("__ranks", ranks), keys, []).checkpoint()
+    done = found.filter("__low = __high")
+    for shift in range(64 - 2 * DIGIT, -1, -DIGIT):
+        left = found.filter("__low <> __high")
+        inside = left.groupBy(*keys, "n", F.col("__at").alias("__in")).agg(F.collect_list(F.struct("__i", "__side", "__rank")).alias("__ranks"))
+        count = inside.count()
+        if not count:
+            break
+        open_digits = inside.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("n").alias("n"), "__in", "__ranks")
+        same = F.shiftright("__u", shift + DIGIT) == F.col("__in")
         for k in keys:
-            match = match & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
-        tagged = rows.join(bands, match)
-    else:
-        tagged = rows.withColumn("__b", sketch.select(limits).scalar()).select("__v", F.inline("__b"))
-    side = F.when(F.col("__v") < F.col("__lo"), -1).when(F.col("__v") > F.col("__hi"), 1).otherwise(0)
-    band = (
-        tagged.withColumn("__side", side)
-        .groupBy(*keys, "n", "__p", "__side", F.when(F.col("__side") == 0, F.col("__v")).alias("__in"))
-        .agg(F.count("*").alias("__c"), F.min("__v").alias("__min"), F.max("__v").alias("__max"))
-        .withColumn("__x", F.when(F.col("__side") < 0, F.col("__max")).otherwise(F.col("__min")))
-    )
-    upto = W.partitionBy(*keys, "__p").orderBy("__x").rowsBetween(W.unboundedPreceding, 0)
-    spot = (F.col("n") - 1) * F.col("__p")
-    k = F.floor(spot) + 1
-    picked = (
-        band.withColumn("__cum", F.sum("__c").over(upto))
-        .groupBy(*keys, "n", "__p")
-        .agg(
-            F.min(F.when(F.col("__cum") >= k, F.col("__x"))).alias("__a"),
-            F.min(F.when(F.col("__cum") >= k + 1, F.col("__x"))).alias("__b"),
-        )
-        .withColumn("__f", spot - F.floor(spot))
-        .withColumn("__q", F.col("__a") + F.when(F.col("__f") > 0, F.col("__f") * (F.col("__b") - F.col("__a"))).otherwise(0.0))
-    )
-    return picked.groupBy(*keys, "n").agg(*[F.max(F.when(F.col("__p") == p, F.col("__q"))).alias(f"p{round(p * 100)}") for p in ps])
+            same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+        narrow = open_digits.drop("n", "__ranks")
+        below = rows.join(F.broadcast(narrow) if count <= BROADCAST_DIGITS else narrow, same)
+        cells = below.groupBy(*keys, "__in", F.shiftright("__u", shift).alias("__at")).agg(*_counters())
+        match = F.col("c.__in") == F.col("o.__in")
+        for k in keys:
+            match = match & F.col(f"c.{k}").eqNullSafe(F.col(f"o.__k_{k}"))
+        known = cells.alias("c").join(open_digits.alias("o"), match).select(*[F.col(f"c.{k}") for k in keys], "c.__in", "c.__at", "c.__c", "c.__low", "c.__high", "o.n", "o.__ranks")
+        found = _followed(known, keys, ["__in"]).checkpoint()
+        done = done.unionByName(found.filter("__low = __high"))
+    values = [F.max(F.when((F.col("__i") == i) & (F.col("__side") == side), F.col("__low"))) for i in range(len(ps)) for side in (0, 1)]
+    picked = done.groupBy(*keys, "n").agg(*[v.alias(f"__q{j}") for j, v in enumerate(values)])
+
+    def between(i: int, spot: Column) -> Column:
+        low, part = F.col(f"__q{2 * i}"), spot - F.floor(spot)
+        return low + F.when(part > 0, part * (F.col(f"__q{2 * i + 1}") - low)).otherwise(0.0)
+
+    return picked.select(*keys, "n", *[between(i, spot).alias(f"p{round(p * 100)}") for i, (p, spot) in enumerate(zip(ps, spots))])
+
+
+def _counters() -> list[Column]:
+    return [F.count("*").alias("__c"), F.min("__v").alias("__low"), F.max("__v").alias("__high")]
+
+
+def _rank(i: int, side: int, rank: Column) -> Column:
+    return F.struct(F.lit(i).alias("__i"), F.lit(side).alias("__side"), rank.cast("long").alias("__rank"))
+
+
+def _followed(cells: DataFrame, keys: list[str], within: list[str]) -> DataFrame:
+    """One row per wanted rank: the digit that holds it and its rank among the values of that digit."""
+    group = [F.col(c) for c in (*keys, *within)] or [F.lit(1)]
+    before = F.coalesce(F.sum("__c").over(W.partitionBy(*group).orderBy("__at").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    held = cells.withColumn("__before", before)
+    mine = F.filter("__ranks", lambda r: (r["__rank"] >= F.col("__before")) & (r["__rank"] < F.col("__before") + F.col("__c")))
+    spread = held.select(*keys, "n", "__at", "__low", "__high", "__before", F.inline(mine))
+    return spread.withColumn("__rank", F.col("__rank") - F.col("__before")).drop("__before")
