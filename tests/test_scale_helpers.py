@@ -1,6 +1,9 @@
 """Exactness of the helpers that keep a hot group out of a single task."""
 
+import math
 import random
+import struct
+from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
@@ -72,3 +75,62 @@ def test_column_profile_counts(spark):
     t, u = got["t"], got["u"]
     assert (t.n, t.nulls, t.distinct_values, t.empty, t.padded, t.cast_failures) == (4, 1, 3, 1, 1, 3)
     assert (u.cast_failures, u.distinct_values, u.null_pct) == (1, 3, 0.0)
+
+
+def test_ordered_bits_are_the_bits_of_the_double(spark):
+    rng = random.Random(4)
+    numbers = [0.0, -0.0, 1.0, -1.0, 5e-324, -5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.7976931348623157e308, float("inf"), float("-inf"), float("nan"), 0.1, 1 / 3]
+    numbers += [s * x for e in range(-1074, 1024, 3) for x in (2.0**e, math.nextafter(2.0**e, 9e307), math.nextafter(2.0**e, 0)) for s in (1, -1)]
+    numbers += [rng.gauss(0, 10 ** rng.randint(-5, 9)) for _ in range(2000)]
+
+    def bits(v):
+        if math.isnan(v):
+            return 0x7FF8 << 48
+        whole = struct.unpack("<q", struct.pack("<d", abs(v)))[0]
+        return -whole if v < 0 else whole
+
+    got = spark.createDataFrame([(i, v) for i, v in enumerate(numbers)], "i int, v double").select("i", quantiles.ordered_bits(F.col("v")).alias("u")).collect()
+    assert {r.i: r.u for r in got} == {i: bits(v) for i, v in enumerate(numbers)}
+
+
+def test_percentiles_where_values_differ_in_their_last_bits_only(spark):
+    """All four passes are needed, with negative values, infinities and NaN in between."""
+    rows = [("near", math.nextafter(1.0, 2.0) + k * 2.0**-52) for k in range(300)] + [("wide", (-1) ** k * 2.0 ** (k - 150)) for k in range(300)]
+    rows += [("odd", x) for x in (float("nan"), float("inf"), float("-inf"), 0.0, -0.0, 1.0)] + [(None, 2.5), (None, None), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    ps = [0.0, 0.3, 0.5, 0.77, 1.0]
+    names = ["p0", "p30", "p50", "p77", "p100"]
+    got = {r.g: [r.n, *[r[c] for c in names]] for r in quantiles.exact_percentiles(df, ["g"], "v", ps).collect()}
+    for g in ("near", "wide", None, "odd"):
+        values = sorted((v for k, v in rows if k == g and v is not None), key=lambda v: (math.isnan(v), v))
+        for p, x in zip(ps, got[g][1:]):
+            spot = (len(values) - 1) * p
+            low, part = values[math.floor(spot)], spot - math.floor(spot)
+            want = low + part * (values[math.floor(spot) + 1] - low) if part else low
+            assert x == want or (math.isnan(x) and math.isnan(want)), (g, p, x, want)
+    assert "none" not in got
+
+
+def test_percentiles_order_no_values(spark, skewed):
+    """The windows of the selection run over digits; no sort or window has the value in it."""
+    text = quantiles.exact_percentiles(skewed, ["g"], "v", [0.5])._jdf.queryExecution().executedPlan().toString()
+    assert "Sort [__v" not in text and "Window [" not in text
+
+
+def test_minimal_keys(spark):
+    rng = random.Random(1)
+    rows = [(i % 40, i // 40, i % 7 if i % 3 else None, rng.randint(0, 10**6), "same", None) for i in range(800)]
+    rows[5] = (*rows[5][:3], rows[6][3], *rows[5][4:])
+    cols = ["a", "b", "c", "d", "e", "f"]
+    df = spark.createDataFrame(rows, "a int, b int, c int, d int, e string, f int")
+
+    def is_key(s):
+        return len({tuple(r[i] for i in s) for r in rows}) == len(rows)
+
+    every = [s for k in range(1, 7) for s in combinations(range(6), k) if is_key(s)]
+    want = {tuple(cols[i] for i in s) for s in every if not any(set(t) < set(s) for t in every)}
+    got = Q.minimal_keys(df, cols).collect()
+    assert {tuple(r.key_columns) for r in got} == want and ("a", "b") in want and all(r.size == len(r.key_columns) for r in got)
+    assert {tuple(r.key_columns) for r in Q.minimal_keys(df, cols, largest=1).collect()} == {s for s in want if len(s) == 1}
+    assert Q.minimal_keys(df.union(df), cols).count() == 0
+    assert [r.key_columns for r in Q.minimal_keys(df.limit(1), cols).collect()] == [[]]

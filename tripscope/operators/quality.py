@@ -88,6 +88,53 @@ def key_report(df: DataFrame, keys: dict[str, list[str]], where: str | None = No
     return out
 
 
+#: A set of columns whose estimated number of values is this far below the number of rows is no key: ten standard errors of the sketch.
+SKETCH_SLACK = 0.16
+
+
+def minimal_keys(df: DataFrame, columns: list[str], largest: int | None = None) -> DataFrame:
+    """All minimal keys among ``columns``: sets whose values no two rows share, and that lose this without any of their columns.
+
+    The lattice of column sets is searched level by level. A set with a key inside it is a key but not a minimal one, so it is never
+    looked at. Of a level's other sets, one scan estimates the number of values of each by a mergeable sketch, and only sets that may be
+    keys are counted exactly, all in one grouped pass. Nulls are values like others. Returns (key_columns, size), sets in ``columns``'
+    order; keys of more than ``largest`` columns are not looked for if it is given.
+    """
+    spark = df.sparkSession
+    rows = df.select(*columns)
+    keys: list[tuple[int, ...]] = []
+    level = [()]
+    total = rows.count()
+    for size in range(0, min(largest or len(columns), len(columns)) + 1):
+        if size:
+            # Grow the sets that are no keys by a later column; all their other subsets must be no keys either.
+            known = set(level)
+            grown = [(*s, c) for s in level for c in range(s[-1] + 1 if s else 0, len(columns))]
+            level = [g for g in grown if all((*g[:i], *g[i + 1 :]) in known for i in range(size))]
+        if not level:
+            break
+        found = set(level) if total <= 1 else _unique_sets(rows, columns, [s for s in level if s], total)
+        keys += sorted(found)
+        level = [s for s in level if s not in found]
+    return spark.createDataFrame([([columns[c] for c in k], len(k)) for k in keys], "key_columns array<string>, size int")
+
+
+def _unique_sets(rows: DataFrame, columns: list[str], sets: list[tuple[int, ...]], total: int) -> set[tuple[int, ...]]:
+    """Those of the column sets that no two rows share."""
+    if not sets:
+        return set()
+    sketches = [F.hll_sketch_estimate(F.hll_sketch_agg(F.xxhash64(*[columns[c] for c in s], *[F.col(columns[c]).isNull() for c in s]), F.lit(12))) for s in sets]
+    estimates = rows.agg(*[e.alias(f"e{i}") for i, e in enumerate(sketches)]).first()
+    maybe = [s for s, e in zip(sets, estimates) if e >= (1 - SKETCH_SLACK) * total]
+    if not maybe:
+        return set()
+    used = sorted({c for s in maybe for c in s})
+    grouped = rows.groupingSets([[columns[c] for c in s] for s in maybe], *[columns[c] for c in used])
+    shared = grouped.agg(F.count("*").alias("n"), *[F.grouping(columns[c]).alias(f"g{c}") for c in used]).filter("n > 1")
+    repeated = {tuple(c for c in used if r[f"g{c}"] == 0) for r in shared.select(*[f"g{c}" for c in used]).distinct().collect()}
+    return set(maybe) - repeated
+
+
 def schema_drift(raw: DataFrame, file_tag: str, hints: dict[str, str]) -> DataFrame:
     """Per file and column: null rate, failed casts to the hinted type, and how many texts carry a thousands comma or a dot."""
     cells = F.array(

@@ -146,6 +146,19 @@ def _key_sql(where: str) -> str:
 _KEYCOLS = ["trip_id", "leg_no", "stwid", "trip_date", "leg_ref", "leg_amount"]
 BOOK.add("Q13_candidate_keys", lambda spark, sf: Q.key_report(roles.legs(spark, sf, *_KEYCOLS), _KEYS), with_roles(_key_sql("true"), "legs"))
 BOOK.add("Q13_candidate_keys_no_placeholder", lambda spark, sf: Q.key_report(roles.legs(spark, sf, *_KEYCOLS), _KEYS, "stwid is not null"), with_roles(_key_sql("stwid IS NOT NULL"), "legs"))
+
+
+def _minimal_sql(columns: list[str]) -> str:
+    """Counts every set of columns and keeps the keys that have no key inside them."""
+    sets = [[c for i, c in enumerate(columns) if s >> i & 1] for s in range(1, 2 ** len(columns))]
+    counted = " UNION ALL ".join(f"SELECT {[*s]} AS key_columns, (SELECT count(*) FROM (SELECT DISTINCT {', '.join(s)} FROM legs)) = (SELECT count(*) FROM legs) AS is_key" for s in sets)
+    return (f"SELECT array_to_string(key_columns, '+') AS key_columns, len(key_columns)::INT AS size FROM sets a WHERE is_key AND NOT EXISTS "
+            "(SELECT 1 FROM sets b WHERE b.is_key AND len(b.key_columns) < len(a.key_columns) AND list_has_all(a.key_columns, b.key_columns))", f"sets AS ({counted})")
+
+
+_FIND = ["trip_id", "leg_no", "stwid", "trip_date", "leg_ref", "leg_amount"]
+BOOK.add("Q13_minimal_keys", lambda spark, sf: Q.minimal_keys(roles.legs(spark, sf, *_FIND), _FIND).select(F.array_join("key_columns", "+").alias("key_columns"), "size"),
+         with_roles(_minimal_sql(_FIND)[0], "legs", extra=_minimal_sql(_FIND)[1]))
 _copies = legs.agg("trip_id leg_no", copies="count(*)", variants="PAIRS(rider_ref, leg_ref, leg_amount, trip_date)", dates="count(DISTINCT trip_date)", riders="count(DISTINCT rider_ref)", first_day="min(trip_date)", last_day="max(trip_date)")
 add("Q11_key_multiplicity", _copies.agg("copies", keys="count(*)", rows_all="ISUM(copies)"))
 add("Q11_key_uniqueness", _copies.agg(ALL, rows_all="ISUM(copies)", keys="count(*)", excess="cast(sum(copies) - count(*) as bigint)"))
