@@ -7,7 +7,7 @@ counted by their keys and value before any join, so a contract or vendor with a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from tripscope.functions.ordering import with_tile
 from tripscope.plans.registry import Book
@@ -212,10 +212,16 @@ FROM (SELECT month, (actual_start_epoch - planned_start_epoch) / 60 AS s, (actua
 WHERE abs(s) < 600 AND abs(e) < 600 AND abs(r) < 600 GROUP BY 1""", "trips"))
 
 
+def correlation(x: str, y: str) -> Column:
+    """Pearson correlation over pairs, null where either side is constant: the built-in form divides by zero there."""
+    a, b = (F.when(F.col(other).isNotNull(), F.col(one)) for one, other in ((x, y), (y, x)))
+    return F.covar_samp(x, y) / F.nullif(F.stddev_samp(a) * F.stddev_samp(b), F.lit(0.0))
+
+
 def load_correlation(spark: SparkSession, sf: str, days: int = 60) -> DataFrame:
     """Trips a weekday against the on-time rate, per office with ``days`` weekdays."""
     d = roles.trips(spark, sf, "office", "trip_date", "on_time").filter(F.weekday("trip_date") < 5).groupBy("office", "trip_date").agg(F.count("*").cast("double").alias("n"), F.avg("on_time").alias("rate"))
-    return d.groupBy("office").agg(F.count("*").alias("days"), F.round(F.avg("n"), 4).alias("mean_trips"), F.round(F.nanvl(F.corr("n", "rate"), F.lit(None)), 5).alias("load_corr")).filter(F.col("days") >= days)
+    return d.groupBy("office").agg(F.count("*").alias("days"), F.round(F.avg("n"), 4).alias("mean_trips"), F.round(correlation("n", "rate"), 5).alias("load_corr")).filter(F.col("days") >= days)
 
 
 BOOK.add("L20_weekday_load", load_correlation, with_roles("""SELECT office, count(*) AS days, round(avg(n), 4) AS mean_trips, round(corr(n, rate), 5) AS load_corr
@@ -236,7 +242,7 @@ _VENDOR_SQL = """SELECT vendor_id, count(*) AS n_trips, round(count(*) FILTER (W
   CAST(coalesce(sum(n_fb), 0) AS BIGINT) AS n_ratings FROM trips LEFT JOIN (SELECT trip_id, count(driver_rating) AS n_fb, count(*) FILTER (WHERE driver_rating <= 2) AS n_det FROM feedback GROUP BY 1) USING (trip_id)
 GROUP BY 1 HAVING count(*) >= {}"""
 BOOK.add("X10_coverage_vs_detractors", lambda spark, sf: coverage_vs_detractors(spark, sf, SMALL), with_roles(_VENDOR_SQL.format(SMALL), "trips", "feedback"))
-BOOK.add("X10_detractor_correlation", lambda spark, sf: coverage_vs_detractors(spark, sf, SMALL).agg(F.count("*").alias("vendors"), F.round(F.corr("coverage", "detractors"), 4).alias("corr")),
+BOOK.add("X10_detractor_correlation", lambda spark, sf: coverage_vs_detractors(spark, sf, SMALL).agg(F.count("*").alias("vendors"), F.round(correlation("coverage", "detractors"), 4).alias("corr")),
          with_roles(f"SELECT count(*) AS vendors, round(corr(coverage, detractors), 4) AS corr FROM ({_VENDOR_SQL.format(SMALL)})", "trips", "feedback"))
 
 
