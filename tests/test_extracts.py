@@ -31,9 +31,9 @@ def test_ride_defects_and_missing_column(spark, tmp_path):
     assert may_row.trip_nodal == "NA" and may_row.actual_end_epoch is None
     assert bad.delay_minutes is None and bad.on_time == 0 and bad.trip_id is None
     assert jul_row.planned_km is None and jul_row.trip_date is None and jul_row.trip_nodal == "NA" and jul_row.on_time == 1
-    report = X.conservation({"trips": raw}, {"trips": X.typed_trips(raw)})
-    assert report.first().rows_kept == 3
-    X.assert_conserved(report)
+    out, account = X.load(spark, "trips", [may, jul], str(tmp_path / "trips"), r"ride-(\w+)_2026")
+    assert tuple(account) == ("trips", 3, 3, 3, 3) and out.count() == 3
+    X.assert_conserved([account])
     drift = {(r.src_month, r.column): r for r in Q.schema_drift(raw, "src_month", {"planned_km": "double", "trip_nodal": "int"}).collect()}
     assert drift["jul", "planned_km"].cast_failures == 1 and drift["jul", "planned_km"].with_comma == 1 and drift["jul", "trip_nodal"].nulls == 1
 
@@ -83,9 +83,29 @@ def test_leg_and_rating_defects(spark, tmp_path):
     assert fb.trip_date == dt.date(2026, 6, 3) and fb.marshal_rating is None and fb.avg_rating == 4.5
 
 
-def test_conservation_fails_loudly(spark):
-    with pytest.raises(ValueError, match="trips: read 3, kept 2"):
-        X.assert_conserved(X.conservation({"trips": spark.range(3)}, {"trips": spark.range(2)}))
+def test_a_lost_or_made_row_is_noticed(spark, tmp_path):
+    path = write(tmp_path / "ride.csv", RIDE, [{**RIDE_ROW, "trip_id": str(i)} for i in range(5)])
+
+    def loaded(typing, where):
+        return X.load(spark, "trips", [path], str(tmp_path / where), typing=typing)[1]
+
+    X.assert_conserved([loaded(None, "whole")])
+    lost = loaded(lambda raw: X.typed_trips(raw).filter("trip_id <> 3"), "lost")
+    assert (lost.lines, lost.parsed, lost.kept, lost.written) == (5, 5, 4, 4)
+    made = loaded(lambda raw: X.typed_trips(raw).withColumn("x", F.explode(F.array(F.lit(1), F.lit(2)))), "made")
+    assert (made.parsed, made.kept) == (5, 10)
+    for account in (lost, made):
+        assert not X.conservation(spark, [account]).first().conserved
+        with pytest.raises(ValueError, match="trips: 5 lines"):
+            X.assert_conserved([account])
+
+
+def test_a_broken_row_in_the_text_is_noticed(spark, tmp_path):
+    path = tmp_path / "ride.csv"
+    row = ",".join(str({**RIDE_ROW, "office": '"two\nlines"'}[c]) for c in RIDE)
+    path.write_text(",".join(RIDE) + "\n" + row + "\n\n   \n" + ",".join(str(RIDE_ROW[c]) for c in RIDE) + "\n")
+    account = X.load(spark, "trips", [str(path)], str(tmp_path / "out"))[1]
+    assert account.lines == account.parsed == account.written == 3  # a line break ends a row, blank lines are no rows
 
 
 def test_publish_partitions_by_month(spark, tmp_path):
