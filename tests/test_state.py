@@ -12,18 +12,34 @@ def rows(spark, *data):
 
 
 def test_put_replaces_by_key_and_keeps_the_rest(spark, tmp_path):
-    t = state.StateTable(spark, str(tmp_path / "s"), "k")
-    assert t.read() is None
-    t.put(rows(spark, ("a", 1, 1), ("b", 1, 1)))
-    t.put(rows(spark, ("b", 2, 2), ("c", None, 2)))
-    assert {tuple(r) for r in t.read().collect()} == {("a", 1, 1), ("b", 2, 2), ("c", None, 2)}
-
-
-def test_half_written_version_is_never_read(spark, tmp_path):
-    t = state.StateTable(spark, str(tmp_path / "s"), "k")
-    t.put(rows(spark, ("a", 1, 1)))
-    rows(spark, ("a", 9, 9)).write.parquet(str(tmp_path / "s" / "v00000002-dead"))
-    assert [r.v for r in t.read().collect()] == [1]
+    path = str(tmp_path / "s")
+    assert state.current(spark, path) is None
+    state.upsert(rows(spark, ("a", 1, 1), ("b", 1, 1)), path, "k")
+    state.upsert(rows(spark, ("b", 2, 2), ("c", None, 2)), path, "k")
+    assert state.upsert(rows(spark), path, "k") == []
+    assert {tuple(r) for r in state.current(spark, path).collect()} == {("a", 1, 1), ("b", 2, 2), ("c", None, 2)}
+
+
+def test_only_touched_buckets_are_rewritten(spark, tmp_path):
+    path = tmp_path / "s"
+    state.upsert(rows(spark, *[(f"k{i}", i, 1) for i in range(300)]), str(path), "k")
+    before = {f: f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
+    touched = state.upsert(rows(spark, ("k7", 70, 2), ("k8", 80, 2)), str(path), "k")
+    after = {f: f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
+    assert 1 <= len(touched) <= 2
+    names = {f"key_bucket={b}" for b in touched}
+    assert {f.parent.name for f in set(before) - set(after)} == names == {f.parent.name for f in set(after) - set(before)}
+    assert all(after[f] == t for f, t in before.items() if f in after)
+    got = {r.k: r.v for r in state.current(spark, str(path)).collect()}
+    assert got == {f"k{i}": {7: 70, 8: 80}.get(i, i) for i in range(300)}
+
+
+def test_late_rows_lose_and_a_repeated_put_changes_nothing(spark, tmp_path):
+    path = str(tmp_path / "s")
+    state.upsert(rows(spark, ("a", 1, 5), ("b", 1, None)), path, "k", "at")
+    for _ in range(2):
+        state.upsert(rows(spark, ("a", 2, 4), ("b", 2, 1), ("b", 3, 2)), path, "k", "at")
+    assert {tuple(r) for r in state.current(spark, path).collect()} == {("a", 1, 5), ("b", 3, 2)}
 
 
 def test_audit_is_append_only(spark, tmp_path):
@@ -37,10 +53,10 @@ def test_audit_is_append_only(spark, tmp_path):
 
 def test_stream_upsert_keeps_the_newest_row(spark, tmp_path):
     src = str(tmp_path / "in")
-    t = state.StateTable(spark, str(tmp_path / "s"), "k")
+    path = str(tmp_path / "s")
     # The last batch is late: what it says is older than what is stored.
     for batch in ([("a", 1, 1), ("a", 2, 2), ("b", 1, 1), ("c", 7, None)], [("a", 3, 3)], [("a", 9, 2), ("b", None, None)]):
         rows(spark, *batch).coalesce(1).write.mode("append").parquet(src)
-        q = upsert_stream(spark.readStream.schema(SCHEMA).parquet(src), t, "at", str(tmp_path / "cp"))
+        q = upsert_stream(spark.readStream.schema(SCHEMA).parquet(src), path, "k", "at", str(tmp_path / "cp"))
         assert q.awaitTermination(120)
-    assert {tuple(r) for r in t.read().collect()} == {("a", 3, 3), ("b", 1, 1), ("c", 7, None)}
+    assert {tuple(r) for r in state.current(spark, path).collect()} == {("a", 3, 3), ("b", 1, 1), ("c", 7, None)}

@@ -35,26 +35,35 @@ def triage(ranked: DataFrame, max_incidents: int | None = None, max_members: int
     """Clusters of one metric moving one way in a period, led by the best score.
 
     ``max_incidents`` (per period) and ``max_members`` (ids listed per cluster) cut the report for a desk with room for so many; by default
-    nothing is left out. A cluster has at most as many members as findings were ranked for its period.
+    nothing is left out. With 0 no ids are listed: ``members`` has them as rows, which is the form for clusters of any size.
     """
-    way = F.when(F.col("points") < 0, "down").otherwise("up")
-    cluster = F.concat_ws(":", "metric_id", way)
-    members = W.partitionBy("period", "cluster_key").orderBy(F.col("score").desc(), "finding_id")
-    rows = ranked.withColumn("cluster_key", cluster).withColumn("__m", F.row_number().over(members))
-    lead = F.col("__m") == 1
-    listed = F.lit(True) if max_members is None else F.col("__m") <= max_members
+    rows = ranked.withColumn("cluster_key", cluster_key())
     keep = ("finding_id", "metric_id", "grain", "entity", "value", "prior", "points", "n", "z", "score", "severity", "coverage", "confidence", "known_streak")
-    drafts = rows.groupBy("period", "cluster_key").agg(
-        F.min("place").alias("__first"),
-        F.count("*").alias("n_members"),
-        F.transform(F.array_sort(F.collect_list(F.when(listed, F.struct("__m", "finding_id")))), lambda s: s["finding_id"]).alias("finding_ids"),
-        *[F.max(F.when(lead, F.col(c))).alias(c) for c in keep],
-    )
+    # The lead is a minimum, kept map-side, so a cluster may have any number of members.
+    lead = F.min_by(F.struct(*keep), F.struct(-F.col("score"), F.col("finding_id"))).alias("__lead")
+    drafts = rows.groupBy("period", "cluster_key").agg(F.min("place").alias("__first"), F.count("*").alias("n_members"), lead).select("period", "cluster_key", "__first", "n_members", "__lead.*")
+    if max_members != 0:
+        places = W.partitionBy("period", "cluster_key").orderBy(F.col("score").desc(), "finding_id")
+        listed = rows.withColumn("__m", F.row_number().over(places)).filter(F.lit(True) if max_members is None else F.col("__m") <= max_members)
+        ids = listed.groupBy("period", "cluster_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("__m", "finding_id"))), lambda s: s["finding_id"]).alias("finding_ids"))
+        drafts = drafts.join(ids, ["period", "cluster_key"])
+    else:
+        drafts = drafts.withColumn("finding_ids", F.array().cast("array<string>"))
     order = W.partitionBy("period").orderBy("__first")
     drafts = drafts.withColumn("priority", F.row_number().over(order)).drop("__first")
     return drafts if max_incidents is None else drafts.filter(F.col("priority") <= max_incidents)
 
 
+def cluster_key() -> Column:
+    """One metric moving one way."""
+    return F.concat_ws(":", "metric_id", F.when(F.col("points") < 0, "down").otherwise("up"))
+
+
+def members(ranked: DataFrame) -> DataFrame:
+    """The findings of every cluster as rows: (period, cluster_key, incident_id, finding_id)."""
+    return ranked.select("period", cluster_key().alias("cluster_key"), incident_id(cluster_key(), F.col("period")).alias("incident_id"), "finding_id")
+
+
 def incident_id(cluster: Column, period: Column) -> Column:
     return F.concat(F.lit("inc-"), _dash(cluster), F.lit("-"), F.date_format(period, "yyyy-MM"))
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripscope.operators import anomaly, attribution, grounding, incidents as I, policy
+from tripscope.operators import anomaly, attribution, grounding, incidents as I, life_cycle, policy
 from tripscope.operators import metrics as M
 from tripscope.plans.metrics import KEYS, KEYS_SQL, MONTHS, SPECS, kept, observations_for, observed_sql, r, rounded
 from tripscope.plans.movement import FINDINGS_CTE, ATTRIBUTION_CTE, attributed_for, everything_sql, found_for, found_sql, ranked_cte, ranked_for
@@ -21,7 +23,7 @@ def day(text: str) -> F.Column:
 
 
 def drafts_for(spark: SparkSession, sf: str, top_n: int | None = anomaly.TOP_N) -> DataFrame:
-    return I.triage(ranked_for(spark, sf, top_n))
+    return I.triage(ranked_for(spark, sf, top_n), max_members=None if top_n else 0)
 
 
 def incidents_for(spark: SparkSession, sf: str, top_n: int | None = anomaly.TOP_N) -> DataFrame:
@@ -34,14 +36,14 @@ def incidents_for(spark: SparkSession, sf: str, top_n: int | None = anomaly.TOP_
     return kept(spark, sf, "incidents" if top_n == anomaly.TOP_N else f"incidents-{top_n}", make)
 
 
-def stored_for(spark: SparkSession, sf: str) -> DataFrame:
+def stored_for(spark: SparkSession, sf: str, top_n: int | None = anomaly.TOP_N) -> DataFrame:
     """Incident memory as an operator would leave it: fourth priorities dismissed, fifth ones purged."""
-    return incidents_for(spark, sf).filter("priority <> 5").withColumn("status", F.when(F.col("priority") == 4, I.DISMISSED).otherwise(F.col("status")))
+    return incidents_for(spark, sf, top_n).filter("priority <> 5").withColumn("status", F.when(F.col("priority") == 4, I.DISMISSED).otherwise(F.col("status")))
 
 
-def dismissed_for(spark: SparkSession, sf: str):
-    ids = incidents_for(spark, sf).filter("priority = 4").select("incident_id")
-    return I.dismiss(incidents_for(spark, sf), I.schedule(incidents_for(spark, sf)), ids, "dismissed by operator", day("2001-12-31"))
+def dismissed_for(spark: SparkSession, sf: str, top_n: int | None = anomaly.TOP_N):
+    ids = incidents_for(spark, sf, top_n).filter("priority = 4").select("incident_id")
+    return I.dismiss(incidents_for(spark, sf, top_n), I.schedule(incidents_for(spark, sf, top_n)), ids, "dismissed by operator", day("2001-12-31"))
 
 
 INCIDENT_CTE = f"""
@@ -143,56 +145,56 @@ BOOK.add("G5_decisions", lambda spark, sf: policy.decide(ranked_for(spark, sf)).
 FROM (SELECT finding_id, CASE metric_id WHEN 'ota' THEN 'SLA-OTA-001' WHEN 'escort_compliance' THEN 'SLA-ESCORT-001' WHEN 'cost_per_km' THEN 'SLA-CPK-001' ELSE 'SLA-NONE-000' END AS rule_id,
   coalesce(CASE metric_id WHEN 'ota' THEN (0.95 - value) / 0.95 WHEN 'escort_compliance' THEN 1 - value WHEN 'cost_per_km' THEN (value - 85) / 85 END, 0) AS rg,
   coalesce(CASE metric_id WHEN 'ota' THEN 0.95 - prior WHEN 'escort_compliance' THEN 1 - prior WHEN 'cost_per_km' THEN prior - 85 END > 0, false) AS before FROM ranked)""", ranked_cte()))
-BOOK.add("G6_permitted_actions", lambda spark, sf: incidents_for(spark, sf).select("incident_id", F.inline("actions")).drop("reason"),
+BOOK.add("G6_permitted_actions", lambda spark, sf, top_n=anomaly.TOP_N: incidents_for(spark, sf, top_n).select("incident_id", F.inline("actions")).drop("reason"),
          incident_sql("SELECT incident_id, type, recipient, permitted FROM acts2"))
-BOOK.add("G7_vendor_evidence", lambda spark, sf: incidents_for(spark, sf).select("incident_id", "winner", F.round("vendor_power", 6).alias("vendor_power"), "vendor_supported"),
+BOOK.add("G7_vendor_evidence", lambda spark, sf, top_n=anomaly.TOP_N: incidents_for(spark, sf, top_n).select("incident_id", "winner", F.round("vendor_power", 6).alias("vendor_power"), "vendor_supported"),
          incident_sql("SELECT incident_id, winner, round(vendor_power, 6) AS vendor_power, vendor_supported FROM inc"))
-BOOK.add("G8_owner_routing", lambda spark, sf: incidents_for(spark, sf).select("incident_id", "persona", "recipient", "desk"), incident_sql("SELECT incident_id, persona, recipient, desk FROM inc"))
+BOOK.add("G8_owner_routing", lambda spark, sf, top_n=anomaly.TOP_N: incidents_for(spark, sf, top_n).select("incident_id", "persona", "recipient", "desk"), incident_sql("SELECT incident_id, persona, recipient, desk FROM inc"))
 
 # --- incidents -------------------------------------------------------------------------------------------------------
 
 BOOK.add("I1_triage", lambda spark, sf: drafts_for(spark, sf).select("period", "cluster_key", "priority", "n_members", "finding_id", F.array_join("finding_ids", "|").alias("finding_ids")),
          incident_sql("SELECT period, cluster_key, priority, n_members, finding_id, finding_ids FROM drafts"))
-BOOK.add("I2_incident_band", lambda spark, sf: incidents_for(spark, sf).select("incident_id", "incident_band"), incident_sql("SELECT incident_id, incident_band FROM inc"))
-BOOK.add("I3_incident_rows", lambda spark, sf: incidents_for(spark, sf).select(
+BOOK.add("I2_incident_band", lambda spark, sf, top_n=anomaly.TOP_N: incidents_for(spark, sf, top_n).select("incident_id", "incident_band"), incident_sql("SELECT incident_id, incident_band FROM inc"))
+BOOK.add("I3_incident_rows", lambda spark, sf, top_n=anomaly.TOP_N: incidents_for(spark, sf, top_n).select(
     "incident_id", "title", "priority", "rule_id", "breached", "streak", "escalation_permitted", "detected_on", "follow_up_on", "status",
     F.size("evidence").alias("n_evidence"), F.size("actions").alias("n_actions"), F.element_at("evidence", 1)["entity"].alias("lead_entity")),
     incident_sql("SELECT incident_id, title, priority, rule_id, breached, streak, escalation_permitted, detected_on, follow_up_on, status, 1 AS n_evidence, 4 AS n_actions, entity AS lead_entity FROM inc"))
-BOOK.add("I4_keep_operator_status", lambda spark, sf: I.keep_operator_status(incidents_for(spark, sf), stored_for(spark, sf)).select("incident_id", "priority", "status"),
+BOOK.add("I4_keep_operator_status", lambda spark, sf, top_n=anomaly.TOP_N: I.keep_operator_status(incidents_for(spark, sf, top_n), stored_for(spark, sf, top_n)).select("incident_id", "priority", "status"),
          incident_sql("SELECT incident_id, priority, CASE WHEN priority = 4 THEN 'DISMISSED' ELSE 'OPEN' END AS status FROM inc"))
-BOOK.add("I5_dismiss_incidents", lambda spark, sf: dismissed_for(spark, sf)[0].select("incident_id", "status"), incident_sql("SELECT incident_id, 'DISMISSED' AS status FROM inc WHERE priority = 4"))
-BOOK.add("I5_dismiss_suppressions", lambda spark, sf: dismissed_for(spark, sf)[1].drop("created_on", "expires_on"),
+BOOK.add("I5_dismiss_incidents", lambda spark, sf, top_n=anomaly.TOP_N: dismissed_for(spark, sf, top_n)[0].select("incident_id", "status"), incident_sql("SELECT incident_id, 'DISMISSED' AS status FROM inc WHERE priority = 4"))
+BOOK.add("I5_dismiss_suppressions", lambda spark, sf, top_n=anomaly.TOP_N: dismissed_for(spark, sf, top_n)[1].drop("created_on", "expires_on"),
          incident_sql("SELECT 'sup-' || incident_id AS suppression_id, metric_id, '*' AS grain, entity, 'dismissed by operator' AS reason, incident_id FROM sup"))
-BOOK.add("I5_dismiss_follow_ups", lambda spark, sf: dismissed_for(spark, sf)[2].select("incident_id", "state", "note"),
+BOOK.add("I5_dismiss_follow_ups", lambda spark, sf, top_n=anomaly.TOP_N: dismissed_for(spark, sf, top_n)[2].select("incident_id", "state", "note"),
          incident_sql("SELECT incident_id, 'RECOVERED' AS state, 'cancelled: incident dismissed' AS note FROM inc WHERE priority = 4"))
 
 
-def _muted(spark, sf):
-    return I.suppressed(found_for(spark, sf), dismissed_for(spark, sf)[1], day("2001-12-31"))
+def _muted(spark, sf, top_n: int | None = anomaly.TOP_N):
+    return I.suppressed(found_for(spark, sf), dismissed_for(spark, sf, top_n)[1], day("2001-12-31"))
 
 
 BOOK.add("I6_suppression_match", _muted, incident_sql("SELECT finding_id FROM muted"))
 
 
-def _scheduled(spark, sf):
-    return I.schedule(incidents_for(spark, sf))
+def _scheduled(spark, sf, top_n: int | None = anomaly.TOP_N):
+    return I.schedule(incidents_for(spark, sf, top_n))
 
 
-def _marked(spark, sf):
-    first = incidents_for(spark, sf).filter("priority = 1").select("incident_id")
-    return I.mark_due(_scheduled(spark, sf), first, day("1998-01-01")).select("incident_id", "metric_id", "grain", "entity", "origin", "due_on", "state")
+def _marked(spark, sf, top_n: int | None = anomaly.TOP_N):
+    first = incidents_for(spark, sf, top_n).filter("priority = 1").select("incident_id")
+    return I.mark_due(_scheduled(spark, sf, top_n), first, day("1998-01-01")).select("incident_id", "metric_id", "grain", "entity", "origin", "due_on", "state")
 
 
 BOOK.add("I7_schedule_and_mark", _marked, incident_sql(
     "SELECT f.incident_id, f.metric_id, f.grain, f.entity, origin, CASE WHEN i.priority = 1 THEN DATE '1998-01-01' ELSE due_on END AS due_on, state FROM fu f JOIN inc i USING (incident_id)"))
-BOOK.add("I8_due_follow_ups", lambda spark, sf: I.due(_scheduled(spark, sf), day("1998-12-31")).select("incident_id", "due_on"), incident_sql("SELECT incident_id, due_on FROM fu WHERE due_on <= DATE '1998-12-31'"))
-BOOK.add("I9_recheck_period", lambda spark, sf: I.recheck_period(_scheduled(spark, sf), M.periods(observations_for(spark, sf))).select("incident_id", "origin", "recheck"), incident_sql(
+BOOK.add("I8_due_follow_ups", lambda spark, sf, top_n=anomaly.TOP_N: I.due(_scheduled(spark, sf, top_n), day("1998-12-31")).select("incident_id", "due_on"), incident_sql("SELECT incident_id, due_on FROM fu WHERE due_on <= DATE '1998-12-31'"))
+BOOK.add("I9_recheck_period", lambda spark, sf, top_n=anomaly.TOP_N: I.recheck_period(_scheduled(spark, sf, top_n), M.periods(observations_for(spark, sf))).select("incident_id", "origin", "recheck"), incident_sql(
     "SELECT incident_id, origin, CASE WHEN latest > origin THEN latest END AS recheck FROM fu JOIN (SELECT metric_id, max(period) AS latest FROM slices WHERE grain = 'global' GROUP BY 1) USING (metric_id)"))
 
 
-def _outcomes(spark, sf):
-    asked = _scheduled(spark, sf).withColumn("override", F.add_months("origin", MONTHS))
-    return I.outcome(I.recheck_period(asked, M.periods(observations_for(spark, sf))), stored_for(spark, sf), observations_for(spark, sf))
+def _outcomes(spark, sf, top_n: int | None = anomaly.TOP_N):
+    asked = _scheduled(spark, sf, top_n).withColumn("override", F.add_months("origin", MONTHS))
+    return I.outcome(I.recheck_period(asked, M.periods(observations_for(spark, sf))), stored_for(spark, sf, top_n), observations_for(spark, sf))
 
 
 OUTCOME_CTE = f"""
@@ -202,45 +204,45 @@ oc AS (SELECT f.incident_id, f.metric_id, f.grain, f.entity, o.period AS recheck
     s.status, s.title, s.priority, s.streak, s.persona, s.recipient
   FROM fu f LEFT JOIN stored s USING (incident_id) LEFT JOIN slices o ON o.metric_id = f.metric_id AND o.grain = f.grain AND o.entity = f.entity
     AND o.period = f.origin + INTERVAL {MONTHS} MONTH)"""
-BOOK.add("I10_follow_up_outcome", lambda spark, sf: _outcomes(spark, sf).select("incident_id", F.round("recheck_value", 6).alias("recheck_value"), "recheck_n", "state"),
+BOOK.add("I10_follow_up_outcome", lambda spark, sf, top_n=anomaly.TOP_N: _outcomes(spark, sf, top_n).select("incident_id", F.round("recheck_value", 6).alias("recheck_value"), "recheck_n", "state"),
          incident_sql("SELECT incident_id, round(recheck_value, 6) AS recheck_value, recheck_n, state FROM oc", OUTCOME_CTE))
-BOOK.add("I11_escalations", lambda spark, sf: I.escalations(_outcomes(spark, sf), stored_for(spark, sf), day("2001-12-31")).select(
+BOOK.add("I11_escalations", lambda spark, sf, top_n=anomaly.TOP_N: I.escalations(_outcomes(spark, sf, top_n), stored_for(spark, sf, top_n), day("2001-12-31")).select(
     "incident_id", "parent_id", "title", "priority", "streak", "incident_band", "status", "follow_up_on", F.size("evidence").alias("n_evidence")), incident_sql(
     f"""SELECT incident_id || '-esc' || greatest(streak, 1) AS incident_id, incident_id AS parent_id, 'ESCALATED: ' || title AS title, greatest(priority - 1, 1) AS priority,
   greatest(streak, 1) + 1 AS streak, CASE WHEN rg < 0.02 THEN 'MINOR' WHEN rg < 0.05 THEN 'MAJOR' ELSE 'CRITICAL' END AS incident_band, 'OPEN' AS status, DATE '2002-01-07' AS follow_up_on, 2 AS n_evidence
 FROM (SELECT *, {_REL.replace("value", "recheck_value")} AS rg FROM oc WHERE state = 'ESCALATED')""", OUTCOME_CTE))
-BOOK.add("I10_resolved_incidents", lambda spark, sf: I.settled(stored_for(spark, sf), _outcomes(spark, sf)).select("incident_id", "status"), incident_sql(
+BOOK.add("I10_resolved_incidents", lambda spark, sf, top_n=anomaly.TOP_N: I.settled(stored_for(spark, sf, top_n), _outcomes(spark, sf, top_n)).select("incident_id", "status"), incident_sql(
     """SELECT s.incident_id, CASE WHEN s.status = 'OPEN' AND o.state = 'RECOVERED' AND o.recheck_value IS NOT NULL THEN 'RESOLVED' ELSE s.status END AS status
 FROM stored s LEFT JOIN oc o USING (incident_id)""", OUTCOME_CTE))
 
 
-def _escalated(spark, sf):
-    return I.escalations(_outcomes(spark, sf), stored_for(spark, sf), day("2001-12-31"))
+def _escalated(spark, sf, top_n: int | None = anomaly.TOP_N):
+    return I.escalations(_outcomes(spark, sf, top_n), stored_for(spark, sf, top_n), day("2001-12-31"))
 
 
 _ESC = "(SELECT oc.incident_id || '-esc' || greatest(oc.streak, 1) AS incident_id, 'ESCALATED: ' || oc.title AS title, oc.persona, oc.recipient, s.vendor_supported, s.desk, oc.metric_id, oc.grain, oc.entity, s.period FROM oc JOIN stored s USING (incident_id) WHERE oc.state = 'ESCALATED')"
-BOOK.add("I11_escalation_outbox", lambda spark, sf: I.outbox(_escalated(spark, sf)), incident_sql(
+BOOK.add("I11_escalation_outbox", lambda spark, sf, top_n=anomaly.TOP_N: I.outbox(_escalated(spark, sf, top_n)), incident_sql(
     f"""SELECT incident_id || '/' || type AS message_id, incident_id, type, persona, CASE WHEN type = 'vendor_escalation' AND desk <> 'vendor' THEN 'Vendor operations' ELSE recipient END AS recipient,
   CASE WHEN type = 'notify' THEN 'Attention required — ' ELSE 'Not permitted — ' END || title AS subject, CASE WHEN type = 'notify' THEN 'SENT' ELSE 'BLOCKED' END AS state
 FROM (SELECT *, unnest(['notify', 'vendor_escalation', 'auto_reallocate']) AS type FROM {_ESC}) WHERE type <> 'vendor_escalation' OR NOT vendor_supported""", OUTCOME_CTE))
-BOOK.add("I11_escalation_follow_ups", lambda spark, sf: I.schedule(_escalated(spark, sf)).drop("note"), incident_sql(
+BOOK.add("I11_escalation_follow_ups", lambda spark, sf, top_n=anomaly.TOP_N: I.schedule(_escalated(spark, sf, top_n)).drop("note"), incident_sql(
     f"SELECT incident_id, metric_id, grain, entity, CAST(date_trunc('month', period) AS DATE) AS origin, DATE '2002-01-07' AS due_on, 'PENDING' AS state FROM {_ESC}", OUTCOME_CTE))
-BOOK.add("S7_follow_up_audit", lambda spark, sf: I.follow_up_audit(_outcomes(spark, sf)).select("run_id", "stage", "at", F.substring_index("detail", " ", 2).alias("detail")), incident_sql(
+BOOK.add("S7_follow_up_audit", lambda spark, sf, top_n=anomaly.TOP_N: I.follow_up_audit(_outcomes(spark, sf, top_n)).select("run_id", "stage", "at", F.substring_index("detail", " ", 2).alias("detail")), incident_sql(
     "SELECT 'follow-up-' || strftime(f.due_on, '%Y-%m') AS run_id, 'follow_up' AS stage, strftime(f.due_on, '%Y-%m-%d') AS \"at\", oc.incident_id || ' ' || oc.state AS detail FROM oc JOIN fu f USING (incident_id)", OUTCOME_CTE))
-BOOK.add("I12_outbox", lambda spark, sf: I.outbox(incidents_for(spark, sf)), incident_sql(
+BOOK.add("I12_outbox", lambda spark, sf, top_n=anomaly.TOP_N: I.outbox(incidents_for(spark, sf, top_n)), incident_sql(
     """SELECT incident_id || '/' || type AS message_id, incident_id, type, persona, recipient, CASE WHEN type = 'notify' THEN 'Attention required — ' ELSE 'Not permitted — ' END || title AS subject,
   CASE WHEN type = 'notify' THEN 'SENT' ELSE 'BLOCKED' END AS state FROM acts2 WHERE (type = 'notify' AND permitted) OR (type IN ('vendor_escalation', 'auto_reallocate') AND NOT permitted)"""))
-BOOK.add("I12_outcome_messages", lambda spark, sf: I.outcome_messages(_outcomes(spark, sf), stored_for(spark, sf)), incident_sql(
+BOOK.add("I12_outcome_messages", lambda spark, sf, top_n=anomaly.TOP_N: I.outcome_messages(_outcomes(spark, sf, top_n), stored_for(spark, sf, top_n)), incident_sql(
     """SELECT incident_id || '/' || lower(state) AS message_id, incident_id, 'notify' AS type, CASE WHEN state = 'ESCALATED' THEN 'facilities_head' ELSE persona END AS persona,
   CASE WHEN state = 'ESCALATED' THEN 'Transport & facilities head' ELSE recipient END AS recipient, CASE WHEN state = 'ESCALATED' THEN 'ESCALATED — still breaching — ' ELSE 'Closed — ' END || title AS subject, 'SENT' AS delivery
 FROM oc WHERE state IN ('RECOVERED', 'ESCALATED') AND recheck_value IS NOT NULL AND status = 'OPEN'""", OUTCOME_CTE))
 
 
-def _summary(spark, sf):
+def _summary(spark, sf, top_n: int | None = anomaly.TOP_N):
     trips = roles.trips(spark, sf, "quarter").groupBy(F.col("quarter").alias("period")).agg(F.count("*").alias("trips"))
     count = lambda df, name: df.groupBy("period").agg(F.count("*").alias(name))
     out = trips
-    for part in (count(observations_for(spark, sf).filter("prior_n is not null"), "series"), count(found_for(spark, sf), "findings"), count(ranked_for(spark, sf), "candidates"), count(incidents_for(spark, sf), "incidents")):
+    for part in (count(observations_for(spark, sf).filter("prior_n is not null"), "series"), count(found_for(spark, sf), "findings"), count(ranked_for(spark, sf, top_n), "candidates"), count(incidents_for(spark, sf, top_n), "incidents")):
         out = out.join(part, "period", "left")
     return out.fillna(0, ["series", "findings", "candidates", "incidents"])
 
@@ -262,12 +264,12 @@ BOOK.add("I15_every_unit_profile", lambda spark, sf: rounded(observations_for(sp
     f"SELECT metric_id, entity, period, {', '.join(r(c) for c in _PROFILE)}, peer_rank, sla_breached, confidence FROM obs WHERE grain = 'business_unit'"))
 
 
-def _grounded(spark, sf):
+def _grounded(spark, sf, top_n: int | None = anomaly.TOP_N):
     """Texts built from each ranked finding; every fourth one cites a figure nothing supports."""
     text = F.concat_ws(
         " ", F.lit("metric"), "metric_id", F.lit("for"), "entity", F.lit("moved by"), F.format_number(F.round("points", 2), 2), F.lit("to"), F.format_number(F.round("value", 3), 3),
         F.lit("on"), F.format_number("n", 0), F.lit("rows in"), F.date_format("period", "yyyy-MM"), F.when(F.col("place") % 4 == 0, "at a cost of 987,654.3"))
-    rows = ranked_for(spark, sf).withColumns(
+    rows = ranked_for(spark, sf, top_n).withColumns(
         {
             "text": text, "allowed": F.array("value", "prior", "points", F.col("n").cast("double"), "z", "score", "severity", "coverage", "delta", "sla_target", "sla_gap", "peer_median"),
             "literals": F.array("metric_id", "entity", "grain", "finding_id", F.date_format("period", "yyyy-MM")),
@@ -283,9 +285,9 @@ BOOK.add("I16_numeric_grounding", _grounded, found_sql(
 # --- memory ----------------------------------------------------------------------------------------------------------
 
 
-def _remembered(spark, sf):
-    open_rows = stored_for(spark, sf).filter("status = 'OPEN'").select("incident_id", "period", "streak", F.inline("evidence"))
-    return anomaly.memory_context(found_for(spark, sf), open_rows, _muted(spark, sf))
+def _remembered(spark, sf, top_n: int | None = anomaly.TOP_N):
+    open_rows = stored_for(spark, sf, top_n).filter("status = 'OPEN'").select("incident_id", "period", "streak", F.inline("evidence"))
+    return anomaly.memory_context(found_for(spark, sf), open_rows, _muted(spark, sf, top_n))
 
 
 MEMORY_CTE = """
@@ -293,10 +295,10 @@ mem AS (SELECT f.*, CASE WHEN u.finding_id IS NOT NULL THEN 1.0 WHEN d.depth IS
     CASE WHEN u.finding_id IS NULL THEN d.depth + 1 END AS known_streak
   FROM found f LEFT JOIN muted u USING (finding_id) LEFT JOIN (SELECT f.finding_id, max(greatest(s.streak, 1)) AS depth FROM found f JOIN stored s
     ON s.metric_id = f.metric_id AND s.entity = f.entity AND s.period <> f.period AND s.status = 'OPEN' GROUP BY 1) d USING (finding_id))"""
-BOOK.add("A16_memory_context", lambda spark, sf: _remembered(spark, sf).select("finding_id", "suppression", "known_streak"),
+BOOK.add("A16_memory_context", lambda spark, sf, top_n=anomaly.TOP_N: _remembered(spark, sf, top_n).select("finding_id", "suppression", "known_streak"),
          incident_sql("SELECT finding_id, CAST(suppression AS DOUBLE) AS suppression, CAST(known_streak AS INTEGER) AS known_streak FROM mem", MEMORY_CTE))
 _again = ranked_cte("mem", "known_streak", "suppression").replace("scored AS", "scored2 AS").replace("FROM scored WHERE", "FROM scored2 WHERE").replace("placed AS", "placed2 AS").replace("ranked AS (SELECT * FROM placed WHERE", "ranked2 AS (SELECT * FROM placed2 WHERE")
-BOOK.add("A16_ranking_with_memory", lambda spark, sf: anomaly.rank(_remembered(spark, sf), SPECS).select("period", "place", "finding_id", F.round("score", 6).alias("score")),
+BOOK.add("A16_ranking_with_memory", lambda spark, sf, top_n=anomaly.TOP_N: anomaly.rank(_remembered(spark, sf, top_n), SPECS, top_n).select("period", "place", "finding_id", F.round("score", 6).alias("score")),
          incident_sql("SELECT period, place, finding_id, round(score, 6) AS score FROM ranked2", MEMORY_CTE.strip() + ",\n" + _again.strip()))
 
 # --- state -----------------------------------------------------------------------------------------------------------
@@ -308,8 +310,8 @@ def _fresh_path(spark, sf, name: str) -> str:
     return f"{shared_dir(spark)}/state-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:8]}"
 
 
-def _audit(spark, sf):
-    entries = ranked_for(spark, sf).select(
+def _audit(spark, sf, top_n: int | None = anomaly.TOP_N):
+    entries = ranked_for(spark, sf, top_n).select(
         F.col("place").cast("bigint").alias("seq"), F.concat(F.lit("run-"), F.date_format("period", "yyyy-MM")).alias("run_id"),
         F.when(F.col("place") <= 10, "scan").otherwise("rank").alias("stage"), F.date_format("period", "yyyy-MM-dd").alias("at"), F.col("finding_id").alias("detail"))
     path = _fresh_path(spark, sf, "audit")
@@ -324,17 +326,39 @@ BOOK.add("S7_audit_log", _audit, found_sql(
     f"SELECT *, 'run' AS view FROM ({_audit_rows}) WHERE run_id = 'run-1998-07' UNION ALL (SELECT *, 'tail' AS view FROM ({_audit_rows}) ORDER BY \"at\" DESC, seq DESC LIMIT 15)", ranked_cte()))
 
 
-def _upserted(spark, sf):
-    rows = incidents_for(spark, sf).select("incident_id", "priority", "status")
-    table = state.StateTable(spark, _fresh_path(spark, sf, "incidents"), "incident_id")
-    table.put(rows.filter("priority <= 3"))
-    table.put(rows.filter("priority >= 3").withColumn("status", F.lit(I.RESOLVED)))
-    return table.read()
+def _upserted(spark, sf, top_n: int | None = anomaly.TOP_N):
+    rows = incidents_for(spark, sf, top_n).select("incident_id", "priority", "status")
+    path = _fresh_path(spark, sf, "incidents")
+    state.upsert(rows.filter("priority <= 3"), path, "incident_id")
+    state.upsert(rows.filter("priority >= 3").withColumn("status", F.lit(I.RESOLVED)), path, "incident_id")
+    return state.current(spark, path)
 
 
 BOOK.add("S8_state_upsert", _upserted, incident_sql("SELECT incident_id, priority, CASE WHEN priority >= 3 THEN 'RESOLVED' ELSE 'OPEN' END AS status FROM inc"))
 
 
+def _life(spark, sf, top_n: int | None = anomaly.TOP_N):
+    """Every incident folded over all later periods; fourth priorities are dismissed and fifth ones purged when they are detected."""
+    opened = incidents_for(spark, sf, top_n)
+    did = F.when(F.col("priority") == 4, life_cycle.DISMISS).when(F.col("priority") == 5, life_cycle.PURGE)
+    done = life_cycle.operator_events(opened.select("incident_id", F.col("detected_on").alias("at"), did.alias("kind")).filter("kind is not null"))
+    return life_cycle.folded(opened, life_cycle.measured_series(observations_for(spark, sf), MONTHS), done).drop("steps")
+
+
+LIFE_CTE = f"""
+later AS (SELECT i.incident_id, o.period AS p, o.value AS v, coalesce({_REL.replace("metric_id", "i.metric_id").replace("value", "o.value")} > 0, false) AS bad
+  FROM inc i JOIN slices o ON o.metric_id = i.metric_id AND o.grain = i.grain AND o.entity = i.entity AND o.period > i.period),
+back AS (SELECT incident_id, min(p) FILTER (v IS NOT NULL AND NOT bad) AS good FROM later GROUP BY 1),
+life AS (SELECT i.incident_id, any_value(priority) AS priority, any_value(streak) AS streak, any_value(detected_on) AS detected_on, any_value(good) AS good,
+    count(*) FILTER (v IS NOT NULL AND bad AND (good IS NULL OR p < good)) AS worse, count(*) FILTER (p IS NOT NULL AND v IS NULL AND (good IS NULL OR p < good)) AS unseen
+  FROM inc i LEFT JOIN later USING (incident_id) LEFT JOIN back USING (incident_id) GROUP BY 1)"""
+BOOK.add("I10_life_cycle", _life, incident_sql(
+    f"""SELECT incident_id, CASE priority WHEN 4 THEN 'DISMISSED' WHEN 5 THEN 'UNRESOLVED' ELSE CASE WHEN good IS NULL THEN 'OPEN' ELSE 'RESOLVED' END END AS status,
+  CAST(CASE WHEN priority IN (4, 5) THEN 0 ELSE worse END AS INTEGER) AS escalations, CAST(CASE WHEN priority IN (4, 5) THEN 0 ELSE unseen END AS INTEGER) AS waiting,
+  CASE WHEN priority IN (4, 5) THEN detected_on ELSE CAST(good + INTERVAL {MONTHS} MONTH AS DATE) END AS closed_on,
+  CASE WHEN priority NOT IN (4, 5) AND worse > 0 THEN incident_id || '-esc' || (greatest(streak, 1) + worse - 1) END AS last_escalation FROM life""", LIFE_CTE))
+
+
 # The same from all findings of a period, not only its first twenty.
 
 
@@ -343,8 +367,34 @@ def _every(name: str, fn, cut: str) -> None:
 
 
 _every("G5_every_decision", lambda spark, sf: policy.decide(ranked_for(spark, sf, None)).select("finding_id", "rule_id", "breached", "band", "streak", "escalation_permitted"), "G5_decisions")
-_every("I1_every_triage", lambda spark, sf: drafts_for(spark, sf, None).select("period", "cluster_key", "priority", "n_members", "finding_id", F.array_join("finding_ids", "|").alias("finding_ids")), "I1_triage")
+_every("I1_every_triage", lambda spark, sf: I.triage(ranked_for(spark, sf, None)).select("period", "cluster_key", "priority", "n_members", "finding_id", F.array_join("finding_ids", "|").alias("finding_ids")), "I1_triage")
 _every("I2_every_incident_band", lambda spark, sf: incidents_for(spark, sf, None).select("incident_id", "incident_band"), "I2_incident_band")
 _every("I3_every_incident", lambda spark, sf: incidents_for(spark, sf, None).select(
     "incident_id", "title", "priority", "rule_id", "breached", "streak", "escalation_permitted", "detected_on", "follow_up_on", "status",
     F.size("evidence").alias("n_evidence"), F.size("actions").alias("n_actions"), F.element_at("evidence", 1)["entity"].alias("lead_entity")), "I3_incident_rows")
+BOOK.add("I1_every_member", lambda spark, sf: I.members(ranked_for(spark, sf, None)).drop("incident_id"), found_sql(
+    "SELECT period, metric_id || ':' || CASE WHEN points < 0 THEN 'down' ELSE 'up' END AS cluster_key, finding_id FROM placed", ranked_cte()))
+
+
+def _every_entry(spark, sf):
+    """Two stages of every period's run appended to one log, and the whole log read back."""
+    entries = ranked_for(spark, sf, None).select(
+        F.col("place").cast("bigint").alias("seq"), F.concat(F.lit("run-"), F.date_format("period", "yyyy-MM")).alias("run_id"),
+        F.when(F.col("place") <= 10, "scan").otherwise("rank").alias("stage"), F.date_format("period", "yyyy-MM-dd").alias("at"), F.col("finding_id").alias("detail"))
+    path = _fresh_path(spark, sf, "every-audit")
+    for stage in ("scan", "rank"):
+        state.append_audit(entries.filter(F.col("stage") == stage), path)
+    return state.audit_log(spark, path)
+
+
+BOOK.add("S7_every_audit_entry", _every_entry, found_sql(_audit_rows.replace("FROM ranked", "FROM placed"), ranked_cte()))
+for _cut, _whole in {
+    "G6_permitted_actions": "G6_every_permitted_action", "G7_vendor_evidence": "G7_every_vendor_evidence", "G8_owner_routing": "G8_every_owner", "I4_keep_operator_status": "I4_every_operator_status",
+    "I5_dismiss_incidents": "I5_every_dismissed_incident", "I5_dismiss_suppressions": "I5_every_suppression", "I5_dismiss_follow_ups": "I5_every_cancelled_follow_up", "I6_suppression_match": "I6_every_suppression_match",
+    "I7_schedule_and_mark": "I7_every_schedule", "I8_due_follow_ups": "I8_every_due_follow_up", "I9_recheck_period": "I9_every_recheck_period", "I10_follow_up_outcome": "I10_every_outcome",
+    "I10_resolved_incidents": "I10_every_resolved_incident", "I10_life_cycle": "I10_every_life_cycle", "I11_escalations": "I11_every_escalation", "I11_escalation_outbox": "I11_every_escalation_message",
+    "I11_escalation_follow_ups": "I11_every_escalation_follow_up", "S7_follow_up_audit": "S7_every_follow_up_audit", "I12_outbox": "I12_every_message", "I12_outcome_messages": "I12_every_outcome_message",
+    "I13_run_summary": "I13_every_run_summary", "I16_numeric_grounding": "I16_every_numeric_grounding", "A16_memory_context": "A16_every_memory_context", "A16_ranking_with_memory": "A16_every_ranking_with_memory",
+    "S8_state_upsert": "S8_every_upsert",
+}.items():
+    _every(_whole, partial(BOOK.queries[_cut], top_n=None), _cut)

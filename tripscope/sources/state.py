@@ -1,12 +1,12 @@
-"""State without a table format: keyed Parquet tables replaced by version, and an append-only audit log."""
+"""State as plain Parquet partitioned by key bucket, and an append-only audit log."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tripscope.session import ensure_checkpoint_dir
+
 
 def merged(stored: DataFrame, fresh: DataFrame, key: str, version: str | None = None) -> DataFrame:
     """Stored rows with the fresh ones put over them by key. A fresh row replaces the whole stored row.
@@ -23,38 +23,42 @@ def merged(stored: DataFrame, fresh: DataFrame, key: str, version: str | None =
     return both.select(key, newer.alias("__row")).select(key, "__row.*").select(*cols)
 
 
-class StateTable:
-    """A keyed table under ``path``. Each put writes a new version beside the old one, then a marker naming it.
-
-    A job that dies half-way leaves the previous version in force; readers never see a partly written table.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, key: str) -> None:
-        self.spark, self.path, self.key = spark, path.rstrip("/"), key
+#: Key buckets of a state table; an upsert rewrites those that its keys fall into.
+BUCKETS = 64
 
-    def _markers(self) -> DataFrame | None:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_versions")
-        if not hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop):
-            return None
-        return self.spark.read.schema("seq bigint, version string").json(f"{self.path}/_versions")
 
-    def _current(self) -> tuple[int, str | None]:
-        markers = self._markers()
-        row = markers.orderBy(F.col("seq").desc(), F.col("version").desc()).first() if markers is not None else None
-        return (row.seq, row.version) if row else (0, None)
+def upsert(fresh: DataFrame, path: str, key: str, version: str | None = None, buckets: int = BUCKETS) -> list[int]:
+    """Puts rows over those of the same key in a Parquet table partitioned by key bucket; the buckets that were rewritten.
 
-    def read(self) -> DataFrame | None:
-        version = self._current()[1]
-        return None if version is None else self.spark.read.parquet(f"{self.path}/{version}")
-
-    def put(self, fresh: DataFrame, version_column: str | None = None) -> DataFrame:
-        seq, version = self._current()
-        table = fresh if version is None else merged(self.spark.read.parquet(f"{self.path}/{version}"), fresh, self.key, version_column)
-        name = f"v{seq + 1:08d}-{uuid.uuid4().hex[:8]}"
-        table.write.parquet(f"{self.path}/{name}")
-        marker = self.spark.range(1).select(F.lit(seq + 1).cast("bigint").alias("seq"), F.lit(name).alias("version"))
-        marker.coalesce(1).write.mode("append").json(f"{self.path}/_versions")
-        return self.spark.read.parquet(f"{self.path}/{name}")
+    Only buckets that the fresh keys fall into are read and overwritten. A put that was cut short is put again: it leads to the same table,
+    whatever part of it had been done.
+    """
+    spark = fresh.sparkSession
+    ensure_checkpoint_dir(spark)
+    # Of rows with one key the newest counts, without versions the greatest.
+    rest = [c for c in fresh.columns if c != key]
+    placed = latest_per_key(fresh, key, version) if version else fresh.groupBy(key).agg(F.max(F.struct(*rest)).alias("__row")).select(key, "__row.*")
+    placed = placed.select(*fresh.columns).withColumn("key_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).checkpoint()
+    touched = sorted(r["key_bucket"] for r in placed.select("key_bucket").distinct().collect())
+    if not touched:
+        return []
+    rows = placed
+    if _exists(spark, path):
+        stored = spark.read.parquet(path).filter(F.col("key_bucket").isin(touched)).select(*placed.columns)
+        # Checkpointed, since the files it reads are about to be replaced.
+        rows = merged(stored, placed, key, version).checkpoint()
+    rows.repartition("key_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("key_bucket").parquet(path)
+    return touched
+
+
+def current(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table as it stands, or None before the first put."""
+    return spark.read.parquet(path).drop("key_bucket") if _exists(spark, path) else None
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
 AUDIT_SCHEMA = "seq bigint, run_id string, stage string, at string, detail string"
@@ -65,6 +69,10 @@ def append_audit(entries: DataFrame, path: str) -> None:
     entries.select("seq", "run_id", "stage", "at", "detail").write.mode("append").json(path)
 
 
+def audit_log(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(AUDIT_SCHEMA).json(path)
+
+
 def audit_for_run(spark: SparkSession, path: str, run_id: str) -> DataFrame:
     return spark.read.schema(AUDIT_SCHEMA).json(path).filter(F.col("run_id") == run_id)
 
