@@ -70,3 +70,19 @@ def test_quality_labels(spark, slices_of):
     assert got == {"small": ("insufficient_sample", 1), "broken": ("not_computable", 1), "high": ("HIGH", 0), "medium": ("MEDIUM", 0)}
     low = slices_of(rows[2:3], coverage=0.5).withColumns(M.quality(spec)).first()
     assert low.confidence == "LOW"
+
+
+def test_definitions_are_loaded_from_a_location(spark, tmp_path):
+    import json
+
+    specs = list(M.DEFAULT_CATALOG.values())
+    for s in specs[:3]:
+        (tmp_path / f"{s.id}.json").write_text(json.dumps(M.spec_to_dict(s), indent=1))
+    (tmp_path / "more.json").write_text(json.dumps([M.spec_to_dict(s) for s in specs[3:]]))
+    assert M.load_catalog(spark, str(tmp_path)) == M.DEFAULT_CATALOG
+    (tmp_path / "again.json").write_text(json.dumps(M.spec_to_dict(specs[0])))
+    with pytest.raises(ValueError, match="duplicate metric ota"):
+        M.load_catalog(spark, str(tmp_path))
+    (tmp_path / "again.json").write_text("{")
+    with pytest.raises(ValueError, match="again.json"):
+        M.load_catalog(spark, str(tmp_path))

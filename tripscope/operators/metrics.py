@@ -110,6 +110,26 @@ def spec_from_dict(raw: dict) -> MetricSpec:
     return MetricSpec(**{k: tuple(v) if isinstance(v, list) else v for k, v in raw.items()})
 
 
+def load_catalog(spark, path: str) -> dict[str, MetricSpec]:
+    """The metrics defined by the JSON files of a location, one object or a list of objects a file. Definitions are small; they are read whole."""
+    import json
+
+    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), "value").collect()
+    raw: list[dict] = []
+    for f in sorted(files, key=lambda f: f["file"]):
+        try:
+            found = json.loads(f["value"])
+        except json.JSONDecodeError as e:
+            raise ValueError(f"{f['file']}: {e}") from e
+        raw += found if isinstance(found, list) else [found]
+    return catalog(spec_from_dict(r) for r in raw)
+
+
+def spec_to_dict(spec: MetricSpec) -> dict:
+    """A spec as configuration that ``spec_from_dict`` reads."""
+    return {f.name: list(v) if isinstance(v := getattr(spec, f.name), tuple) else v for f in fields(spec)}
+
+
 def catalog(specs: Iterable[MetricSpec]) -> dict[str, MetricSpec]:
     out: dict[str, MetricSpec] = {}
     for s in specs:

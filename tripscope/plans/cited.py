@@ -51,6 +51,7 @@ WHERE n >= {peers} AND trip_cost > {times} * med GROUP BY ALL""", "bills")
 
 
 BOOK.add("C11_outliers_published", lambda spark, sf: peer_outliers(spark, sf), _peer_sql(3.0, 500))
+BOOK.add("C11_outliers_low_bar", lambda spark, sf: peer_outliers(spark, sf, times=1.5, peers=2), _peer_sql(1.5, 2))
 BOOK.add("C11_outliers_small_gate", lambda spark, sf: peer_outliers(spark, sf, peers=2), _peer_sql(3.0, 2))
 
 

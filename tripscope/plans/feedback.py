@@ -67,6 +67,7 @@ _rm = dict(n="count(route_rating)", mean="R(avg(route_rating))", detractors="R(R
 add("F7_by_delay_bucket", _late.agg("bucket", **_rm))
 add("F7_by_bucket_reason", _late.agg("bucket delay_reason", **_rm))
 add("F7_fixed_delay", _late.where("delay_minutes > 0 AND delay_minutes <= 9").agg({"minutes": "cast(delay_minutes as int)", "delay_reason": "delay_reason"}, **_rm))
+add("F7_every_minute", _late.where("delay_minutes > 0").agg({"minutes": "cast(delay_minutes as int)", "delay_reason": "delay_reason"}, **_rm))
 
 # F8 correlations
 _p4 = ["route", "driver", "cab", "safety"]

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripscope.operators import benchmark, metrics as M, monthly
 from tripscope.plans.registry import Book
 from tripscope.plans.role_sql import with_roles
-from tripscope.session import ensure_checkpoint_dir, input_mark
+from tripscope.session import ensure_checkpoint_dir, input_mark, shared_dir
 from tripscope.sources import roles
 
 BOOK = Book()
@@ -216,6 +219,17 @@ def merged_quarters(spark: SparkSession, sf: str) -> DataFrame:
 BOOK.add("M12_merged_from_months", merged_quarters, sliced_sql(f"SELECT {SLICE_COLUMNS} FROM slices"))
 
 
+def loaded_slices(spark: SparkSession, sf: str) -> DataFrame:
+    """Slices of a catalog that is written out as definition files and loaded from there."""
+    path = f"{shared_dir(spark)}/metrics-{uuid.uuid4().hex}"
+    texts = [(json.dumps(M.spec_to_dict(s)),) for s in SPECS.values()]
+    spark.createDataFrame(texts, "value string").repartition(len(texts)).write.text(path)
+    return rounded(slices_for(spark, sf, M.load_catalog(spark, path)), "value", "coverage")
+
+
+BOOK.add("S6_loaded_catalog", loaded_slices, sliced_sql(f"SELECT {SLICE_COLUMNS} FROM slices"))
+
+
 def production_slices(spark: SparkSession, sf: str) -> DataFrame:
     """The catalog as it is: its own gates, targets and months."""
     relations = {"trips": roles.trips(spark, sf, "month", *_TRIP_INPUTS[1:]), "bills": roles.bills(spark, sf, "month", *_BILL_INPUTS[1:])}

@@ -16,7 +16,7 @@ from tripscope.operators import quality as Q
 from tripscope.plans.registry import Book
 from tripscope.plans.role_sql import with_roles
 from tripscope.session import input_mark, shared_dir
-from tripscope.sources import extracts, roles
+from tripscope.sources import extracts, quoted, roles
 
 BOOK = Book()
 FILES = ("may", "jun", "jul")
@@ -150,6 +150,19 @@ BOOK.add("S3_file_tag", lambda spark, sf: raw(spark, sf, "trips").groupBy("src_m
          with_roles(f"SELECT {_FILE} AS src_month, count(*) AS n, count(CASE WHEN {_FILE} <> 'jul' THEN 1 END) AS with_fuel FROM trips GROUP BY 1", "trips"))
 
 
+def _quoted(spark, sf):
+    """Remarks with line breaks and quotes inside, written as one CSV and read back by quote parity."""
+    path = f"{extract_path(spark, sf, 'feedback')}-remarks.csv"
+    said = roles.feedback(spark, sf, "trip_id", "driver_raw", "route_raw").select(*_e(
+        trip_id="cast(trip_id as string)", remark="concat('driver \"', driver_raw, '\"', chr(10), 'route ', route_raw, if(trip_id % 5 = 0, concat(chr(10), chr(10), ', and more'), ''))"))
+    said.write.mode("overwrite").option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
+    return quoted.read_quoted(spark, [path]).select(F.col("trip_id").cast("bigint").alias("trip_id"), "remark")
+
+
+BOOK.add("S2_quoted_line_breaks", _quoted, with_roles(
+    """SELECT trip_id, 'driver "' || driver_raw || '"' || chr(10) || 'route ' || route_raw || CASE WHEN trip_id % 5 = 0 THEN chr(10) || chr(10) || ', and more' ELSE '' END AS remark FROM feedback""", "feedback"))
+
+
 def _conserved(spark, sf):
     """Loads all five relations; the report has what each load counted."""
     accounts = []

@@ -276,6 +276,7 @@ add("Q27_weekday_baseline", _feed.agg("weekday", days="count(*)", coverage="R(su
 add("Q28_step_change", alerts.agg("event_type", before="NUM(alert_date < date '2024-01-15')", after="NUM(alert_date >= date '2024-01-15')").plus(ratio="R(after / nullif(before, 0))"))
 add("Q28_weekly_series", alerts.agg("week event_type", n="count(*)"))
 add("Q28_daily_series", alerts.where("alert_date BETWEEN date '2024-01-08' AND date '2024-01-22'").agg("alert_date", n="count(*)", errors="NUM(event_type = 'error')"))
+add("Q28_every_day", alerts.agg("alert_date", n="count(*)", errors="NUM(event_type = 'error')"))
 
 # Q29 clock offset per office: the hour the epoch shows against the hour the shift names
 _clock = trips.where("shift_hour IS NOT NULL").plus(epoch_hour="IDIV(actual_start_epoch, 3600) % 24").plus(offset_hours="cast((epoch_hour - shift_hour + 36) % 24 - 12 as int)")

@@ -80,6 +80,7 @@ _seq = _on.cols(_seq_cols).via(_sequence, _seq_sql)
 add("E8_leg_sequence", _seq.agg({"position": "cast(least(seq, 8) as int)"}, n="count(*)", late_rate=f"R(RATE({LATE}))", mean_late="R(avg(late_minutes))", overrun=f"R(avg({IN_CAB} - {PLAN_CAB}))"))
 add("E8_every_position", _seq.agg({"position": "cast(seq as int)"}, n="count(*)", late_rate="R(RATE(late_minutes > 15))", mean_late="R(avg(late_minutes))"))
 add("E8_sequence_by_size", _seq.cols("trip_id seq late_minutes").join(_on.agg("trip_id", size="count(*)"), "trip_id").where("size BETWEEN 2 AND 4").agg({"size": "size", "position": "cast(seq as int)"}, n="count(*)", late_rate=f"R(RATE({LATE}))"))
+add("E8_sequence_every_size", _seq.cols("trip_id seq late_minutes").join(_on.agg("trip_id", size="count(*)"), "trip_id").agg({"size": "size", "position": "cast(seq as int)"}, n="count(*)", late_rate=f"R(RATE({LATE}))"))
 
 # E9 first and last leg against the trip's own delay
 _ends = _on.agg("trip_id", first_late=f"MINBY(late_minutes, planned_pickup_epoch, {TIE})", last_late=f"MAXBY(late_minutes, planned_pickup_epoch, {TIE})", n_legs="count(*)").join(rel("trips").cols("trip_id trip_direction delay_minutes"), "trip_id")

@@ -162,6 +162,9 @@ for _n, _d in (("total", "weekday"), ("office", "weekday office"), ("quarter", "
 # L22 one quarter against the rest (a week holds too few of the generated trips)
 add("L22_period_deep_dive", trips.plus(band=BAND, focus="quarter = date '1998-04-01'").cols("office band focus on_time").agg("office band", n_focus="NUM(focus)", n_rest="NUM(NOT focus)",
     rate_focus="R(avg(CASE WHEN focus THEN on_time END))", rate_rest="R(avg(CASE WHEN NOT focus THEN on_time END))").where("n_focus >= 3 AND n_rest >= 20"))
+_cells = trips.plus(band=BAND, week="WEEK(trip_date)").cols("week office band on_time").agg("week office band", n="count(*)", hits="sum(on_time)").plus(
+    all_n="sum(n) OVER (PARTITION BY office, band)", all_hits="sum(hits) OVER (PARTITION BY office, band)")
+add("L22_every_week", _cells.cols("week office band n", n_rest="cast(all_n - n as bigint)", rate="R(hits / n)", rest_rate="R((all_hits - hits) / nullif(all_n - n, 0))"))
 
 # L23 rider-hours beyond plan
 _rh = dict(n="count(*)", rider_hours=f"R(sum(greatest({END_DEV}, 0) * emp_actual) / 60)", per_rider_min=f"R(sum(greatest({END_DEV}, 0) * emp_actual) / nullif(sum(emp_actual), 0))")
