@@ -114,7 +114,7 @@ def load_catalog(spark, path: str) -> dict[str, MetricSpec]:
     """The metrics defined by the JSON files of a location, one object or a list of objects a file. Definitions are small; they are read whole."""
     import json
 
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), "value").collect()
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value").collect()
     raw: list[dict] = []
     for f in sorted(files, key=lambda f: f["file"]):
         try:
