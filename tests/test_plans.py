@@ -50,3 +50,24 @@ def test_incident_chain_has_an_uncut_form():
     for name in ("G5_every_decision", "I1_every_triage", "I2_every_incident_band", "I3_every_incident"):
         assert name in queries and "FROM ranked" not in sql[name]
     assert "A17_every_standing_outlier" in queries and "place <= 20" not in sql["A17_every_standing_outlier"]
+
+
+def test_relations_stored_by_trip_are_joined_without_a_shuffle(spark):
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("X7_vendor_scorecard", "X1_trips_without"):
+            assert re.search(r"Exchange hashpartitioning\(trip_id#", plan(spark, name)), name
+            text = plan(spark, f"{name}_stored_by_trip")
+            assert not re.search(r"Exchange hashpartitioning\(trip_id#", text) and "Bucketed: true" in text and "Join" in text, name
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def test_rows_without_an_id_are_kept_apart(spark):
+    from tripscope.sources import copartitioned
+
+    df = spark.createDataFrame([(1, "a"), (None, "b"), (2, "c"), (None, "d"), (1, "e")], "trip_id bigint, v string")
+    assert copartitioned.publish(df, "apart", 4).count() == 3
+    assert sorted(r.v for r in copartitioned.every_row(spark, "apart").collect()) == list("abcde")
+    assert {r.trip_id for r in spark.table("apart_no_id").collect()} == {None}

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import zlib
+
+from pyspark.sql import SparkSession
+
 from tripscope.plans.cost import billed, per_trip
 from tripscope.plans.feedback import BUCKET, rated
-from tripscope.plans.flow import FlowBook, rel
+from tripscope.plans.flow import _RELATIONS, FlowBook, rel
 from tripscope.plans.registry import Book
+from tripscope.session import input_mark
+from tripscope.sources import copartitioned
 
 BOOK = Book()
 add = FlowBook(BOOK)
@@ -71,6 +77,30 @@ add("X7_vendor_scorecard", _score.agg("vendor_id", trips="count(*)", on_time_rat
     noshow_rate="R(sum(noshow) / nullif(sum(emp_planned), 0))", driver_nc="R(RATE(is_driver_nc))", cost_per_trip="R(sum(cost) / nullif(count(cost), 0))", cost_per_km="R(sum(cost) / nullif(sum(km), 0))",
     alerts_per_1000="R(sum(coalesce(n_alerts, 0)) * 1000 / count(*))", mean_rating="R(avg(rating))", response="R(count(rating) / count(*))").where("trips >= 100"))
 
+
+# The same joins on relations stored by trip id: published once per application, then joined without a shuffle.
+_STORED: set[str] = set()
+_BY_TRIP = ("trips", "bills", "alerts", "feedback")
+
+
+def stored_readers(spark: SparkSession, sf: str) -> dict:
+    mark = zlib.crc32(repr((spark.sparkContext.applicationId, sf, input_mark(spark, sf))).encode())
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    out = {}
+    for name in _BY_TRIP:
+        reader, columns = _RELATIONS[name]
+        table = f"{name}_{mark:08x}_{buckets}"
+        if table not in _STORED:
+            copartitioned.publish(reader(spark, sf), table, buckets)
+            _STORED.add(table)
+        out[name] = (lambda spark, sf, *cols, t=table: copartitioned.with_id(spark, t).select(*cols), columns)
+    return out
+
+
+for _name in ("X7_vendor_scorecard", "X1_trips_without"):
+    _flow = add.flows[_name]
+    BOOK.add(f"{_name}_stored_by_trip", lambda spark, sf, f=_flow: f.dataframe(spark, sf, stored_readers(spark, sf)), _flow.sql())
+
 # X8 cost index against peers in the same contract, unit and quarter
 _peer = billed("contract vendor trip_cost", "business_unit quarter").where("trip_cost > 0").agg("contract business_unit quarter vendor", n="count(*)", cost="sum(trip_cost)").plus(
     mean="sum(cost) OVER (PARTITION BY contract, business_unit, quarter) / sum(n) OVER (PARTITION BY contract, business_unit, quarter)")

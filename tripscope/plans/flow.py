@@ -161,13 +161,14 @@ class Flow:
                 out |= s[1].relations()
         return out
 
-    def dataframe(self, spark: SparkSession, sf: str) -> DataFrame:
+    def dataframe(self, spark: SparkSession, sf: str, readers: dict | None = None) -> DataFrame:
+        """``readers`` reads relations from elsewhere than the generated tables."""
         df: DataFrame | None = None
         words = self._words()
         for s in self.steps:
             kind = s[0]
             if kind == "rel":
-                reader, columns = _RELATIONS[s[1]]
+                reader, columns = (readers or _RELATIONS)[s[1]]
                 df = reader(spark, sf, *[c for c in columns if c in words])
             elif kind == "where":
                 df = df.filter(spell(s[1], 0))
@@ -181,9 +182,9 @@ class Flow:
                 df = df.select("*", *[F.expr(spell(e, 0)).alias(a) for a, e in s[1].items()])
             elif kind == "join":
                 how = {"semi": "left_semi", "anti": "left_anti", "full": "full_outer"}.get(s[3], s[3])
-                df = df.join(s[1].dataframe(spark, sf), s[2], how)
+                df = df.join(s[1].dataframe(spark, sf, readers), s[2], how)
             elif kind == "union":
-                df = df.unionByName(s[1].dataframe(spark, sf))
+                df = df.unionByName(s[1].dataframe(spark, sf, readers))
             elif kind == "distinct":
                 df = df.distinct()
             elif kind == "via":
@@ -234,8 +235,10 @@ class FlowBook:
 
     def __init__(self, book) -> None:
         self.book = book
+        self.flows: dict[str, Flow] = {}
 
     def __call__(self, name: str, flow: Flow) -> None:
+        self.flows[name] = flow
         self.book.add(name, lambda spark, sf, f=flow: f.dataframe(spark, sf), flow.sql())
 
     def each(self, name: str, flow: Flow, dims: list[str], inputs: str, gate: int = 1, **measures: str) -> None:
