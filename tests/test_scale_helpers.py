@@ -134,3 +134,15 @@ def test_minimal_keys(spark):
     assert {tuple(r.key_columns) for r in Q.minimal_keys(df, cols, largest=1).collect()} == {s for s in want if len(s) == 1}
     assert Q.minimal_keys(df.union(df), cols).count() == 0
     assert [r.key_columns for r in Q.minimal_keys(df.limit(1), cols).collect()] == [[]]
+
+
+def test_ranges_follow_the_size_of_the_rows(spark, skewed, monkeypatch):
+    monkeypatch.setattr(ordering, "RANGE_BYTES", 1 << 15)
+    df = skewed.select("g", "id", "v")
+    n = ordering._ranges(df)
+    assert n == -(-20000 * ordering._row_bytes(df) // (1 << 15)) and n > 20
+    placed = ordering.with_position(df, ["g"], [F.col("v").desc(), F.col("id")])
+    want = df.selectExpr("id", "row_number() over (partition by g order by v desc, id) as w")
+    assert placed.join(want, "id").filter("position <> w").count() == 0
+    monkeypatch.setattr(ordering, "RANGE_BYTES", 1 << 40)
+    assert ordering._ranges(df) == int(spark.conf.get("spark.sql.shuffle.partitions"))

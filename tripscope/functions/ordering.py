@@ -13,6 +13,28 @@ from pyspark.sql import functions as F
 from tripscope.session import ensure_checkpoint_dir
 
 
+#: A range holds about this many bytes of rows.
+RANGE_BYTES = 128 << 20
+
+
+def _row_bytes(df: DataFrame) -> int:
+    """Width of a row from its types; a text counts as 20 characters, a nested value as 64 bytes."""
+    width = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "float": 4, "date": 4, "bigint": 8, "double": 8, "timestamp": 8, "string": 20}
+    return 8 + sum(width.get(kind, 64) for _, kind in df.dtypes)
+
+
+def _ranges(df: DataFrame) -> int:
+    """As many ranges as the rows fill, at least the session's number of shuffle partitions.
+
+    A plan that Catalyst expects to be small is not counted; its estimate is one from above.
+    """
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    expected = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if expected <= least * RANGE_BYTES:
+        return least
+    return max(least, -(-df.count() * _row_bytes(df) // RANGE_BYTES))
+
+
 def with_position(df: DataFrame, group: list[str], order: list[Column], out: str = "position", partitions: int | None = None) -> DataFrame:
     """Adds the 1-based place of each row in its group (the whole table when ``group`` is empty).
 
@@ -20,7 +42,7 @@ def with_position(df: DataFrame, group: list[str], order: list[Column], out: str
     afresh on every evaluation and the counts have to see the same partitions as the rows.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or _ranges(df)
     keys = [F.col(g) for g in group]
     ranged = df.repartitionByRange(n, *keys, *order).withColumn("__part", F.spark_partition_id()).checkpoint()
     local = W.partitionBy("__part", *group).orderBy(*order)
