@@ -35,13 +35,15 @@ from tripscope.plans.registry import Book
 BOOK = Book()
 #: A block holds at most this many documents and about this many terms of text; one longer document is a block of its own.
 BLOCK_DOCS = 2048
-BLOCK_TERMS = 1 << 20
+BLOCK_TERMS = 1 << 19
 #: (item, term) pairs searched for together; an item with more distinct terms is searched for alone.
 TERM_PAIRS = 1 << 16
 #: The first visits of an item cover at least this many documents per wanted row.
 FIRST_DOCS = 64
 #: Visits of a set are broadcast up to this many (item, stratum) pairs, 12 bytes each, and joined by shuffle beyond it.
 BROADCAST_VISITS = 1 << 20
+#: A worker holds the counted terms of texts up to about this many before it hands them on.
+HELD_TERMS = 1 << 17
 #: The number of blocks per stratum is broadcast up to this many strata, 16 bytes each.
 BROADCAST_STRATA = 100_000
 #: Scores are kept for this many (item, document) pairs at a time.
@@ -75,24 +77,29 @@ def _lists(values: list, sizes: list[int], kind: pa.DataType) -> pa.Array:
 def forward(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n, terms, tfs, turn) per document with a term; ``turn`` deals the documents of a stratum to its blocks."""
 
+    def packed(ids: list, rows: list[Counter], turn: int) -> pa.RecordBatch:
+        sizes = [len(c) for c in rows]
+        columns = [
+            pa.array(ids, pa.int64()), pa.array([c.total() for c in rows], pa.int64()), _lists([t for c in rows for t in c], sizes, pa.binary()),
+            _lists([f for c in rows for f in c.values()], sizes, pa.int32()), pa.array(range(turn, turn + len(rows)), pa.int64()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=["id", "n", "terms", "tfs", "turn"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = 0
+        turn, held, ids, rows = 0, 0, [], []
         for batch in batches:
-            ids, rows = [], []
             for i, text in zip(batch.column(0), batch.column(1)):
                 counts = _counted(text.as_py())
                 if counts:
                     ids.append(i.as_py())
                     rows.append(counts)
-            sizes = [len(c) for c in rows]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(ids, pa.int64()), pa.array([c.total() for c in rows], pa.int64()), _lists([t for c in rows for t in c], sizes, pa.binary()),
-                    _lists([f for c in rows for f in c.values()], sizes, pa.int32()), pa.array(range(turn, turn + len(rows)), pa.int64()),
-                ],
-                names=["id", "n", "terms", "tfs", "turn"],
-            )
-            turn += len(rows)
+                    held += len(counts)
+                # Counted texts are large as objects, so few of them are held at a time.
+                if held > HELD_TERMS:
+                    yield packed(ids, rows, turn)
+                    turn, held, ids, rows = turn + len(rows), 0, [], []
+        if rows:
+            yield packed(ids, rows, turn)
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(count, FORWARD)
 
