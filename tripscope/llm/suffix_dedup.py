@@ -33,7 +33,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tripscope.llm.common import documents, per_arrow_batch, per_batch, written
+from tripscope.llm.common import discard, documents, per_arrow_batch, per_batch, written
 from tripscope.plans.registry import Book
 
 BOOK = Book()
@@ -250,7 +250,10 @@ def _text_key(text: F.Column) -> F.Column:
 
 
 def _runs(docs: DataFrame, length: int, width: int) -> DataFrame:
-    """(text_key, runs): starts of repeated windows as ranges [lo, hi], for the texts that have any."""
+    """(text_key, runs): starts of repeated windows as ranges [lo, hi], for the texts that have any.
+
+    The result is written, and tables on the way to it are deleted as soon as what follows from them is written.
+    """
     span = length - QGRAM
     body = F.coalesce(F.col("text"), F.lit(""))
     texts = docs.select(_text_key(body).alias("text_key"), body.alias("body"))
@@ -259,6 +262,7 @@ def _runs(docs: DataFrame, length: int, width: int) -> DataFrame:
     )
     shared = anchors.groupBy("gram").count().filter("count > 1").select("gram")
     live = written(anchors.join(shared, "gram", "left_semi"), "live-anchors")
+    discard(anchors)
 
     # Surroundings: one row for each that differs, however often it occurs.
     seen = live.groupBy("gram", "around").agg(F.count("*").alias("n"), F.min(F.struct("text_key", "place")).alias("at"))
@@ -283,6 +287,7 @@ def _runs(docs: DataFrame, length: int, width: int) -> DataFrame:
         F.bit_or(F.when(F.col("on") & ((F.col("n") == 1) | (F.col("ctx") == F.col("leader"))), bit).otherwise(0)).alias("on"),
     )
     told = written(told, "told")
+    discard(blocks)
     known = contexts.filter("NOT many").join(told.filter("sure <> 0"), "ctx").select("text_key", "place", F.explode(F.sequence(F.lit(0), F.lit(span // width))).alias("block"), "sure")
     known = known.filter(F.expr("(sure >> block) & 1 = 1")).select("text_key", "place", (F.col("block") * width).alias("o1"), (F.col("block") * width + width - 1).alias("o2"))
 
@@ -296,7 +301,9 @@ def _runs(docs: DataFrame, length: int, width: int) -> DataFrame:
     part = known.union(single).withColumns({"o1": F.greatest("o1", lo), "o2": F.least("o2", hi)}).filter("o1 <= o2")
     part = part.select("text_key", (at - F.col("o2")).alias("lo"), (at - F.col("o1")).alias("hi"))
     runs = whole.union(part).distinct()
-    return runs.groupBy("text_key").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))  # bounded by the length of one text
+    out = written(runs.groupBy("text_key").agg(F.collect_list(F.struct("lo", "hi")).alias("runs")), "runs")  # bounded by the length of one text
+    discard(live, seen, contexts, told, offsets)
+    return out
 
 
 def removed(raw: bytes, runs, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -381,7 +388,7 @@ def cut_repeats(docs: DataFrame, length: int = 200, width: int = 13) -> DataFram
 
     Rows meet their runs in one join and are cut where they lie, so whole texts move once.
     """
-    runs = written(_runs(docs, length, width), "runs")
+    runs = _runs(docs, length, width)
     name = "runs"
     while name in docs.columns:
         name += "_"
