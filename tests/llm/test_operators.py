@@ -453,3 +453,24 @@ def test_pipeline_odd_rows(spark, odd, none):
     assert docs.count() > 0
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, labels_dir).count() == 0
+
+
+def test_stages_keep_columns_whatever_their_names(spark):
+    """Rows with every name that a stage might use inside come out with their values."""
+    names = ["__digest", "__gone", "__gone_text", "__key", "__own", "__kept", "digest", "runs", "text_key", "id", "g", "d", "r"]
+    near = " ".join(f"near{i}" for i in range(300))
+    texts = ["alone " + LONG[:300], PASSAGE, PASSAGE, near, near + " more", None, "", "before " + LONG[:3000] + " after", "x " + LONG[:3000] + " y"]
+    rows = [(i, t, len(t or ""), *[f"{n}{i}" for n in names]) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, " + ", ".join(f"`{n}` string" for n in names))
+    docs = docs.union(docs.filter("doc_id = 1"))
+    kept = {}
+    for stage in (exact_dedup.drop_copies, near_dup.drop_near_copies, suffix_dedup.cut_repeats):
+        out = stage(docs)
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes
+        got = out.collect()
+        for r in got:
+            assert [r[n] for n in names] == [f"{n}{r['doc_id']}" for n in names]
+            assert r["n_chars"] == len(r["text"] or "")
+        kept[stage.__name__] = sorted(r["doc_id"] for r in got)
+    assert kept["drop_copies"] == [0, 2, 3, 4, 6, 7, 8] and kept["cut_repeats"] == [0, 1, 1, 2, 3, 4, 5, 6, 7, 8]
+    assert 3 in kept["drop_near_copies"] and 4 not in kept["drop_near_copies"]

@@ -61,14 +61,16 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with all their columns."""
     groups = written(exact_groups(docs, id_col, text_col).filter("group_size > 1").select("id", "digest", "kept"), "copies")
-    gone = groups.filter(~F.col("kept")).select(F.col("id").alias("__gone_id"), F.col("digest").alias("__gone_digest")).distinct()
-    digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
-    named = docs.withColumn("__digest", digest)
-    same = (F.col("__digest") == F.col("__gone_digest")) & F.col(id_col).eqNullSafe(F.col("__gone_id"))
-    left = named.join(gone, same, "left_anti")
+    gone = groups.filter(~F.col("kept")).select("id", "digest").distinct()
+    digest = F.sha2(F.coalesce(F.col(f"d.`{text_col}`"), F.lit("")), 256)
+    same = (digest == F.col("g.digest")) & F.col(f"d.`{id_col}`").eqNullSafe(F.col("g.id"))
+    left = docs.alias("d").join(gone.alias("g"), same, "left_anti")
     if groups.filter("kept").groupBy("id", "digest").count().filter("count > 1").limit(1).count():
-        left = left.dropDuplicates([id_col, "__digest"])
-    return left.drop("__digest")
+        name = "digest"
+        while name in docs.columns:
+            name += "_"
+        left = left.withColumn(name, F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), 256)).dropDuplicates([id_col, name]).drop(name)
+    return left
 
 
 @BOOK.query(

@@ -307,9 +307,9 @@ def components_of(docs: DataFrame, words: int = 5, percent: int = 80, trees: int
 
 def drop_near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows that stay, one text of each component, with all their columns."""
-    gone = _labelled(docs, words, percent, None).filter("NOT kept AND doc_id IS NOT NULL")
-    gone = gone.select(F.col("doc_id").alias("__gone"), F.col("text_key").alias("__gone_text")).distinct()
-    return docs.join(gone, (F.col("doc_id") == F.col("__gone")) & (_text_key() == F.col("__gone_text")), "left_anti")
+    gone = _labelled(docs, words, percent, None).filter("NOT kept AND doc_id IS NOT NULL").select("doc_id", "text_key").distinct()
+    key = F.unhex(F.md5(F.col("d.text").cast("binary")))
+    return docs.alias("d").join(gone.alias("g"), (F.col("d.doc_id") == F.col("g.doc_id")) & (key == F.col("g.text_key")), "left_anti")
 
 
 @BOOK.query("op8_chosen_path_near_dedup")
