@@ -244,10 +244,13 @@ class Encoder(dict):
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [words_of(t) for t in texts]
-        new = set().union(*cut) - self.keys()
+        now = set().union(*cut)
+        new = now - self.keys()
         if len(self) + len(new) > self.BOUND:
+            # Words met again are the frequent ones; the others make room.
+            again = {w: self[w] for w in now - new}
             self.clear()
-            new = set().union(*cut)
+            self.update(again)
         self.learn(sorted(new))
         return [b"".join([self[w] for w in words]) for words in cut]
 
