@@ -18,7 +18,7 @@ import re
 from collections.abc import Iterable
 from dataclasses import dataclass, field, fields, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripscope.session import ensure_checkpoint_dir
@@ -331,11 +331,15 @@ def _by_grain(spec: MetricSpec) -> Column:
 def _entities(out: DataFrame, spec: MetricSpec) -> dict[str, list[str]]:
     """Entity names of the metric's grains that have at most ``MAX_ENTITIES`` of them: a bounded list, whatever the rows."""
     names = out.filter(F.col("metric_id") == spec.id).select("grain", "entity").distinct()
-    few = names.withColumn("__n", F.count("*").over(Window.partitionBy("grain"))).filter(F.col("__n") <= MAX_ENTITIES)
+    most = MAX_ENTITIES * len(spec.grains)
+    rows = names.limit(most + 1).collect()
+    if len(rows) > most:  # some grain has too many: read those that have not
+        small = names.groupBy("grain").count().filter(F.col("count") <= MAX_ENTITIES).select("grain")
+        rows = names.join(small, "grain", "left_semi").collect()
     found: dict[str, list[str]] = {}
-    for r in few.select("grain", "entity").collect():
+    for r in rows:
         found.setdefault(r["grain"], []).append(r["entity"])
-    return {g: sorted(found[g]) for g in spec.grains if g in found}
+    return {g: sorted(found[g]) for g in spec.grains if g in found and len(found[g]) <= MAX_ENTITIES}
 
 
 def _distinct_counts(rows: DataFrame, spec: MetricSpec, flag: str, entities: dict[str, list[str]]) -> DataFrame:
