@@ -316,6 +316,29 @@ def test_shards_are_as_even_as_can_be(small):
     assert shards_for(largest) <= 8 and (largest == max(sizes.values()) or shards_for(largest - 1) > 8)
 
 
+@pytest.mark.parametrize("hot", [0.0, 0.146, 0.33])
+def test_shards_beside_a_huge_group_are_near_equal(hot):
+    rng = np.random.default_rng(9)
+    for _ in range(20):
+        sizes = rng.integers(1, 400, 500).tolist()
+        if hot:
+            sizes.insert(int(rng.integers(0, 500)), int(sum(sizes) * hot / (1 - hot)))
+        ranges = sharding.Ranges([(i, 0, n, True) for i, n in enumerate(sizes)])
+        capacity = sharding.smallest(ranges.surely, ranges.total, 8)
+        ends = sharding.even_ends(ranges, capacity, 8)
+        parts = np.diff([0, *ends])
+        assert ends[-1] == ranges.total and parts.max() <= capacity and set(ends) <= set(ranges.ends)
+        others = sorted(parts)[:-1] if hot else parts
+        # Only the shards next to the huge group may be cut short.
+        assert sorted(others)[2 if hot else 0] > 0.6 * sum(others) / len(others) and min(parts) > 0
+
+
+def test_one_text_in_a_third_of_all_rows(spark):
+    rows = [(i, f"text {i} " * 20) for i in range(400)] + [(1000 + i, "copied text " * 15) for i in range(200)]
+    got = check_shards(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 8)
+    assert len({r["shard"] for r in got if r["id"] >= 1000}) == 1 and {r["shard"] for r in got} == set(range(8))
+
+
 def test_shards_odd_rows(odd, none):
     rows = check_shards(odd, 3)
     assert len({r["shard"] for r in rows if r["id"] in (7, 8)}) == 1

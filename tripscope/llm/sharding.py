@@ -1,7 +1,8 @@
 """Sharding by a minimax contiguous partition of ordered atomic groups.
 
 Groups of equal texts are atomic and stand in the order of their 64-bit hash. The smallest capacity is sought for which a greedy walk, that
-fills each shard up to the last group that fits, needs no more than the given number of shards; there the groups are cut.
+fills each shard up to the last group that fits, needs no more than the given number of shards. No shard is larger; within this bound the
+groups are cut near equal shares of what is left, wherever the walk shows that the rest still fits.
 
 The walk only asks for the last group boundary at or below a size, so the groups themselves stay in Spark. The driver holds boundaries of
 hash ranges, coarse at first. With them the binary search gives two capacities: one that surely suffices (cuts at known boundaries only) and one below
@@ -62,9 +63,9 @@ class Ranges:
         return {k for k in range(i, min(j + 1, len(self.rows))) if not self.rows[k][3]}
 
 
-def walk(step: Callable[[int], int], capacity: int, shards: int) -> list[int]:
-    """Ends of the shards that a greedy walk fills to a capacity."""
-    ends, at = [], 0
+def walk(step: Callable[[int], int], capacity: int, shards: int, at: int = 0) -> list[int]:
+    """Ends of the shards that a greedy walk from a place on fills to a capacity."""
+    ends = []
     for _ in range(shards):
         at = step(at + capacity)
         ends.append(at)
@@ -83,6 +84,36 @@ def smallest(step: Callable[[int], int], total: int, shards: int) -> int:
     return low
 
 
+def even_ends(ranges: Ranges, capacity: int, shards: int) -> list[int]:
+    """Ends of shards that no capacity is exceeded by and that are as even as known boundaries allow.
+
+    Each shard is cut at the boundary nearest to an equal share of what is left, or at the first one after it from which a greedy walk
+    still places the rest. The last boundary within the capacity is always such a one, since the walk came through it.
+    """
+    known, total = [0, *ranges.ends], ranges.total
+    ends, at = [], 0
+
+    def fits(end: int, left: int) -> bool:
+        return walk(ranges.surely, capacity, left, end)[-1] >= total if left else end >= total
+
+    for left in range(shards - 1, -1, -1):
+        goal = at - (at - total) // (left + 1)
+        last = bisect_right(known, at + capacity) - 1
+        below = min(bisect_right(known, goal) - 1, last)
+        low = below + 1 if below < last and known[below + 1] - goal < goal - known[below] else below
+        # A shard stays empty only when all groups are placed.
+        low, high = min(max(low, bisect_right(known, at)), last), last
+        while low < high:
+            middle = (low + high) // 2
+            if fits(known[middle], left):
+                high = middle
+            else:
+                low = middle + 1
+        at = known[low]
+        ends.append(at)
+    return ends
+
+
 def _summed(groups: DataFrame, parts: list[tuple[int, int]] | None) -> list[tuple[int, int, int, bool]]:
     """Sizes of the ranges into which ``parts`` (first key, bits) are split; without parts, of the coarsest ranges."""
     bits = F.lit(BITS - FIRST_BITS)
@@ -109,7 +140,7 @@ def cuts(groups: DataFrame, shards: int) -> list[int | None]:
         finer = _summed(groups, [ranges.rows[k][:2] for k in sorted(open_)])
         ranges = Ranges([r for k, r in enumerate(ranges.rows) if k not in open_] + finer)
     keys = []
-    for end in walk(ranges.surely, high, shards)[:-1]:
+    for end in even_ends(ranges, high, shards)[:-1]:
         i = bisect_right(ranges.ends, end)
         keys.append(ranges.rows[i - 1][0] + (1 << ranges.rows[i - 1][1]) - 1 if i else None)
     return keys
