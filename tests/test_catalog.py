@@ -1,4 +1,5 @@
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -86,3 +87,15 @@ def test_definitions_are_loaded_from_a_location(spark, tmp_path):
     (tmp_path / "again.json").write_text("{")
     with pytest.raises(ValueError, match="again.json"):
         M.load_catalog(spark, str(tmp_path))
+
+
+@pytest.mark.parametrize("files", [1, 2])
+def test_several_definitions_in_a_file(spark, tmp_path, files):
+    texts = [(json.dumps(M.spec_to_dict(s)),) for s in M.DEFAULT_CATALOG.values()]
+    spark.createDataFrame(texts, "value string").coalesce(files).write.text(str(tmp_path / "lines"))
+    loaded = M.load_catalog(spark, str(tmp_path / "lines"))
+    assert loaded == M.DEFAULT_CATALOG
+    for text in ("{} rest", " \n"):
+        (tmp_path / "bad.json").write_text(text)
+        with pytest.raises(ValueError, match="bad.json"):
+            M.load_catalog(spark, str(tmp_path / "bad.json"))

@@ -111,17 +111,24 @@ def spec_from_dict(raw: dict) -> MetricSpec:
 
 
 def load_catalog(spark, path: str) -> dict[str, MetricSpec]:
-    """The metrics defined by the JSON files of a location, one object or a list of objects a file. Definitions are small; they are read whole."""
+    """The metrics defined by the JSON files of a location. Definitions are small; they are read whole.
+
+    A file holds an object or a list of objects, or several of them one after the other, as when Spark writes them as lines.
+    """
     import json
 
+    decoder = json.JSONDecoder()
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value").collect()
     raw: list[dict] = []
     for f in sorted(files, key=lambda f: f["file"]):
-        try:
-            found = json.loads(f["value"])
-        except json.JSONDecodeError as e:
-            raise ValueError(f"{f['file']}: {e}") from e
-        raw += found if isinstance(found, list) else [found]
+        text, at = f["value"].strip(), 0
+        while at < len(text) or not at:  # a blank file is an error
+            try:
+                found, at = decoder.raw_decode(text, at)
+            except json.JSONDecodeError as e:
+                raise ValueError(f"{f['file']}: {e}") from e
+            raw += found if isinstance(found, list) else [found]
+            at += len(text[at:]) - len(text[at:].lstrip())
     return catalog(spec_from_dict(r) for r in raw)
 
 

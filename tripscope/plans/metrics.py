@@ -222,8 +222,8 @@ BOOK.add("M12_merged_from_months", merged_quarters, sliced_sql(f"SELECT {SLICE_C
 def loaded_slices(spark: SparkSession, sf: str) -> DataFrame:
     """Slices of a catalog that is written out as definition files and loaded from there."""
     path = f"{shared_dir(spark)}/metrics-{uuid.uuid4().hex}"
-    texts = [(json.dumps(M.spec_to_dict(s)),) for s in SPECS.values()]
-    spark.createDataFrame(texts, "value string").repartition(len(texts)).write.text(path)
+    texts = [(s.id, json.dumps(M.spec_to_dict(s))) for s in SPECS.values()]
+    spark.createDataFrame(texts, "metric string, value string").write.partitionBy("metric").text(path)  # a file for each
     return rounded(slices_for(spark, sf, M.load_catalog(spark, path)), "value", "coverage")
 
 
