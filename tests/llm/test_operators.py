@@ -339,6 +339,14 @@ def test_one_text_in_a_third_of_all_rows(spark):
     assert len({r["shard"] for r in got if r["id"] >= 1000}) == 1 and {r["shard"] for r in got} == set(range(8))
 
 
+def test_one_huge_text_among_many(spark):
+    docs = spark.range(6000).selectExpr("id AS doc_id", "if(id % 2 = 0, repeat('copied ', 60), concat('text ', id)) AS text")
+    got = check_shards(docs.repartition(4), 8)
+    by_shard = [sum(r["size"] for r in got if r["shard"] == s) for s in range(8)]
+    others = sorted(by_shard)[:-1]
+    assert len({r["shard"] for r in got if r["id"] % 2 == 0}) == 1 and sum(others) < 3000 * 12 and min(others[2:]) > 0.6 * sum(others) / 7
+
+
 def test_shards_odd_rows(odd, none):
     rows = check_shards(odd, 3)
     assert len({r["shard"] for r in rows if r["id"] in (7, 8)}) == 1

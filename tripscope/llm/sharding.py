@@ -7,8 +7,9 @@ groups are cut near equal shares of what is left, wherever the walk shows that t
 The walk only asks for the last group boundary at or below a size, so the groups themselves stay in Spark. The driver holds boundaries of
 hash ranges, coarse at first. With them the binary search gives two capacities: one that surely suffices (cuts at known boundaries only) and one below
 which none can (as if groups could be cut anywhere inside an unknown range). The ranges in which a cut can fall for any capacity between
-the two are split again, ``FANOUT`` ways, and summed by Spark, until both agree. A round splits a few ranges for each cut, so the driver's list
-is bounded by shards, fan-out and rounds (at most 16), not by the groups.
+the two are split again and summed by Spark, until both agree. One huge group keeps the two far apart until it stands alone, and then every
+range is open; a round therefore splits the ``MOST_OPEN`` largest of them, so the driver's list grows by a fixed number of ranges a round,
+whatever the groups.
 
 Rows learn their shard by comparing hashes with the cuts. Their slots come from counts per (shard, bucket of the id), so no shard, and no
 group of copies, is numbered in one task.
@@ -31,6 +32,7 @@ BOOK = Book()
 BITS = 64
 FIRST_BITS = 10
 FANOUT_BITS = 6
+MOST_OPEN = 256
 ROWS_PER_BUCKET = 100_000
 
 
@@ -118,9 +120,12 @@ def _summed(groups: DataFrame, parts: list[tuple[int, int]] | None) -> list[tupl
     """Sizes of the ranges into which ``parts`` (first key, bits) are split; without parts, of the coarsest ranges."""
     bits = F.lit(BITS - FIRST_BITS)
     if parts is not None:
-        bits = F.lit(None).cast("int")
-        for first, had in parts:
-            bits = F.when(F.col("key").between(first, first + (1 << had) - 1), F.lit(max(0, had - FANOUT_BITS))).otherwise(bits)
+        # One look-up for each width of range, not one condition for each range.
+        widths = [
+            F.when(F.expr(f"shiftleft(shiftright(key, {w}), {w})").isin([first for first, had in parts if had == w]), F.lit(max(0, w - FANOUT_BITS)))
+            for w in sorted({had for _, had in parts})
+        ]
+        bits = F.coalesce(*widths)
     keyed = groups.withColumn("bits", bits).filter("bits IS NOT NULL").withColumn("first", F.expr("shiftleft(shiftright(key, bits), bits)"))
     rows = keyed.groupBy("first", "bits").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
     return [(r["first"], r["bits"], r["size"], r["n"] == 1) for r in rows]
@@ -137,6 +142,7 @@ def cuts(groups: DataFrame, shards: int) -> list[int | None]:
             open_ |= ranges.open_between(a, b)
         if low == high or not open_:
             break
+        open_ = set(sorted(open_, key=lambda k: (-ranges.rows[k][2], k))[:MOST_OPEN])
         finer = _summed(groups, [ranges.rows[k][:2] for k in sorted(open_)])
         ranges = Ranges([r for k, r in enumerate(ranges.rows) if k not in open_] + finer)
     keys = []
