@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tripscope.functions import ordering, quantiles
 from tripscope.operators import cuts
 from tripscope.operators import quality as Q
+from tripscope.session import ensure_checkpoint_dir, shared_dir
 
 
 @pytest.fixture(scope="module")
@@ -117,6 +118,25 @@ def test_percentiles_order_no_values(spark, skewed):
     assert "Sort [__v" not in text and "Window [" not in text
 
 
+def test_percentiles_read_their_input_once(spark):
+    """Whatever the passes, expressions and joins behind the rows are done once, and the written rows are deleted."""
+    import glob
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    ensure_checkpoint_dir(spark)
+    df = spark.range(1000).selectExpr("id % 3 AS g", "1.0D + id * 1e-9D AS v").mapInPandas(counted, "g long, v double")
+    got = {r.g: r.p50 for r in quantiles.exact_percentiles(df, ["g"], "v", [0.5]).collect()}
+    values = {g: [1.0 + i * 1e-9 for i in range(1000) if i % 3 == g] for g in range(3)}
+    assert got == {g: pytest.approx((v[(len(v) - 1) // 2] + v[len(v) // 2]) / 2, abs=1e-15) for g, v in values.items()}
+    assert seen.value == 1000 and not glob.glob(f"{shared_dir(spark).removeprefix('file:')}/percentiles-*")
+
+
 def test_minimal_keys(spark):
     rng = random.Random(1)
     rows = [(i % 40, i // 40, i % 7 if i % 3 else None, rng.randint(0, 10**6), "same", None) for i in range(800)]

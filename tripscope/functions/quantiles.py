@@ -1,23 +1,26 @@
 """Exact interpolated percentiles per group for continuous columns, by distributed radix selection.
 
 The built-in exact percentile keeps every distinct value of a group in one buffer. That is right for whole minutes; for money and ratios
-a hot group would not fit. Here a value is seen as a 64-bit integer of the same order. A pass counts values per 16-bit digit, map-side
-first, and follows each wanted rank into the digit that holds it; the next pass counts only the values below that digit, so after at most
-four passes each rank has its value. It ends earlier where a digit holds one value only. No values are ever ordered: the largest group of
-any window has 65,536 counters.
+a hot group would not fit. Here a first pass counts values per cell of a logarithmic scale, map-side first, and finds the cell that holds
+each wanted rank, with its smallest and largest value. The next pass splits only these cells evenly into 65,536, and so on. A cell spans
+a factor of 2^(1/16), so it has fewer than 2^48 doubles and a few passes end at one value; two are usual. No values are ever ordered: the
+largest group of any window has 65,536 counters. A pass reads keys and values alone, which are written once, and compares a row with the
+few open cells of its group, which come by a join on the group alone; the expressions stay small enough to be compiled to machine code.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tripscope.session import ensure_checkpoint_dir
+from tripscope.session import delete_folder, ensure_checkpoint_dir, shared_dir
 
-DIGIT = 16
-#: Open digits (one row of a few dozen bytes each) are broadcast up to this many and joined by shuffle beyond it.
-BROADCAST_DIGITS = 100_000
+SPLIT = 65_536
+#: Groups with open cells (one short row each) are broadcast up to this many and joined by shuffle beyond it.
+BROADCAST_GROUPS = 100_000
 
 
 def ordered_bits(v: Column) -> Column:
@@ -36,36 +39,54 @@ def ordered_bits(v: Column) -> Column:
     return F.when(v < 0, -whole).otherwise(whole)
 
 
+def first_digit(v: Column) -> Column:
+    """A small int of the same order as the double: its place on a logarithmic scale, 16 steps to a doubling. Zero, infinity and NaN stand alone."""
+    steps = F.floor(F.least(F.log2(F.abs(v)) * 16, F.lit(40_000.0))).cast("int") + 20_000
+    return F.when(F.isnan(v), F.lit(70_000)).when(v == 0.0, F.lit(0)).otherwise(F.when(v < 0, -steps).otherwise(steps))
+
+
 def exact_percentiles(df: DataFrame, keys: list[str], value: str, ps: list[float]) -> DataFrame:
     """Columns: the keys, ``n`` non-null values, and ``p<100p>`` for every p in ``ps``."""
-    ensure_checkpoint_dir(df.sparkSession)
-    rows = df.select(*keys, F.col(value).cast("double").alias("__v")).filter("__v is not null").withColumn("__u", ordered_bits(F.col("__v")))
-    first = rows.groupBy(*keys, F.shiftright("__u", 64 - DIGIT).alias("__at")).agg(*_counters())
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    # Each pass reads the rows: keys and values are written once, so that joins and expressions behind them are not done again.
+    path = f"{shared_dir(spark)}/percentiles-{uuid.uuid4().hex}"
+    df.select(*keys, F.col(value).cast("double").alias("__v")).filter("__v is not null").write.parquet(path)
+    rows = spark.read.parquet(path)
+    first = rows.groupBy(*keys, first_digit(F.col("__v")).alias("__at")).agg(*_counters())
     n = F.sum("__c").over(W.partitionBy(*(keys or [F.lit(1)])))
     spots = [(F.col("n") - 1) * F.lit(p) for p in ps]
     # The value below and, where the spot lies between two, the value above.
     ranks = F.array(*[_rank(i, side, F.floor(spot) + (F.when(spot > F.floor(spot), 1).otherwise(0) if side else 0)) for i, spot in enumerate(spots) for side in (0, 1)])
     found = _followed(first.withColumn("n", n).withColumn("__ranks", ranks), keys, []).checkpoint()
     done = found.filter("__low = __high")
-    for shift in range(64 - 2 * DIGIT, -1, -DIGIT):
+    most = 2 * len(ps)
+    while True:
         left = found.filter("__low <> __high")
-        inside = left.groupBy(*keys, "n", F.col("__at").alias("__in")).agg(F.collect_list(F.struct("__i", "__side", "__rank")).alias("__ranks"))
-        count = inside.count()
-        if not count:
+        inside = left.groupBy(*keys, "n", F.col("__low").alias("__in"), F.col("__high").alias("__end")).agg(F.collect_list(F.struct("__i", "__side", "__rank")).alias("__ranks"))
+        cells = F.array_sort(F.collect_list(F.struct("__in", "__end"))).alias("__cells")
+        grouped = inside.groupBy(*[F.col(k).alias(f"__k_{k}") for k in keys]).agg(cells, F.count("*").alias("__n_cells"))
+        size = grouped.agg(F.count("*"), F.coalesce(F.max("__n_cells"), F.lit(0))).first()
+        if not size[1]:
             break
-        open_digits = inside.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("n").alias("n"), "__in", "__ranks")
-        same = F.shiftright("__u", shift + DIGIT) == F.col("__in")
+        places = range(min(most, size[1]))
+        narrow = grouped.select(*[f"__k_{k}" for k in keys], *[F.get("__cells", F.lit(j))[side].alias(f"{side}{j}") for j in places for side in ("__in", "__end")])
+        same = F.lit(True)
         for k in keys:
             same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
-        narrow = open_digits.drop("n", "__ranks")
-        below = rows.join(F.broadcast(narrow) if count <= BROADCAST_DIGITS else narrow, same)
-        cells = below.groupBy(*keys, "__in", F.shiftright("__u", shift).alias("__at")).agg(*_counters())
+        held = rows.join(F.broadcast(narrow) if size[0] <= BROADCAST_GROUPS else narrow, same)
+        within = [F.col("__v").between(F.col(f"__in{j}"), F.col(f"__end{j}")) for j in places]
+        low, high = [F.coalesce(*[F.when(w, F.col(f"{side}{j}")) for j, w in zip(places, within)]) for side in ("__in", "__end")]
+        below = held.select(*keys, "__v", low.alias("__in"), high.alias("__end")).filter("__in is not null")
+        at = F.floor((F.col("__v") - F.col("__in")) / (F.col("__end") - F.col("__in")) * (SPLIT - 1)).cast("int")
+        counted = below.groupBy(*keys, "__in", at.alias("__at")).agg(*_counters())
         match = F.col("c.__in") == F.col("o.__in")
         for k in keys:
-            match = match & F.col(f"c.{k}").eqNullSafe(F.col(f"o.__k_{k}"))
-        known = cells.alias("c").join(open_digits.alias("o"), match).select(*[F.col(f"c.{k}") for k in keys], "c.__in", "c.__at", "c.__c", "c.__low", "c.__high", "o.n", "o.__ranks")
+            match = match & F.col(f"c.{k}").eqNullSafe(F.col(f"o.{k}"))
+        known = counted.alias("c").join(inside.alias("o"), match).select(*[F.col(f"c.{k}") for k in keys], "c.__in", "c.__at", "c.__c", "c.__low", "c.__high", "o.n", "o.__ranks")
         found = _followed(known, keys, ["__in"]).checkpoint()
         done = done.unionByName(found.filter("__low = __high"))
+    delete_folder(spark, path)
     values = [F.max(F.when((F.col("__i") == i) & (F.col("__side") == side), F.col("__low"))) for i in range(len(ps)) for side in (0, 1)]
     picked = done.groupBy(*keys, "n").agg(*[v.alias(f"__q{j}") for j, v in enumerate(values)])
 

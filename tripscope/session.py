@@ -50,6 +50,12 @@ def input_mark(spark: SparkSession, path: str) -> tuple:
     return tuple(sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in listed))
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Removes an intermediate table that nothing reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Point the context at the shared checkpoint folder once."""
     if spark.sparkContext.getCheckpointDir() is None:
