@@ -156,6 +156,33 @@ def test_minimal_keys(spark):
     assert [r.key_columns for r in Q.minimal_keys(df.limit(1), cols).collect()] == [[]]
 
 
+@pytest.mark.parametrize("shares", [1, 32])
+def test_minimal_keys_with_colliding_hashes(spark, monkeypatch, shares):
+    """Equal hashes of different values make no repeated key, however many there are; a single repeated value is found."""
+    monkeypatch.setattr(Q, "SHARES", shares)
+    df = spark.range(3000).selectExpr("id AS a", "id % 50 AS b", "if(id = 7, 8, id) AS c", "id div 50 AS d")
+    assert {tuple(r.key_columns) for r in Q.minimal_keys(df, ["a", "b", "c", "d"]).collect()} == {("a",), ("b", "c"), ("b", "d")}
+    monkeypatch.setattr(Q.F, "xxhash64", lambda *cols: F.expr("a % 1000"))
+    sets = [(0,), (2,), (1, 3)]
+    rows = df.select("a", "b", "c", "d")
+    assert Q._repeated_sets(rows, ["a", "b", "c", "d"], sets, 3000, 1) == {(2,)}
+
+
+def test_minimal_keys_shuffle_hashes_only(spark, monkeypatch):
+    """What is shuffled per row and candidate is one long, not the columns."""
+    plans = []
+    plain = type(spark.range(1)).collect
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df)
+
+    monkeypatch.setattr(type(spark.range(1)), "collect", noted)
+    df = spark.range(500).selectExpr("id AS a", "repeat('wide', 50) || id AS b")
+    assert {tuple(r.key_columns) for r in Q.minimal_keys(df, ["a", "b"]).collect()} == {("a",), ("b",)}
+    assert any("hashpartitioning(h#" in p for p in plans) and not any("hashpartitioning(b#" in p for p in plans)
+
+
 def test_ranges_follow_the_size_of_the_rows(spark, skewed, monkeypatch):
     monkeypatch.setattr(ordering, "RANGE_BYTES", 1 << 15)
     df = skewed.select("g", "id", "v")
