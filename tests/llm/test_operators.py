@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 
 import corpus_pipeline
@@ -88,6 +89,40 @@ def test_near_components(small, monkeypatch, words, percent, limit):
     assert got == brute.near_components(pairs(small), words, percent)
 
 
+def test_nodes_are_compared_whole_across_batches():
+    rng = np.random.default_rng(3)
+    rows = []
+    for node, n in enumerate([2, 3, 1, 40, 8, 9, 2]):
+        base = rng.integers(0, 2**32, near_dup.TOKENS, dtype=np.uint32)
+        for i in range(n):
+            sig = base.copy() if i % 3 else rng.integers(0, 2**32, near_dup.TOKENS, dtype=np.uint32)
+            sig[: i % 3] += 1
+            rows.append((node, 100 * node + i, sig.tobytes()))
+    table = pd.DataFrame(rows, columns=["node", "rep", "payload"])
+    whole = {}
+    for node, group in table.groupby("node"):
+        label = near_dup.loosely_linked(group["payload"].tolist(), 85)
+        whole.update({r: (node, group["rep"].iloc[k]) for r, k in zip(group["rep"], label)})
+    for step in (1, 3, 7, 100):
+        batches = (table[i : i + step] for i in range(0, len(table), step))
+        found = pd.concat(near_dup._compare_sorted(near_dup.loosely_linked, 85)(batches))
+        lowest = {r: r for r in table["rep"]}
+        for _ in range(50):
+            for a, b in zip(found["root"], found["rep"]):
+                lowest[a] = lowest[b] = min(lowest[a], lowest[b])
+        assert {r: (r // 100, low) for r, low in lowest.items()} == whole
+
+
+def test_stars_are_recognised_without_a_round(spark, monkeypatch):
+    links = spark.createDataFrame([(1, 2), (3, 1), (7, 9)], "a long, b long")
+
+    def no_round(*_):
+        raise AssertionError("one more round")
+
+    monkeypatch.setattr("tripscope.llm.components._star", no_round)
+    assert sorted(map(tuple, components(links).collect())) == [(1, 1), (2, 1), (3, 1), (7, 7), (9, 7)]
+
+
 def test_near_odd_rows(odd, none):
     rows = near_dup.components_of(odd, 3, 85).collect()
     assert len(rows) == odd.count()

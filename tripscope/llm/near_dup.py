@@ -29,7 +29,7 @@ the texts that share a component and its smallest id is kept; an empty table giv
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
 import numpy as np
@@ -47,6 +47,8 @@ TOKENS = 32
 DEPTH = 3
 NODE_LIMIT = 4096
 CLUSTER_LIMIT = 2048
+#: Nodes of at most this many sets are compared pair by pair, many nodes at once.
+FEW = 8
 _RNG = np.random.default_rng(20190117)
 _MUL = _RNG.integers(1, 2**63, TOKENS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 2**63, TOKENS, dtype=np.uint64)
@@ -203,14 +205,32 @@ def linked(payload: list[bytes], percent: int, seeds: np.ndarray | None = None)
     return _search(len(sets), alike, seeds)
 
 
+def _least(percent: int) -> int:
+    """How many tokens of linked sets agree, less 4.6 standard deviations."""
+    share = percent / 100
+    return int(TOKENS * share - 4.6 * (TOKENS * share * (1 - share)) ** 0.5)
+
+
 def loosely_linked(payload: list[bytes], percent: int, seeds: np.ndarray | None = None) -> np.ndarray:
     """Components of sets whose signatures agree as often as those of linked sets do, less 4.6 standard deviations."""
-    sig = np.frombuffer(b"".join(payload), np.uint32).reshape(len(payload), TOKENS)
-    share = percent / 100
-    least = int(TOKENS * share - 4.6 * (TOKENS * share * (1 - share)) ** 0.5)
+    sig, least = np.frombuffer(b"".join(payload), np.uint32).reshape(len(payload), TOKENS), _least(percent)
     return _search(len(sig), lambda at, others: others[(sig[others] == sig[at]).sum(axis=1) >= least], seeds)
 
 
+def _loose_pairs(payload: list[bytes], starts: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs that ``loosely_linked`` links within each of many nodes, which begin at ``starts``."""
+    sig, least = np.frombuffer(b"".join(payload), np.uint32).reshape(len(payload), TOKENS), _least(percent)
+    left, right = [], []
+    for i in range(int(sizes.max(initial=0)) - 1):
+        for j in range(i + 1, int(sizes.max())):
+            at = starts[sizes > j]
+            hit = at[(sig[at + i] == sig[at + j]).sum(axis=1) >= least]
+            left.append(hit + i)
+            right.append(hit + j)
+    none = np.empty(0, np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
+
+
 def _compare(compare, percent: int):
     def fn(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["lead", "rep"], ascending=[False, True]).drop_duplicates("rep")
@@ -221,16 +241,59 @@ def _compare(compare, percent: int):
     return fn
 
 
+def _compare_sorted(compare, percent: int):
+    """The same for whole nodes, which come one after the other, without a call for each node.
+
+    Of nodes with up to ``FEW`` sets, pairs of signatures are compared for all of a batch at once; these yield their pairs.
+    """
+
+    def links(nodes: pd.DataFrame) -> pd.DataFrame:
+        nodes = nodes.drop_duplicates(["node", "rep"])
+        node, reps, payload = nodes["node"].to_numpy(), nodes["rep"].to_numpy(), nodes["payload"].tolist()
+        starts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+        sizes = np.diff(np.append(starts, len(node)))
+        some = (sizes <= FEW) if compare is loosely_linked else np.zeros(len(sizes), bool)
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        if some.any():
+            left, right = _loose_pairs(payload, starts[some], sizes[some], percent)
+            a.append(left)
+            b.append(right)
+        for at, n in zip(starts[~some].tolist(), sizes[~some].tolist()):
+            if n > 1:
+                a.append(at + compare(payload[at : at + n], percent))
+                b.append(np.arange(at, at + n))
+        a, b = np.concatenate(a), np.concatenate(b)
+        return pd.DataFrame({"rep": reps[b], "root": reps[a], "node": node[b]})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []  # the rows of the last node so far
+        for batch in batches:
+            if not len(batch):
+                continue
+            last = batch["node"].to_numpy() == batch["node"].iat[-1]
+            if held and held[-1]["node"].iat[-1] == batch["node"].iat[-1]:
+                held.append(batch)
+                continue
+            whole = pd.concat([*held, batch[~last]])
+            held = [batch[last]]
+            if len(whole):
+                yield links(whole)
+        if held:
+            yield links(pd.concat(held))
+
+    return run
+
+
 def _forest(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], limit: int, compare, percent: int) -> DataFrame:
     """(a, b): links that connect what ``compare`` links within each node of ``members(node, size, rep)``.
 
-    ``fetch`` adds the payload to compare. Nodes of up to ``limit`` members are one group each. Larger ones are cut into blocks that all
+    ``fetch`` adds the payload to compare. Nodes of up to ``limit`` members are compared whole, node after node in a task. Larger ones are cut into blocks that all
     get the node's first member; members that this does not connect to the first are then held against every block.
     """
     yes, no = F.lit(True), F.lit(False)
     schema = "rep long, root long, node long"
-    small = fetch(members.filter(F.col("size") <= limit)).select("node", "rep", yes.alias("seed"), no.alias("lead"), "payload")
-    found = small.groupBy("node").applyInPandas(_compare(compare, percent), schema)
+    small = fetch(members.filter(F.col("size") <= limit)).select("node", "rep", "payload")
+    found = small.repartition("node").sortWithinPartitions("node", "rep").mapInPandas(_compare_sorted(compare, percent), schema)
     firsts = members.filter(F.col("size") > limit).groupBy("node").agg(F.min("rep").alias("first"))
     if firsts.limit(1).count():
         blocks = F.ceil(F.col("size") / limit).cast("int")
