@@ -130,3 +130,18 @@ def test_whole_numbers_and_dates(spark):
     assert {r.t: r.n for r in got if r.t in numbers} == numbers and {r.t: r.d for r in got if r.t in dates} == dates
     bill = spark.createDataFrame([("1097076.0",), ("OverHead",)], "trip_id string")
     assert [r.o for r in bill.select(P.comma_long(F.col("trip_id")).isNull().alias("o")).collect()] == [False, True]
+
+
+def test_derived_extracts_are_compressed_and_bounded(spark, tmp_path, monkeypatch):
+    """Text takes several times the bytes of its table, so it is compressed, in files small enough for one task each."""
+    import gzip
+
+    from tripscope.plans import parsing
+
+    monkeypatch.setattr(parsing, "EXTRACT_ROWS", 40)
+    text = spark.range(100).coalesce(1).selectExpr("cast(id as string) AS trip_id", "if(id % 3 = 0, ' a,\"b\" ', null) AS remark")
+    parsing._write_text(text, str(tmp_path / "x.csv"), ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    files = list((tmp_path / "x.csv").glob("part-*.csv.gz"))
+    assert sorted(len(gzip.open(f, "rt").read().splitlines()) for f in files) == [21, 41, 41]
+    assert sorted(X.read_extract(spark, str(tmp_path / "x.csv")).collect(), key=str) == sorted(text.collect(), key=str)
+    assert X.data_lines(spark, [str(tmp_path / "x.csv")]).first()["lines"] == 100

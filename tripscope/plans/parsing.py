@@ -93,6 +93,14 @@ def feedback_text(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _WRITTEN: dict[tuple, str] = {}
+#: Compressed files are read whole by one task, so their rows are bounded.
+EXTRACT_ROWS = 250_000
+
+
+def _write_text(text: DataFrame, path: str, **options) -> None:
+    """Text of a relation as compressed CSV files: uncompressed it takes several times the bytes of its table."""
+    out = text.write.mode("overwrite").option("header", True).option("escape", '"').options(**options)
+    out.option("compression", "gzip").option("maxRecordsPerFile", EXTRACT_ROWS).csv(path)
 
 
 def extract_path(spark: SparkSession, sf: str, name: str) -> str:
@@ -103,11 +111,10 @@ def extract_path(spark: SparkSession, sf: str, name: str) -> str:
         if name == "trips":
             text = ride_text(spark, sf)
             for f in FILES:
-                part = text.filter(F.col("src") == f).drop("src", *(["actual_cab_fuel_type"] if f == "jul" else []))
-                part.write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{root}/ride_{f}.csv")
+                _write_text(text.filter(F.col("src") == f).drop("src", *(["actual_cab_fuel_type"] if f == "jul" else [])), f"{root}/ride_{f}.csv")
         else:
             maker = {"bills": bill_text, "alerts": alert_text, "emp": emp_text, "feedback": feedback_text}[name]
-            maker(spark, sf).write.mode("overwrite").option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{root}.csv")
+            _write_text(maker(spark, sf), f"{root}.csv", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
         _WRITTEN[key] = root
     return _WRITTEN[key]
 
