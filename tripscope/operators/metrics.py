@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 from dataclasses import dataclass, field, fields, replace
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +30,12 @@ ALL = "ALL"
 MAX_ENTITIES = 1024
 _IDENT = re.compile(r"^[A-Za-z_][A-Za-z0-9_]*$")
 _HOLE = re.compile(r"\{f(?::([^}]*))?\}")
+_AGG = re.compile(r"\b(avg|sum|count)\((.*?)\)(\{f(?::[^}]*)?\})")
+#: Names that may stand around the aggregates of a formula whose parts are added up.
+_AROUND = {"nullif", "coalesce", "cast", "null", "as", "double", "d"}
+#: Grains are totalled together while their entities make up at most this many cells a period, as seen in the first rows.
+CELLS = 256
+CELL_ROWS = 20_000
 
 
 @dataclass(frozen=True)
@@ -272,6 +279,91 @@ def grained_rows(df: DataFrame, specs: list[MetricSpec], period: str, column_of:
     return rows, {s.id: f"f_{s.id}" if s.condition() else "" for s in specs}
 
 
+class Partial(NamedTuple):
+    """One additive part of a formula: its column in the state and the aggregate that fills it."""
+
+    name: str
+    aggregate: str
+
+
+def decomposed(spec: MetricSpec, template: str, tag: str) -> tuple[str, list[Partial]]:
+    """A formula over merged parts, and the parts. An average becomes a sum over a count; sums and counts are their own parts."""
+    parts: list[Partial] = []
+
+    def part(fn: str, body: str, hole: str) -> str:
+        parts.append(Partial(f"{tag}_{spec.id}_{len(parts)}", f"{fn}({body}){hole}"))
+        return f"sum({parts[-1].name})"
+
+    def replaced(m: re.Match) -> str:
+        fn, body, hole = m.groups()
+        if fn == "avg":
+            return f"(cast({part('sum', body, hole)} as double) / nullif({part('count', body, hole)}, 0))"
+        return f"coalesce({part(fn, body, hole)}, 0)" if fn == "count" else part(fn, body, hole)
+
+    merged = _AGG.sub(replaced, template)
+    if "{f" in merged:
+        raise ValueError(f"{spec.id}: {template!r} has an aggregate that does not add up over months")
+    return merged, parts
+
+
+def _plan(specs: list[MetricSpec]) -> dict[str, dict[str, tuple[str, list[Partial]]]]:
+    """Per metric, the merged form and parts of its value, row count and coverage."""
+    out = {}
+    for s in specs:
+        plain = s.formula.replace("{quantile}", "cast(null as double)").replace("nullif({distinct}, 0)", "1")
+        out[s.id] = {"v": decomposed(s, plain, "v"), "n": decomposed(s, "count(*){f}", "n"), "c": decomposed(s, s.coverage, "c")}
+    return out
+
+
+def adds_up(spec: MetricSpec) -> bool:
+    """Whether the formula and coverage are made of sums, counts and averages only, so that totals of cells add up to them."""
+    for template in (spec.formula.replace("{quantile}", "null").replace("nullif({distinct}, 0)", "1"), spec.coverage):
+        for body in (m.group(2) for m in _AGG.finditer(template)):
+            depth = 0
+            for c in body:
+                depth += (c == "(") - (c == ")")
+                if depth < 0:
+                    return False
+            if depth or "{" in body or re.search(r"\bdistinct\b", body, re.I):
+                return False
+        around = _AGG.sub("0", template)
+        if "{" in around or not {w.lower() for w in re.findall(r"[A-Za-z_]\w*", around)} <= _AROUND:
+            return False
+    return True
+
+
+def binned(rows: DataFrame, keys: list[str]) -> list[list[str]]:
+    """The grain columns, laid together while their entities make few cells. The first rows decide on the layout only, never on a result."""
+    if not keys:
+        return [[]]
+    found = rows.select(*keys).limit(CELL_ROWS).agg(*[F.count_distinct(k).alias(k) for k in keys]).first()
+    bins: list[list] = []
+    for k in sorted(keys, key=lambda k: -found[k]):
+        n = max(found[k], 1)
+        fits = next((b for b in bins if b[0] * n <= CELLS), None)
+        if fits is None:
+            bins.append([n, k])
+        else:
+            fits[0] *= n
+            fits.append(k)
+    return [b[1:] for b in bins]
+
+
+def cell_totals(rows: DataFrame, keys: list[str], parts: list[Column], measures: list[Column]) -> DataFrame:
+    """``measures`` of the summed ``parts`` by (period, grain, entity).
+
+    A row is totalled once for each bin of grains instead of once for each grain, and the cells are spread over the bin's grains.
+    """
+    bins = binned(rows, keys)
+    cells = rows.groupingSets([["period", *b] for b in bins], "period", *keys).agg(*parts, *[F.grouping(b[0]).alias(f"not_{i}") for i, b in enumerate(bins) if b])
+    whole = [F.struct(F.lit(GLOBAL).alias("grain"), F.lit(ALL).alias("entity"))]
+    pairs = [F.array(*(whole if not i else []), *[F.struct(F.lit(k[2:]).alias("grain"), F.col(k).alias("entity")) for k in b]) for i, b in enumerate(bins)]
+    own = pairs[0]
+    for i, p in enumerate(pairs[1:], 1):
+        own = F.when(F.col(f"not_{i}") == 0, p).otherwise(own)
+    return cells.withColumn("__pairs", own).drop(*keys).select("*", F.inline("__pairs")).groupBy("period", "grain", "entity").agg(*measures)
+
+
 def stacked_grain(keys: list[str]) -> tuple[Column, Column]:
     """(grain, entity) of a row of the grouping sets."""
     grain = F.lit(GLOBAL)
@@ -280,10 +372,16 @@ def stacked_grain(keys: list[str]) -> tuple[Column, Column]:
     return grain, F.coalesce(*keys, F.lit(ALL))
 
 
-def _slices_of(df: DataFrame, specs: list[MetricSpec], period: str) -> DataFrame:
-    column_of = grain_columns(specs)
-    keys = [f"g_{g}" for g in column_of]
-    rows, flag = grained_rows(df, specs, period, column_of)
+def _added(rows: DataFrame, specs: list[MetricSpec], flag: dict[str, str], keys: list[str]) -> DataFrame:
+    """Value, row count and coverage of every metric by (period, grain, entity), added up from cells."""
+    plan = _plan(specs)
+    parts = [F.expr(s.compiled(p.aggregate, flag[s.id])).alias(p.name) for s in specs for _, of in plan[s.id].values() for p in of]
+    measures = [F.expr(text).cast("double" if tag == "v" else "bigint").alias(f"{tag}_{s.id}") for s in specs for tag, (text, _) in plan[s.id].items()]
+    return cell_totals(rows, keys, parts, measures)
+
+
+def _direct(rows: DataFrame, specs: list[MetricSpec], flag: dict[str, str], keys: list[str]) -> DataFrame:
+    """The same for formulas that do not add up: every row is grouped once for each grain."""
     measures: list[Column] = []
     for s in specs:
         plain = s.formula.replace("{quantile}", "cast(null as double)").replace("nullif({distinct}, 0)", "1")
@@ -296,6 +394,11 @@ def _slices_of(df: DataFrame, specs: list[MetricSpec], period: str) -> DataFrame
         *measures, *[F.grouping(k).alias(f"is_{k}") for k in keys]
     )
     grain, entity = stacked_grain(keys)
+    return wide.withColumns({"grain": grain, "entity": entity})
+
+
+def _stacked(wide: DataFrame, specs: list[MetricSpec]) -> DataFrame:
+    """One row per metric, grain, entity and period that has rows."""
     stacked = F.array(
         *[
             F.struct(
@@ -308,11 +411,23 @@ def _slices_of(df: DataFrame, specs: list[MetricSpec], period: str) -> DataFrame
             for s in specs
         ]
     )
-    out = (
-        wide.select("period", grain.alias("grain"), entity.alias("entity"), F.inline(stacked))
+    return (
+        wide.select("period", "grain", "entity", F.inline(stacked))
         .filter((F.col("n") > 0) & F.array_contains("grains", F.col("grain")))
         .select("metric_id", "grain", "entity", "period", "raw", "n", "covered")
     )
+
+
+def _slices_of(df: DataFrame, specs: list[MetricSpec], period: str) -> DataFrame:
+    column_of = grain_columns(specs)
+    keys = [f"g_{g}" for g in column_of]
+    rows, flag = grained_rows(df, specs, period, column_of)
+    additive = [s for s in specs if adds_up(s)]
+    out = None
+    for some, wide in ((additive, _added), ([s for s in specs if s not in additive], _direct)):
+        if some:
+            part = _stacked(wide(rows, some, flag, keys), some)
+            out = part if out is None else out.unionByName(part)
     if any(s.distinct for s in specs):
         # The entities that the distinct counts give bits to are read from it, and it is not computed again.
         ensure_checkpoint_dir(df.sparkSession)

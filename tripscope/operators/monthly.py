@@ -12,55 +12,17 @@ are dense in a month, such as serial numbers.
 from __future__ import annotations
 
 import hashlib
-import re
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripscope.operators.metrics import GLOBAL, MetricSpec, _by_grain, gated, grain_columns, grained_rows, stacked_grain
+from tripscope.operators.metrics import MetricSpec, _by_grain, _plan, cell_totals, decomposed, gated, grain_columns, grained_rows  # noqa: F401
 from tripscope.session import input_mark
 
-_AGG = re.compile(r"\b(avg|sum|count)\((.*?)\)(\{f(?::[^}]*)?\})")
 KEYS = ("month", "grain", "entity")
 
 
-class Partial(NamedTuple):
-    """One additive part of a formula: its column in the state and the aggregate that fills it."""
-
-    name: str
-    aggregate: str
-
-
-def decomposed(spec: MetricSpec, template: str, tag: str) -> tuple[str, list[Partial]]:
-    """A formula over merged parts, and the parts. An average becomes a sum over a count; sums and counts are their own parts."""
-    parts: list[Partial] = []
-
-    def part(fn: str, body: str, hole: str) -> str:
-        parts.append(Partial(f"{tag}_{spec.id}_{len(parts)}", f"{fn}({body}){hole}"))
-        return f"sum({parts[-1].name})"
-
-    def replaced(m: re.Match) -> str:
-        fn, body, hole = m.groups()
-        if fn == "avg":
-            return f"(cast({part('sum', body, hole)} as double) / nullif({part('count', body, hole)}, 0))"
-        return f"coalesce({part(fn, body, hole)}, 0)" if fn == "count" else part(fn, body, hole)
-
-    merged = _AGG.sub(replaced, template)
-    if "{f" in merged:
-        raise ValueError(f"{spec.id}: {template!r} has an aggregate that does not add up over months")
-    return merged, parts
-
-
-def _plan(specs: list[MetricSpec]) -> dict[str, dict[str, tuple[str, list[Partial]]]]:
-    """Per metric, the merged form and parts of its value, row count and coverage."""
-    out = {}
-    for s in specs:
-        plain = s.formula.replace("{quantile}", "cast(null as double)").replace("nullif({distinct}, 0)", "1")
-        out[s.id] = {"v": decomposed(s, plain, "v"), "n": decomposed(s, "count(*){f}", "n"), "c": decomposed(s, s.coverage, "c")}
-    return out
-
-
 class State(NamedTuple):
     """The mergeable tables: ``sums`` and, where some metric needs them, counts per ``values`` and bitmaps of ``ids``."""
 
@@ -73,14 +35,9 @@ def partials(df: DataFrame, specs: list[MetricSpec]) -> State:
     """The state of every month in ``df``; all specs read the same relation."""
     column_of = grain_columns(specs)
     rows, flag = grained_rows(df, specs, "month", column_of)
-    keys = [f"g_{g}" for g in column_of]
-    sums: list[Column] = []
-    for s in specs:
-        for _, parts in _plan(specs)[s.id].values():
-            sums += [F.expr(s.compiled(p.aggregate, flag[s.id])).alias(p.name) for p in parts]
-    wide = rows.groupingSets([["period"], *[["period", k] for k in keys]], "period", *keys).agg(*sums, *[F.grouping(k).alias(f"is_{k}") for k in keys])
-    grain, entity = stacked_grain(keys)
-    names = [p.name for s in specs for _, parts in _plan(specs)[s.id].values() for p in parts]
+    parts = [F.expr(s.compiled(p.aggregate, flag[s.id])).alias(p.name) for s in specs for _, of in _plan(specs)[s.id].values() for p in of]
+    names = [p.name for s in specs for _, of in _plan(specs)[s.id].values() for p in of]
+    sums = cell_totals(rows, [f"g_{g}" for g in column_of], parts, [F.sum(n).alias(n) for n in names])
     values = ids = None
     for s in specs:
         kept = rows.filter(flag[s.id]) if flag[s.id] else rows
@@ -94,7 +51,7 @@ def partials(df: DataFrame, specs: list[MetricSpec]) -> State:
             spread = kept.filter(number.isNotNull()).select("period", F.bitmap_bucket_number(number).alias("bucket"), F.bitmap_bit_position(number).alias("bit"), F.inline(_by_grain(s)))
             part = spread.groupBy(F.lit(s.id).alias("metric_id"), F.col("period").alias("month"), "grain", "entity", "bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
             ids = part if ids is None else ids.unionByName(part)
-    return State(wide.select(F.col("period").alias("month"), grain.alias("grain"), entity.alias("entity"), *names), values, ids)
+    return State(sums.select(F.col("period").alias("month"), "grain", "entity", *names), values, ids)
 
 
 def merged(state: State, specs: list[MetricSpec], period: Column | None = None) -> DataFrame:

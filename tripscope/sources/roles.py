@@ -15,13 +15,25 @@ REGION_NAMES = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
 
 _EPOCH_DAY = "cast(datediff({d}, date'1970-01-01') as bigint) * 86400"
 
+
+
+def _numbered(key: str, n: int, spelled: str, name) -> str:
+    """``spelled``, which names the remainder of a key, taken from a constant list where there is one: text is costly to build for every row."""
+    names = ", ".join(f"'{name(i)}'" for i in range(n))
+    return f"if({key} >= 0, element_at(array({names}), cast({key} % {n} + 1 as int)), {spelled})"  # element_at is not null-safe
+
+
+def _vendor(key: str) -> str:
+    return _numbered(key, 23, f"concat('V', lpad(cast({key} % 23 as string), 2, '0'))", lambda i: f"V{i:02d}")
+
+
 # First projection: straight from orders (and customer/nation/region for geography).
 _TRIP_BASE = {
     "trip_id": "o_orderkey",
     "business_unit": "r_name",
     "office": "n_name",
     "product_type": "c_mktsegment",
-    "vendor_id": "concat('V', lpad(cast(o_custkey % 23 as string), 2, '0'))",
+    "vendor_id": _vendor("o_custkey"),
     "route_source": "o_orderstatus",
     "trip_direction": "if(o_orderkey % 2 = 0, 'LOGIN', 'LOGOUT')",
     "shift_type": (
@@ -174,8 +186,8 @@ _BILL_BASE = {
     "trip_id": "if(l_orderkey % 997 = 0, null, l_orderkey)",
     "trip_id_raw": "if(l_orderkey % 997 = 0, 'OverHead', cast(l_orderkey as string))",
     "is_overhead": "l_orderkey % 997 = 0",
-    "vendor": "concat('V', lpad(cast(l_suppkey % 23 as string), 2, '0'))",
-    "office": "concat('NATION_', l_suppkey % 25)",
+    "vendor": _vendor("l_suppkey"),
+    "office": _numbered("l_suppkey", 25, "concat('NATION_', l_suppkey % 25)", "NATION_{}".format),
     "business_unit": "element_at(array({}), cast(l_suppkey % 25 % 5 + 1 as int))".format(
         ", ".join(f"'{r}'" for r in REGION_NAMES)
     ),
