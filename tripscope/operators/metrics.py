@@ -1,8 +1,8 @@
 """Declarative metrics and the one-pass slice compiler.
 
 A metric is a few SQL expression strings. All metrics that read the same relation are computed together by a single
-``GROUPING SETS`` aggregation over (period) and (period, grain) for every grain, so the relation is scanned once and
-only partial aggregates are shuffled. The result is the long table
+``GROUPING SETS`` aggregation over (period, grains of a bin) for a few bins of grains, whose cells are added up per grain, so the
+relation is scanned once and only partial aggregates are shuffled. The result is the long table
 
     slices(metric_id, grain, entity, period, value, n, covered, coverage)
 
