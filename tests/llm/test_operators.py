@@ -113,6 +113,51 @@ def test_nodes_are_compared_whole_across_batches():
         assert {r: (r // 100, low) for r, low in lowest.items()} == whole
 
 
+def _sets_of(kind, n):
+    """``n`` sets: strangers that share a frequent passage, variants of one set, both and others, or their signatures."""
+    rng, hot, base = np.random.default_rng(8), np.arange(1, 31), np.arange(1000, 1200)
+    sets = []
+    for i in range(n):
+        own = rng.integers(10**6, 2**63, 200)
+        if kind == "strangers" or i % 3 == 0:
+            sets.append(np.concatenate([hot, own[: rng.integers(20, 80)]]))
+        elif i % 3 == 1:
+            sets.append(np.concatenate([np.delete(base, rng.integers(0, 200, rng.integers(0, 30))), own[: rng.integers(0, 20)]]))
+        else:
+            sets.append(np.concatenate([sets[rng.integers(0, i)], own[: rng.integers(0, 9)]]))
+    return [np.unique(x.astype(np.uint64)) for x in sets]
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+@pytest.mark.parametrize("n", [97, 600])
+def test_prefixes_give_the_labels_of_all_pairs(monkeypatch, percent, n):
+    sets = _sets_of("mixed", n)
+    cases = [(near_dup.linked, [s.tobytes() for s in sets]), (near_dup.loosely_linked, [s.tobytes() for s in near_dup._signatures(sets)])]
+    some = np.random.default_rng(n).random(n) < 0.3
+    for compare, payload in cases:
+        for seeds in (None, some, np.zeros(n, bool)):
+            got = []
+            for brute_force in (near_dup.BRUTE, n):
+                monkeypatch.setattr(near_dup, "BRUTE", brute_force)
+                got.append(compare(payload, percent, seeds).tolist())
+            monkeypatch.undo()
+            assert got[0] == got[1]
+            assert (len(set(got[0])) < n) == (seeds is not None and seeds.any() or seeds is None)
+
+
+def test_strangers_with_a_common_passage_are_not_compared_pair_by_pair(monkeypatch):
+    n, pairs_held = 1500, []
+    for name in ("_search", "_search_prefixes"):
+        search = getattr(near_dup, name, None)
+        if search is not None:
+            counted = lambda n, alike, *rest, search=search: search(n, lambda at, others: pairs_held.append(len(others)) or alike(at, others), *rest)
+            monkeypatch.setattr(near_dup, name, counted)
+    sets = _sets_of("strangers", n)
+    assert near_dup.linked([s.tobytes() for s in sets], 85).tolist() == list(range(n))
+    near_dup.loosely_linked([s.tobytes() for s in near_dup._signatures(sets)], 85)
+    assert sum(pairs_held) < n * n / 20
+
+
 def test_stars_are_recognised_without_a_round(spark, monkeypatch):
     links = spark.createDataFrame([(1, 2), (3, 1), (7, 9)], "a long, b long")
 

@@ -14,9 +14,11 @@ What keeps it whole and bounded:
 * Equal sets are one set with a number of its own (``rep``); a group of copies of any size costs one row. Document ids name sets nowhere
   before the end, when each component gets the smallest id in it.
 * Sets that meet are first held against each other by their signatures of ``TOKENS`` tokens, which are small. Sets whose signatures agree
-  nearly as often as those of linked sets form clusters; only these fetch their full sets, each once, and are compared on them.
+  nearly as often as those of linked sets form clusters; only these fetch their full sets, once and for clusters of all sizes, and are compared on them.
 * Nodes and clusters are compared by breadth-first search: each step holds one set against those not reached yet and adds its links to
   the component, so a node of alike sets ends after few steps. It yields a forest of links, at most one per set, never its pairs.
+  Of more than ``BRUTE`` sets, only those are held against each other that have one of their rarest tokens in common, as linked ones must:
+  sets that merely meet in a frequent token cost no pairs. Full sets are compared only where bits of their most frequent tokens allow a link.
 * A node above ``NODE_LIMIT`` at the last level, or a cluster above ``CLUSTER_LIMIT``, is cut into blocks that each also get its first
   set. What is not connected to that set after this is compared with every block in a second pass. No set is dropped.
 * Nodes with the same members are compared once.
@@ -49,6 +51,10 @@ NODE_LIMIT = 4096
 CLUSTER_LIMIT = 2048
 #: Nodes of at most this many sets are compared pair by pair, many nodes at once.
 FEW = 8
+#: Up to this many sets are held against each other without looking for common tokens first.
+BRUTE = 96
+#: Of so many tokens, the most frequent ones of a cluster, each set has a bit.
+WIDE = 512
 _RNG = np.random.default_rng(20190117)
 _MUL = _RNG.integers(1, 2**63, TOKENS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 2**63, TOKENS, dtype=np.uint64)
@@ -181,6 +187,73 @@ def _search(n: int, alike: Callable[[int, np.ndarray], np.ndarray], seeds: np.nd
     return label
 
 
+def _prefixes(token: np.ndarray, sizes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(set, token) of the first ``lengths`` tokens of each set, rarest first, that two or more sets have there.
+
+    ``token`` has the numbers of the distinct tokens of one set after the other. Two sets that share all but ``lengths - 1`` tokens of each,
+    or more, have one of their first tokens in common, as all order their tokens alike.
+    """
+    count = np.bincount(token)
+    rank = np.empty(len(count), np.int64)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(count))
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    key = np.sort(owner * len(count) + rank[token])
+    place = np.arange(len(key)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    owner, first = np.divmod(key[place < lengths[owner]], len(count))
+    some = np.bincount(first, minlength=len(count))[first] > 1
+    return owner[some], first[some]
+
+
+def _search_prefixes(n: int, alike: Callable[[int, np.ndarray], np.ndarray], seeds: np.ndarray | None, prefixes: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The same labels as ``_search``, where only sets with a common token in their ``prefixes`` can be linked: others are never held against each other."""
+    owner, token = prefixes
+    label = np.arange(n)
+    label[owner] = -1
+    _, token = np.unique(token, return_inverse=True)
+    bounds = np.searchsorted(owner, np.arange(n + 1))
+    # By token, and all of them: sets that are not reached yet, or were not when last looked at. What is no seed is apart, as only seeds look for it.
+    waiting: list[list[np.ndarray]] = []
+    for part in [np.ones(n, bool)] if seeds is None else [seeds, ~seeds]:
+        mine = part[owner]
+        by = np.argsort(token[mine], kind="stable")
+        lists = np.split(owner[mine][by], np.cumsum(np.bincount(token[mine], minlength=token.max(initial=-1) + 1))[:-1])
+        waiting.append([*lists, np.flatnonzero(part & (label < 0))])
+    seen = np.zeros(n, bool)
+    for first in range(n):
+        if label[first] >= 0:
+            continue
+        label[first] = first
+        queue = [first]
+        while queue:
+            at = queue.pop()
+            own = token[bounds[at] : bounds[at + 1]].tolist()
+            for lists in waiting if seeds is None or seeds[at] else waiting[:1]:
+                # All at once where the lists are longer together.
+                for t in own if sum([len(lists[t]) for t in own]) < len(lists[-1]) else [-1]:
+                    lists[t] = lists[t][label[lists[t]] < 0]
+                    seen[lists[t]] = True
+            others = np.flatnonzero(seen)
+            if len(others):
+                seen[others] = False
+                hit = alike(at, others)
+                label[hit] = first
+                queue.extend(hit.tolist())
+    return label
+
+
+def _bits(token: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each set: which of the ``WIDE`` most frequent tokens it has, as bits, and how many of the other tokens that come more than once."""
+    count = np.bincount(token)
+    column = np.full(len(count), -1)
+    often = np.argsort(-count, kind="stable")[:WIDE]
+    column[often] = np.arange(len(often))
+    owner, place = np.repeat(np.arange(len(sizes)), sizes), column[token]
+    has = np.zeros((len(sizes), WIDE), bool)
+    has[owner[place >= 0], place[place >= 0]] = True
+    rest = np.bincount(owner[(place < 0) & (count[token] > 1)], minlength=len(sizes))
+    return np.packbits(has, axis=1).view(np.uint64), rest
+
+
 def linked(payload: list[bytes], percent: int, seeds: np.ndarray | None = None) -> np.ndarray:
     """Components of sets, where 100 * intersection >= percent * union links two."""
     sets = [np.frombuffer(b, np.uint64) for b in payload]
@@ -188,9 +261,17 @@ def linked(payload: list[bytes], percent: int, seeds: np.ndarray | None = None)
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     _, token = np.unique(np.concatenate(sets), return_inverse=True)
     held = np.zeros(token.max() + 1, bool)
+    many = len(sets) > BRUTE
+    bits, rest = _bits(token, sizes) if many else (None, None)
+
+    def enough(common: np.ndarray, at: int, others: np.ndarray) -> np.ndarray:
+        return 100 * common >= percent * (sizes[at] + sizes[others] - common)
 
     def alike(at: int, others: np.ndarray) -> np.ndarray:
         near = others[(100 * sizes[others] >= percent * sizes[at]) & (100 * sizes[at] >= percent * sizes[others])]
+        if many:  # no more tokens than these can be in common
+            most = np.bitwise_count(bits[near] & bits[at]).sum(axis=1, dtype=np.int64) + np.minimum(rest[near], rest[at])
+            near = near[enough(most, at, near)]
         if not len(near):
             return near
         mine = token[starts[at] : starts[at] + sizes[at]]
@@ -200,9 +281,12 @@ def linked(payload: list[bytes], percent: int, seeds: np.ndarray | None = None)
         places = np.repeat(starts[near] - offsets, lengths) + np.arange(lengths.sum())
         common = np.add.reduceat(held[token[places]].astype(np.int64), offsets)
         held[mine] = False
-        return near[100 * common >= percent * (sizes[at] + lengths - common)]
+        return near[enough(common, at, near)]
 
-    return _search(len(sets), alike, seeds)
+    if not many:
+        return _search(len(sets), alike, seeds)
+    # Linked sets share at least percent / 100 of the tokens of each.
+    return _search_prefixes(len(sets), alike, seeds, _prefixes(token, sizes, sizes + 1 + (-percent * sizes) // 100))
 
 
 def _least(percent: int) -> int:
@@ -214,7 +298,15 @@ def _least(percent: int) -> int:
 def loosely_linked(payload: list[bytes], percent: int, seeds: np.ndarray | None = None) -> np.ndarray:
     """Components of sets whose signatures agree as often as those of linked sets do, less 4.6 standard deviations."""
     sig, least = np.frombuffer(b"".join(payload), np.uint32).reshape(len(payload), TOKENS), _least(percent)
-    return _search(len(sig), lambda at, others: others[(sig[others] == sig[at]).sum(axis=1) >= least], seeds)
+
+    def alike(at: int, others: np.ndarray) -> np.ndarray:
+        return others[np.bitwise_count((sig[others] == sig[at]).view(np.uint64)).sum(axis=1) >= least]
+
+    if len(sig) <= BRUTE:
+        return _search(len(sig), alike, seeds)
+    _, token = np.unique(sig.astype(np.uint64) * np.uint64(TOKENS) + np.arange(TOKENS, dtype=np.uint64), return_inverse=True)
+    each = np.full(len(sig), TOKENS)
+    return _search_prefixes(len(sig), alike, seeds, _prefixes(token.ravel(), each, each - least + 1))
 
 
 def _loose_pairs(payload: list[bytes], starts: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -337,7 +429,7 @@ def _links(docs: DataFrame, reps: DataFrame, words: int, percent: int, trees: in
         texts = docs.join(keyed, ["doc_id", "text_key"])
         return per_batch(texts.select("rep", "text", "node", "size"), _sets(words), "node long, size long, rep long, payload binary")
 
-    return _forest(members, fetch, CLUSTER_LIMIT, linked, percent)
+    return _forest(written(fetch(members), "cluster-sets"), lambda m: m, CLUSTER_LIMIT, linked, percent)
 
 
 def _text_key() -> Column:
