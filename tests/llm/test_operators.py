@@ -200,6 +200,34 @@ def test_a_hot_group_in_blocks(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in got} == {n: 0 if n < 40 else n for n, _ in rows}
 
 
+def test_blocks_are_not_joined_into_few_tasks(spark, monkeypatch):
+    """Small blocks of two large groups come from a task for each partition that has some, not from one task for all."""
+    tasks, compare = spark.sparkContext.accumulator(0), near_dup._compare
+
+    def counted(*args):
+        fn, before = compare(*args), set()
+
+        def run(group):
+            import os
+
+            from pyspark import TaskContext
+
+            task = (os.getpid(), TaskContext.get().taskAttemptId())
+            if task not in before:
+                before.add(task)
+                tasks.add(1)
+            return fn(group)
+
+        return run
+
+    monkeypatch.setattr(near_dup, "_compare", counted)
+    monkeypatch.setattr(near_dup, "CLUSTER_LIMIT", 4)
+    rows = [(g * 1000 + n, " ".join([f"g{g}w{i}" for i in range(100)] + [f"own{n}"])) for g in range(2) for n in range(40)]
+    got = near_dup.components_of(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    assert {r["component_id"] for r in got} == {0, 1000}
+    assert tasks.value > 3
+
+
 # suffix dedup --------------------------------------------------------------------------------------------------------------------------
 
 

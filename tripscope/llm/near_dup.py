@@ -376,6 +376,11 @@ def _compare_sorted(compare, percent: int):
     return run
 
 
+def _spread(df: DataFrame, *keys: str) -> DataFrame:
+    """By ``keys``, in a number of partitions that AQE leaves alone: it joins small ones by their bytes, and blocks take long for these."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def _forest(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], limit: int, compare, percent: int) -> DataFrame:
     """(a, b): links that connect what ``compare`` links within each node of ``members(node, size, rep)``.
 
@@ -395,13 +400,13 @@ def _forest(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], limit:
         own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block")
         copied = large.filter(lead).select("node", every, "rep", yes.alias("seed"), yes.alias("lead"), "payload")
         dealt = large.filter(~lead).select("node", own, "rep", yes.alias("seed"), no.alias("lead"), "payload")
-        within = written(copied.union(dealt).groupBy("node", "block").applyInPandas(_compare(compare, percent), schema), "within-blocks")
+        within = written(_spread(copied.union(dealt), "node", "block").groupBy("node", "block").applyInPandas(_compare(compare, percent), schema), "within-blocks")
         apart = within.join(firsts, "node").filter("root <> first").select("node", "rep").distinct()
         cells = apart.groupBy("node").agg(F.ceil(F.count("*") / limit).cast("int").alias("cells"))
         others = large.join(cells, "node").select("node", own, F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), "rep", no.alias("seed"), no.alias("lead"), "payload")
         cell = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("cells")).cast("int").alias("cell")
         seeds = large.join(apart, ["node", "rep"], "left_semi").join(cells, "node").select("node", every, cell, "rep", yes.alias("seed"), yes.alias("lead"), "payload")
-        across = others.union(seeds).groupBy("node", "block", "cell").applyInPandas(_compare(compare, percent), schema)
+        across = _spread(others.union(seeds), "node", "block", "cell").groupBy("node", "block", "cell").applyInPandas(_compare(compare, percent), schema)
         found = found.union(within).union(across)
     return found.filter("root <> rep").select(F.col("root").alias("a"), F.col("rep").alias("b"))
 
